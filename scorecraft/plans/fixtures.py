@@ -87,7 +87,9 @@ RUN_SCORES = """
 select run_ts, model, o_orderkey as record_id,
        case when o_orderkey % k = 0 then null else cast(o_orderkey % 2 as double) end as score_exact_match,
        case when o_orderkey % 13 = 0 then null else cast((o_orderkey % (k + 3)) / 10.0 as double) end as score_variable_correct_rate,
-       case when o_orderkey % 11 = 0 then null else cast((o_orderkey % (k + 5)) / 20.0 as double) end as score_tool_hallucination_rate
+       case when o_orderkey % 11 = 0 then null else cast((o_orderkey % (k + 5)) / 20.0 as double) end as score_tool_hallucination_rate,
+       case when o_orderkey % 17 = 0 then null else cast(1 + (o_orderkey + k) % 5 as double) end as score_content_similarity,
+       cast((o_orderkey % (k + 7)) as double) as score_levenshtein_distance
 from (
   select '2026-01-01_00-00-00' as run_ts, 'm0' as model, 3 as k, o_orderkey from {orders}
   union all select '2026-01-02_00-00-00' as run_ts, 'm0' as model, 4 as k, o_orderkey from {orders}

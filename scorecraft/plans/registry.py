@@ -29,6 +29,7 @@ def register(name: str, oracle: str | None = None):
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from scorecraft.plans import (  # noqa: F401
+        analysis_plans,
         label_plans,
         text_plans,
         tool_plans,
