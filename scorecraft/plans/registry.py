@@ -31,6 +31,7 @@ def _load_all() -> None:
     from scorecraft.plans import (  # noqa: F401
         analysis_plans,
         label_plans,
+        parse_plans,
         text_plans,
         tool_plans,
         records_plans,
