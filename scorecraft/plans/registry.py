@@ -30,6 +30,7 @@ def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from scorecraft.plans import (  # noqa: F401
         analysis_plans,
+        exchange_plans,
         label_plans,
         parse_plans,
         text_plans,
