@@ -80,3 +80,16 @@ def values_match(g_tag: Column, g_str: Column, g_num: Column,
             .when(g_tag.isin(*text) & p_tag.isin(*text), F.lower(g_str) == F.lower(p_str))
             .when(g_tag.isin(*number) & p_tag.isin(*number), F.abs(g_num - p_num) < F.lit(1e-9))
             .otherwise(F.lit(False)))
+
+
+def simplify_filter_keys(flat: DataFrame) -> DataFrame:
+    """O-13 on flattened arguments (for the simplified tool schema):
+    ``data_source`` members move up one level; ``filter.categories`` and
+    ``filter.payees`` become ``filter_categories`` / ``filter_payees`` (also
+    when the filter sits inside ``data_source``); other ``filter`` members are
+    dropped."""
+    k = F.regexp_replace(F.col("key"), r"(^|\.)data_source\.", "$1")
+    k = F.regexp_replace(k, r"(^|\.)filter\.(categories|payees)($|\.)", "$1filter_$2$3")
+    return (flat.withColumn("key", k)
+            .filter(~F.col("key").rlike(r"(^|\.)filter\."))
+            .withColumn("base_key", F.substring_index(F.col("key"), ".", 1)))

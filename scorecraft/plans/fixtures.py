@@ -130,7 +130,29 @@ select event_id as record_id,
 from {events}
 """
 
+# Arguments in the nested layout that the simplified schema flattens (O-13).
+FILTER_ARGS = """
+select o_orderkey as record_id,
+       concat('{"data_source":{"source":"transactions","data_type":"',
+              case when o_orderkey % 2 = 0 then 'spending' else 'income' end, '"',
+              case when o_orderkey % 3 = 0 then ',"filter":{"categories":["food","rent"],"payees":["shop"],"min_amount":5}' else '' end,
+              '},',
+              case when o_orderkey % 3 <> 0 and o_orderkey % 5 = 0 then '"filter":{"payees":["bank"],"max_amount":9},' else '' end,
+              '"limit":', cast(o_orderkey % 10 as string), '}') as arguments
+from {orders}
+"""
+
+# Legacy one-turn layout (O-08): each user turn with its assistant answer.
+LEGACY_PAIRS = """
+select c.conv_id, c.turn as user_turn, c.text as query, n.text as answer,
+       case when (c.conv_id + n.turn) % 5 = 0 then 'tool' else 'nlp' end as gt_type, n.turn as answer_turn
+from {conversations} c join {conversations} n on n.conv_id = c.conv_id and n.turn = c.turn + 1
+where c.role = 'user' and n.role = 'assistant'
+"""
+
 FIXTURES = {
+    "filter_args": FILTER_ARGS,
+    "legacy_pairs": LEGACY_PAIRS,
     "turns": TURNS,
     "tool_calls": TOOL_CALLS,
     "tool_call_rows": TOOL_CALL_ROWS,

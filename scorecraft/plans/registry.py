@@ -32,6 +32,7 @@ def _load_all() -> None:
         analysis_plans,
         exchange_plans,
         label_plans,
+        misc_plans,
         parse_plans,
         text_plans,
         tool_plans,
