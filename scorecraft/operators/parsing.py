@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorecraft.functions.output_parser import KNOWN_TOOL_NAMES, parse_text
+from scorecraft.functions.partitioning import by_key
 from scorecraft.functions.text import py_strip
 
 PARSERS = ("json", "pythonic")
@@ -81,7 +82,9 @@ def parse_outputs(responses: DataFrame, parser: str = "json", known=KNOWN_TOOL_N
     blank = stripped == ""
     # '(' also needs Python: a pythonic call makes the raw output valid.
     needs_udf = F.col("error").isNull() & ~has_calls & ~blank & text.rlike("[\\[{(]")
-    d = responses.withColumn("_p", _parse_udf(parser, tuple(known))(F.when(needs_udf, text)))
+    # Hash on record_id first: the Python stage runs on every shuffle
+    # partition, and the scoring joins downstream reuse this partitioning.
+    d = by_key(responses, "record_id").withColumn("_p", _parse_udf(parser, tuple(known))(F.when(needs_udf, text)))
     is_err = F.col("error").isNotNull()
     kind = (F.when(is_err, "error")
             .when(has_calls, F.when(native_bad, "error").otherwise("tool"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.functions.lcs import lcs_lengths
+from scorecraft.functions.partitioning import by_key
 
 FAMILIES = {
     "rouge": ["rouge1", "rougeL"],
@@ -44,7 +45,9 @@ def _f1(p: Column, r: Column) -> Column:
 
 
 def levenshtein_distance(pairs: DataFrame) -> DataFrame:
-    return pairs.select("record_id", F.levenshtein("prediction_text", "reference_text")
+    """O-69 with the built-in (JVM) ``levenshtein``; pairs are spread over
+    the shuffle partitions first, as each pair is O(n*m) work."""
+    return by_key(pairs, "record_id").select("record_id", F.levenshtein("prediction_text", "reference_text")
                         .cast("double").alias("score_levenshtein_distance"))
 
 
@@ -52,7 +55,7 @@ def lcs_scores(pairs: DataFrame) -> DataFrame:
     """Levenshtein ratio (2*LCS / total length; substitution costs 2) and
     ROUGE-L F1 (token LCS), from one UDF pass."""
     rt, pt = rouge_tokens(F.col("reference_text")), rouge_tokens(F.col("prediction_text"))
-    d = pairs.select("record_id", "reference_text", "prediction_text", rt.alias("rt"), pt.alias("pt"))
+    d = by_key(pairs, "record_id").select("record_id", "reference_text", "prediction_text", rt.alias("rt"), pt.alias("pt"))
     d = d.withColumn("_l", lcs_lengths("reference_text", "prediction_text", "rt", "pt"))
     total = F.length("reference_text") + F.length("prediction_text")
     ratio = F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.col("_l.char_lcs") / total)
@@ -60,7 +63,8 @@ def lcs_scores(pairs: DataFrame) -> DataFrame:
     tok = F.col("_l.token_lcs").cast("double")
     p = F.when((n_p > 0) & (n_r > 0), tok / n_p).otherwise(F.lit(0.0))
     r = F.when((n_p > 0) & (n_r > 0), tok / n_r).otherwise(F.lit(0.0))
-    return d.select("record_id", ratio.alias("score_levenshtein_ratio"), _f1(p, r).alias("score_rougeL"))
+    return d.select("record_id", ratio.alias("score_levenshtein_ratio"), _f1(p, r).alias("score_rougeL"),
+                    F.col("_l.edit_distance").cast("double").alias("score_levenshtein_distance"))
 
 
 def rouge1(pairs: DataFrame) -> DataFrame:
@@ -68,8 +72,8 @@ def rouge1(pairs: DataFrame) -> DataFrame:
     sides = F.array(F.struct(F.lit("ref").alias("side"), rouge_tokens(F.col("reference_text")).alias("toks")),
                     F.struct(F.lit("pred").alias("side"), rouge_tokens(F.col("prediction_text")).alias("toks")))
     long = (pairs.select("record_id", F.inline(sides))
-            .select("record_id", "side", F.explode("toks").alias("token"))
-            .repartition("record_id"))
+            .select("record_id", "side", F.explode("toks").alias("token")))
+    long = by_key(long, "record_id")
     counts = long.groupBy("record_id", "side", "token").agg(F.count(F.lit(1)).alias("c"))
     ref = counts.filter(F.col("side") == "ref").select("record_id", "token", F.col("c").alias("rc"))
     pred = counts.filter(F.col("side") == "pred").select("record_id", "token", F.col("c").alias("pc"))
@@ -128,12 +132,10 @@ def content_scores(items: DataFrame, families: list[str], token_vecs: DataFrame
     pairs = scorable(items).select("record_id", "reference_text", "prediction_text")
     cols: list[str] = []
     out = items
-    if "levenshtein" in families:
-        out = out.join(levenshtein_distance(pairs), "record_id", "left")
-        cols.append("score_levenshtein_distance")
     if "rouge" in families or "levenshtein" in families:
+        # One UDF pass gives ratio, ROUGE-L and the edit distance.
         lcs = lcs_scores(pairs)
-        keep = (["score_levenshtein_ratio"] if "levenshtein" in families else []) + \
+        keep = (["score_levenshtein_distance", "score_levenshtein_ratio"] if "levenshtein" in families else []) + \
                (["score_rougeL"] if "rouge" in families else [])
         out = out.join(lcs.select("record_id", *keep), "record_id", "left")
         cols += keep

@@ -6,10 +6,14 @@ Inputs
   tools  (name)            -- catalogue dimension (bounded by the catalogue)
   params (tool, param)     -- catalogue dimension
 
-Every intermediate is keyed by ``record_id`` first.  The callers hash
-``calls`` on ``record_id`` once; the aggregations on (record_id, name) and
-(record_id, side, ...) then reuse that partitioning.  A record holds a handful
-of calls, so no key is hot; the two catalogue tables are the only broadcasts.
+Every intermediate is keyed by ``record_id`` first.  ``prepare_calls``
+hash-partitions the calls on ``record_id`` once and adds the call-level
+attributes every metric needs (stable rank by name, last call per name); the
+windows and the aggregations on (record_id, ...) then reuse that
+partitioning.  ``tool_scores_wide`` flattens the arguments once and shares the
+leaf table between the variable and exact-match metrics.  A record holds the
+calls of one model answer (bounded by the answer length), so no key is hot;
+the two catalogue tables are the only broadcasts.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import IGNORED_PARAMS, flatten_arguments, values_match
+from scorecraft.functions.partitioning import by_key, shared
+
+CALL_KEEP = ["record_id", "side", "ordinal", "name", "rank", "is_last"]
 
 METRICS = ["when2call", "schema_reliability_raw", "schema_reliability_processed",
            "tool_pick_up_rate", "tool_hallucination_rate", "tool_additional_rate",
@@ -33,6 +40,24 @@ def _div(a, b):
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def prepare_calls(calls: DataFrame) -> DataFrame:
+    """Calls hash-partitioned on ``record_id`` with ``rank`` (1-based, stable
+    sort by name then ordinal, per side) and ``is_last`` (last call of its
+    name on its side: dict semantics).  Idempotent."""
+    if "rank" in calls.columns:
+        return calls
+    c = by_key(calls.withColumn("name", F.coalesce("name", F.lit(""))), "record_id")
+    w_rank = Window.partitionBy("record_id", "side").orderBy("name", "ordinal")
+    w_name = Window.partitionBy("record_id", "side", "name")
+    return (c.withColumn("rank", F.row_number().over(w_rank))
+            .withColumn("is_last", F.col("ordinal") == F.max("ordinal").over(w_name)))
+
+
+def call_leaves(prepared: DataFrame) -> DataFrame:
+    """Flattened arguments of every call, with the call attributes."""
+    return flatten_arguments(prepared, CALL_KEEP)
+
+
 def when2call(items: DataFrame) -> DataFrame:
     """O-58: 1.0 when the predicted type equals the ground-truth type."""
     same = F.coalesce(F.col("gt_type"), F.lit("error")) == F.coalesce(F.col("pred_type"), F.lit("error"))
@@ -59,7 +84,7 @@ def tool_pickup(items: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFra
     """O-62: with distinct name sets G (truth), P (prediction), A (catalogue)
     and n = number of ground-truth calls (duplicates included):
     |G∩P|/n, |P−A|/n, |(P∩A)−G|/n.  NULL unless both sides are tool calls."""
-    names = (calls.withColumn("name", F.coalesce("name", F.lit("")))
+    names = (prepare_calls(calls)
              .groupBy("record_id", "name")
              .agg(F.count_if(F.col("side") == "gt").alias("n_g"),
                   F.count_if(F.col("side") == "pred").alias("n_p")))
@@ -86,7 +111,8 @@ def last_call_per_name(calls: DataFrame) -> DataFrame:
             .filter(F.col("ordinal") == F.col("_last")).drop("_last"))
 
 
-def variable_metrics(items: DataFrame, calls: DataFrame, params: DataFrame) -> DataFrame:
+def variable_metrics(items: DataFrame, calls: DataFrame, params: DataFrame,
+                     leaves: DataFrame | None = None) -> DataFrame:
     """O-63 (with O-55..57, O-65..67): for every ground-truth tool that is
     also predicted, classify each predicted flat key: base key outside the
     tool's schema -> hallucinated; in the truth -> picked up (and correct
@@ -94,8 +120,9 @@ def variable_metrics(items: DataFrame, calls: DataFrame, params: DataFrame) -> D
     the number of truth keys, summed over tools and divided by the number of
     truth calls.  A predicted tool whose truth has no keys makes the record
     NULL (the reference divides by zero there)."""
-    last = last_call_per_name(calls)
-    flat = flatten_arguments(last, ["record_id", "side", "name"])
+    prepared = prepare_calls(calls)
+    last = prepared.filter("is_last")
+    flat = (leaves if leaves is not None else call_leaves(prepared)).filter("is_last")
     g = flat.filter(F.col("side") == "gt").select(
         "record_id", "name", "key", F.col("type_tag").alias("g_tag"),
         F.col("str_val").alias("g_str"), F.col("num_val").alias("g_num"))
@@ -126,7 +153,7 @@ def variable_metrics(items: DataFrame, calls: DataFrame, params: DataFrame) -> D
     per_rec = rates.groupBy("record_id").agg(
         *[F.sum(c).alias(c) for c in "kcha"],
         F.count_if(F.col("k").isNull()).alias("undefined"))
-    n_gt = calls.filter(F.col("side") == "gt").groupBy("record_id").agg(F.count(F.lit(1)).alias("n_gt"))
+    n_gt = prepared.filter(F.col("side") == "gt").groupBy("record_id").agg(F.count(F.lit(1)).alias("n_gt"))
     out = _both_tool(items).join(per_rec, "record_id", "left").join(n_gt, "record_id", "left")
     ok = F.coalesce(F.col("undefined"), F.lit(0)) == 0
 
@@ -140,21 +167,20 @@ def variable_metrics(items: DataFrame, calls: DataFrame, params: DataFrame) -> D
                       rate("a").alias("score_variable_additional_rate"))
 
 
-def exact_match(items: DataFrame, calls: DataFrame) -> DataFrame:
+def exact_match(items: DataFrame, calls: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     """O-64: 1.0 when both sides have the same number of calls and, after a
     stable sort by name, each pair has equal names and every truth flat key
     is present in the prediction with a matching value (extra predicted keys
     are ignored); 0.0 otherwise; NULL unless both sides are tool calls."""
-    w = Window.partitionBy("record_id", "side").orderBy(F.coalesce("name", F.lit("")), "ordinal")
-    ranked = calls.withColumn("rank", F.row_number().over(w))
-    counts = calls.groupBy("record_id").agg(F.count_if(F.col("side") == "gt").alias("n_g"),
+    ranked = prepare_calls(calls)
+    counts = ranked.groupBy("record_id").agg(F.count_if(F.col("side") == "gt").alias("n_g"),
                                             F.count_if(F.col("side") == "pred").alias("n_p"))
     g = ranked.filter(F.col("side") == "gt").select("record_id", "rank", F.col("name").alias("g_name"))
     p = ranked.filter(F.col("side") == "pred").select("record_id", "rank", F.col("name").alias("p_name"))
     name_bad = (g.join(p, ["record_id", "rank"])
                 .groupBy("record_id").agg(F.count_if(~F.coalesce(F.col("g_name") == F.col("p_name"), F.lit(False)))
                                           .alias("bad_names")))
-    flat = flatten_arguments(ranked, ["record_id", "side", "rank"])
+    flat = leaves if leaves is not None else call_leaves(ranked)
     gk = flat.filter(F.col("side") == "gt").select(
         "record_id", "rank", "key", F.col("type_tag").alias("g_tag"), F.col("str_val").alias("g_str"),
         F.col("num_val").alias("g_num"))
@@ -176,26 +202,34 @@ def tool_scores_wide(items: DataFrame, calls: DataFrame, tools: DataFrame, param
                      metrics: list[str] | None = None) -> DataFrame:
     """O-68: all tool metrics in one wide row per record.  ``metrics`` (names
     from ``METRICS``) selects columns; unknown names raise.  Unselected
-    families are pruned from the plan."""
+    families are not planned.
+
+    Plan shape: the calls are hash-partitioned on ``record_id`` once, their
+    arguments flattened once; both are shared by the metric families
+    (computed once, spill to disk, recomputed from lineage if lost).  Every
+    family aggregates on keys that start with ``record_id``, so its
+    aggregations reuse that partitioning; the per-record results meet the
+    items on ``record_id``."""
     wanted = METRICS if metrics is None else list(metrics)
     unknown = [m for m in wanted if m not in METRICS]
     if unknown:
         raise ValueError(f"unknown tool metrics: {unknown}")
-    calls = calls.repartition("record_id")
-    out = items.select("record_id", "gt_type", "pred_type")
-    parts = []
-    if "when2call" in wanted:
-        parts.append(when2call(items))
+    items = by_key(items, "record_id")
+    out = items.join(when2call(items), "record_id") if "when2call" in wanted else items
     if {"schema_reliability_raw", "schema_reliability_processed"} & set(wanted):
-        parts.append(schema_reliability(items))
-    if any(m.startswith("tool_") for m in wanted):
-        parts.append(tool_pickup(items, calls, tools))
-    if any(m.startswith("variable_") for m in wanted):
-        parts.append(variable_metrics(items, calls, params))
-    if "exact_match" in wanted:
-        parts.append(exact_match(items, calls))
-    for part in parts:
-        out = out.join(part, "record_id", "left")
+        out = out.join(schema_reliability(items), "record_id")
+    need_pickup = any(m.startswith("tool_") for m in wanted)
+    need_var = any(m.startswith("variable_") for m in wanted)
+    need_exact = "exact_match" in wanted
+    if need_pickup or need_var or need_exact:
+        prepared = shared(prepare_calls(calls))
+        leaves = shared(call_leaves(prepared)) if (need_var or need_exact) else None
+        if need_pickup:
+            out = out.join(tool_pickup(items, prepared, tools), "record_id", "left")
+        if need_var:
+            out = out.join(variable_metrics(items, prepared, params, leaves), "record_id", "left")
+        if need_exact:
+            out = out.join(exact_match(items, prepared, leaves), "record_id", "left")
     return out.select("record_id", "gt_type", "pred_type", *[f"score_{m}" for m in wanted])
 
 

@@ -9,11 +9,12 @@ from scorecraft.plans.fixtures import fixture, fixture_sql
 from scorecraft.plans.registry import register
 from scorecraft.sources.guardrail import require_fields
 
-MODEL = F.when(F.col("sample_id") % 2 == 0, F.lit("g0")).otherwise(F.lit("g1"))
+def _model():
+    return F.when(F.col("sample_id") % 2 == 0, F.lit("g0")).otherwise(F.lit("g1"))
 
 
 def rows(spark, sf_dir):
-    return fixture(spark, sf_dir, "guardrail").withColumn("model", MODEL)
+    return fixture(spark, sf_dir, "guardrail").withColumn("model", _model())
 
 
 def valid(spark, sf_dir):
