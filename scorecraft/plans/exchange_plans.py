@@ -83,7 +83,7 @@ def judge_scores_pivot(spark, sf_dir):
 
 
 @register("inference_requests", oracle=_w(f"""
-SELECT record_id, record_id AS custom_id, n_context + 1 AS n_messages, 'system' AS first_role,
+SELECT record_id, record_id AS custom_id, CAST(n_context + 1 AS INTEGER) AS n_messages, 'system' AS first_role,
        '{R.system_message(SYSTEM_SECTIONS)}' AS system_content, 512 AS max_tokens, 'eval-model' AS model
 FROM recs"""))
 def inference_requests(spark, sf_dir):

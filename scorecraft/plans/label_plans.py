@@ -108,11 +108,11 @@ def label_distribution(spark, sf_dir):
 , pr AS (SELECT label, support, tp, coalesce(tp / nullif(n_pred, 0), 0.0) AS precision,
             coalesce(tp / nullif(support, 0), 0.0) AS recall FROM per)
 , f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM pr)
-SELECT label, precision, recall, f1, support FROM f
-UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), sum(support) FROM f
-UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM f
+SELECT label, precision, recall, f1, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
-                 sum(f1 * support) / sum(support), sum(support) FROM f""")
+                 sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM f""")
 def classification_report(spark, sf_dir):
     return L.classification_report(valid(spark, sf_dir))
 

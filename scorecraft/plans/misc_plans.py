@@ -34,10 +34,10 @@ def flatten_filter_args(spark, sf_dir):
 
 # ------------------------------------------------------------------ O-08
 @register("legacy_turns_normalise", oracle="WITH l AS (" + fixture_sql("legacy_pairs") + """)
-SELECT concat(cast(conv_id AS VARCHAR), ':', cast(user_turn AS VARCHAR)) AS conv_id, 0 AS turn_idx, 'user' AS role,
+SELECT concat(cast(conv_id AS VARCHAR), ':', cast(user_turn AS VARCHAR)) AS conv_id, CAST(0 AS BIGINT) AS turn_idx, 'user' AS role,
        query AS content, CAST(NULL AS VARCHAR) AS tool_name, CAST(NULL AS VARCHAR) AS limit_arg FROM l
 UNION ALL
-SELECT concat(cast(conv_id AS VARCHAR), ':', cast(user_turn AS VARCHAR)), 1, 'assistant',
+SELECT concat(cast(conv_id AS VARCHAR), ':', cast(user_turn AS VARCHAR)), CAST(1 AS BIGINT), 'assistant',
        CASE WHEN gt_type = 'nlp' THEN answer END,
        CASE WHEN gt_type = 'tool' THEN 'show_pie_chart' END,
        CASE WHEN gt_type = 'tool' THEN cast(answer_turn AS VARCHAR) END FROM l""")
@@ -111,7 +111,7 @@ SELECT cast(i.record_id AS VARCHAR) AS record_id, i.gt_type, score_when2call, sc
 FROM items i JOIN w2c USING (record_id) LEFT JOIN exact USING (record_id) WHERE i.gt_type = 'tool'
 UNION ALL
 SELECT * FROM (""" + text_plans._BASE + """
-SELECT i.record_id, i.gt_type, CASE WHEN i.gt_type = i.pred_type THEN 1.0 ELSE 0.0 END, CAST(NULL AS DOUBLE), r1.score_rouge1
+SELECT i.record_id, i.gt_type, CAST(CASE WHEN i.gt_type = i.pred_type THEN 1.0 ELSE 0.0 END AS DOUBLE), CAST(NULL AS DOUBLE), r1.score_rouge1
 FROM items i LEFT JOIN r1 USING (record_id))""")
 def scores_union(spark, sf_dir):
     """O-49: tool-bucket rows and text-bucket rows in one table; each bucket's
@@ -130,7 +130,7 @@ def scores_union(spark, sf_dir):
 # ------------------------------------------------------------------ O-93
 @register("per_item_results", oracle=tool_plans._BASE + tool_plans._W2C + tool_plans._PICKUP + tool_plans._EXACT + """
 SELECT fb.record_id, 'tool' AS gt_type, fb.gt_args AS gt_value, fb.pred_type,
-       CASE WHEN fb.pred_type = 'tool' THEN 1 + CASE WHEN fb.record_id % 8 = 0 THEN 1 ELSE 0 END END AS n_pred_tools,
+       CAST(CASE WHEN fb.pred_type = 'tool' THEN 1 + CASE WHEN fb.record_id % 8 = 0 THEN 1 ELSE 0 END END AS BIGINT) AS n_pred_tools,
        score_when2call, score_tool_pick_up_rate, score_exact_match
 FROM fb JOIN w2c USING (record_id) LEFT JOIN pickup USING (record_id) LEFT JOIN exact USING (record_id)""")
 def per_item_results(spark, sf_dir):

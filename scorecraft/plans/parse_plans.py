@@ -117,8 +117,8 @@ def parse_report(spark, sf_dir):
 
 @register("schema_reliability", oracle=_G + """
 SELECT record_id,
-       CASE WHEN r IN (0, 2, 5, 6, 8) THEN 1.0 ELSE 0.0 END AS score_schema_reliability_raw,
-       CASE WHEN pred_type = 'tool' THEN 1.0 ELSE 0.0 END AS score_schema_reliability_processed
+       CAST(CASE WHEN r IN (0, 2, 5, 6, 8) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score_schema_reliability_raw,
+       CAST(CASE WHEN pred_type = 'tool' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score_schema_reliability_processed
 FROM x""")
 def schema_reliability(spark, sf_dir):
     parsed = P.parse_outputs(text_responses(spark, sf_dir), "json")

@@ -106,11 +106,11 @@ def record_group_summary(spark, sf_dir):
            CASE WHEN role = 'assistant' AND tool_calls IS NOT NULL THEN concat('<tool_call>', tool_calls, '</tool_call>')
                 WHEN role = 'tool' THEN concat('<tool_response>', coalesce(content, ''), '</tool_response>')
                 ELSE content END AS content FROM t)
-SELECT r.record_id, count(*) + 1 AS n_messages,
+SELECT r.record_id, CAST(count(*) + 1 AS INTEGER) AS n_messages,
        'system' AS first_role, '{R.system_message(SYSTEM_SECTIONS)}' AS system_content,
        max(CASE WHEN rw.turn_idx = r.trigger_turn THEN rw.role END) AS last_role,
        max(CASE WHEN rw.turn_idx = r.trigger_turn THEN rw.content END) AS last_content,
-       sum(length(rw.content)) AS context_chars
+       CAST(sum(length(rw.content)) AS BIGINT) AS context_chars
 FROM recs r JOIN rw ON rw.category = r.category AND rw.conv_id = r.conv_id AND rw.turn_idx <= r.trigger_turn
 GROUP BY r.record_id"""))
 def contexts_with_system(spark, sf_dir):

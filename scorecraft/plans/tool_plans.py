@@ -120,15 +120,15 @@ _EXACT = """
 , kb AS (SELECT record_id, count(*) FILTER (WHERE p_tag IS NULL OR NOT (""" + _MATCH.format(g="g", p="p") + """)) AS bad_keys
          FROM gk LEFT JOIN pk2 USING (record_id, rank, key) GROUP BY 1)
 , exact AS (SELECT b.record_id,
-            CASE WHEN coalesce(n_g, 0) = coalesce(n_p, 0) AND coalesce(bad_names, 0) = 0 AND coalesce(bad_keys, 0) = 0
-                 THEN 1.0 ELSE 0.0 END AS score_exact_match
+            CAST(CASE WHEN coalesce(n_g, 0) = coalesce(n_p, 0) AND coalesce(bad_names, 0) = 0 AND coalesce(bad_keys, 0) = 0
+                 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score_exact_match
          FROM both_tool b LEFT JOIN cnt USING (record_id) LEFT JOIN nb USING (record_id) LEFT JOIN kb USING (record_id))
 """
 
 _W2C = """
-, w2c AS (SELECT record_id, CASE WHEN coalesce(gt_type, 'error') = coalesce(pred_type, 'error') THEN 1.0 ELSE 0.0 END AS score_when2call FROM items)
-, sr AS (SELECT record_id, CASE WHEN gt_type = 'tool' THEN 1.0 END AS score_schema_reliability_raw,
-                CASE WHEN gt_type = 'tool' THEN CASE WHEN pred_type = 'tool' THEN 1.0 ELSE 0.0 END END AS score_schema_reliability_processed
+, w2c AS (SELECT record_id, CAST(CASE WHEN coalesce(gt_type, 'error') = coalesce(pred_type, 'error') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score_when2call FROM items)
+, sr AS (SELECT record_id, CAST(CASE WHEN gt_type = 'tool' THEN 1.0 END AS DOUBLE) AS score_schema_reliability_raw,
+                CAST(CASE WHEN gt_type = 'tool' THEN CASE WHEN pred_type = 'tool' THEN 1.0 ELSE 0.0 END END AS DOUBLE) AS score_schema_reliability_processed
          FROM items)
 """
 
