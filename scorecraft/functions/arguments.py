@@ -14,20 +14,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorecraft.functions.partitioning import by_key
+
 IGNORED_PARAMS = ("title",)
 MAX_DEPTH = 5
 _OBJ = "map<string,variant>"
 
 
-def _children(key: Column, val: Column) -> Column:
-    """Array of (key, val) for the next level: an object's non-ignored
-    members with dotted keys, or the row itself when it is a leaf."""
-    members = F.try_variant_get(val, "$", _OBJ)
-    kept = F.filter(F.map_entries(members), lambda e: ~e["key"].isin(*IGNORED_PARAMS))
-    nested = F.transform(kept, lambda e: F.struct(F.concat(key, F.lit("."), e["key"]).alias("key"),
+def _next_level(df: DataFrame, keep: list[str]) -> DataFrame:
+    """One level down: an object row becomes its non-ignored members with
+    dotted keys; a leaf row passes through.  The member map is computed once
+    per row (a column) before the generator reads it."""
+    d = df.withColumn("_m", F.try_variant_get(F.col("val"), "$", _OBJ))
+    kept = F.filter(F.map_entries(F.col("_m")), lambda e: ~e["key"].isin(*IGNORED_PARAMS))
+    nested = F.transform(kept, lambda e: F.struct(F.concat(F.col("key"), F.lit("."), e["key"]).alias("key"),
                                                   e["value"].alias("val")))
-    return F.when(members.isNotNull(), nested).otherwise(
-        F.array(F.struct(key.alias("key"), val.alias("val"))))
+    step = F.when(F.col("_m").isNotNull(), nested).otherwise(
+        F.array(F.struct(F.col("key").alias("key"), F.col("val").alias("val"))))
+    return d.select(*keep, F.inline(step))
 
 
 def type_tag(val: Column) -> Column:
@@ -43,21 +47,25 @@ def type_tag(val: Column) -> Column:
 
 
 def flatten_arguments(calls: DataFrame, keep: list[str], args_col: str = "arguments",
-                      max_depth: int = MAX_DEPTH) -> DataFrame:
+                      max_depth: int = MAX_DEPTH, partition_by: str | None = None) -> DataFrame:
     """One row per leaf argument of each call.
 
     ``keep`` columns are carried through.  Output adds ``key, base_key,
     type_tag, str_val, num_val``.  Objects deeper than ``max_depth`` are
-    reported as one leaf with tag ``object`` (never dropped).
+    reported as one leaf with tag ``object`` (never dropped).  With
+    ``partition_by`` the calls are hash-partitioned on that key first:
+    flattening is CPU-heavy, and the consumers aggregate by the same key, so
+    the exchange they need anyway moves in front of the expansion.
     """
+    if partition_by is not None:
+        calls = by_key(calls, partition_by)
     v = F.try_parse_json(F.col(args_col))
     top = F.try_variant_get(v, "$", _OBJ)
     first = F.transform(F.filter(F.map_entries(top), lambda e: ~e["key"].isin(*IGNORED_PARAMS)),
                         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("val")))
-    cur = calls.select(*keep, F.explode(first).alias("_e")).select(*keep, "_e.key", "_e.val")
+    cur = calls.select(*keep, F.inline(first))
     for _ in range(max_depth - 1):
-        cur = (cur.select(*keep, F.explode(_children(F.col("key"), F.col("val"))).alias("_e"))
-               .select(*keep, "_e.key", "_e.val"))
+        cur = _next_level(cur, keep)
     tag = type_tag(F.col("val"))
     return cur.select(
         *keep, "key",

@@ -5,11 +5,16 @@ catalogue-sized dimension (broadcast).  A NULL ``data_type``/``group_by`` in a
 rule means "any".  String leaves and the string elements of list leaves are
 checked; a value is a violation when some rule governs its (tool, param) in
 the call's own data_type/group_by context and none of those rules allows it.
+
+One chain: calls are hash-partitioned on ``record_id`` before flattening, so
+the call context (a window per call) and the per-value check (a group per
+value) reuse that partitioning; only the final per-(tool, param) counts
+shuffle, after partial aggregation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import flatten_arguments
@@ -21,21 +26,20 @@ def argument_values(calls: DataFrame) -> DataFrame:
     """One row per checked value: ``record_id, ordinal, key, pos`` (its
     identity), ``tool``, ``param`` (last key segment), ``value`` and the
     call's own ``ctx_data_type`` / ``ctx_group_by``."""
-    flat = flatten_arguments(calls, ["record_id", "ordinal", "name"])
+    flat = flatten_arguments(calls, ["record_id", "ordinal", "name"], partition_by="record_id")
     param = F.element_at(F.split("key", "\\."), -1)
-    leaves = flat.select("record_id", "ordinal", "key", F.col("name").alias("tool"), param.alias("param"),
-                         "type_tag", "str_val")
-    ctx = (leaves.filter(F.col("type_tag") == "str")
-           .groupBy("record_id", "ordinal")
-           .agg(F.max(F.when(F.col("param") == "data_type", F.col("str_val"))).alias("ctx_data_type"),
-                F.max(F.when(F.col("param") == "group_by", F.col("str_val"))).alias("ctx_group_by")))
-    scalar = (leaves.filter(F.col("type_tag") == "str")
-              .select("record_id", "ordinal", "key", F.lit(0).alias("pos"), "tool", "param", F.col("str_val").alias("value")))
-    listed = (leaves.filter(F.col("type_tag") == "list")
-              .select("record_id", "ordinal", "key", "tool", "param",
-                      F.posexplode(F.from_json("str_val", "array<string>")).alias("pos", "value"))
-              .select("record_id", "ordinal", "key", "pos", "tool", "param", "value"))
-    return scalar.unionByName(listed).join(ctx, ["record_id", "ordinal"], "left")
+    leaves = (flat.filter(F.col("type_tag").isin("str", "list"))
+              .select("record_id", "ordinal", "key", F.col("name").alias("tool"), param.alias("param"),
+                      "type_tag", "str_val"))
+    call = Window.partitionBy("record_id", "ordinal")
+
+    def ctx(name):
+        return F.max(F.when((F.col("param") == name) & (F.col("type_tag") == "str"), F.col("str_val"))).over(call)
+
+    elems = F.when(F.col("type_tag") == "list", F.from_json("str_val", "array<string>")).otherwise(F.array("str_val"))
+    return (leaves.withColumn("ctx_data_type", ctx("data_type")).withColumn("ctx_group_by", ctx("group_by"))
+            .select("record_id", "ordinal", "key", "tool", "param", "ctx_data_type", "ctx_group_by",
+                    F.posexplode(elems).alias("pos", "value")))
 
 
 def check_values(values: DataFrame, param_enum: DataFrame) -> DataFrame:

@@ -214,7 +214,8 @@ def tool_scores_wide(items: DataFrame, calls: DataFrame, tools: DataFrame, param
     unknown = [m for m in wanted if m not in METRICS]
     if unknown:
         raise ValueError(f"unknown tool metrics: {unknown}")
-    items = by_key(items, "record_id")
+    keep = [c for c in ("record_id", "gt_type", "pred_type", "raw_text", "raw_ok") if c in items.columns]
+    items = shared(by_key(items.select(*keep), "record_id"))
     out = items.join(when2call(items), "record_id") if "when2call" in wanted else items
     if {"schema_reliability_raw", "schema_reliability_processed"} & set(wanted):
         out = out.join(schema_reliability(items), "record_id")

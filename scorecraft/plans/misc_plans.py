@@ -8,6 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import flatten_arguments, simplify_filter_keys
+from scorecraft.functions.partitioning import shared
 from scorecraft.operators import domain as D
 from scorecraft.operators import parsing as P
 from scorecraft.operators import text_metrics as X
@@ -28,7 +29,7 @@ from scorecraft.sources.datasets import normalise_legacy
 SELECT record_id, key, type_tag, str_val, num_val FROM k2 WHERE NOT regexp_matches(key, '(^|\\.)filter\\.')""")
 def flatten_filter_args(spark, sf_dir):
     a = fixture(spark, sf_dir, "filter_args")
-    return simplify_filter_keys(flatten_arguments(a, ["record_id"])).select(
+    return simplify_filter_keys(flatten_arguments(a, ["record_id"], partition_by="record_id")).select(
         "record_id", "key", "type_tag", "str_val", "num_val")
 
 
@@ -153,7 +154,8 @@ def tool_eval_end_to_end(spark, sf_dir):
     """Truth calls (F-B) against parsed free-text answers (F-G): parse once,
     score all tool metrics, one wide row per record."""
     gt = tool_plans.calls(spark, sf_dir).filter(F.col("side") == "gt")
-    parsed = P.parse_outputs(parse_plans.text_responses(spark, sf_dir), "json")
+    # Parse once; the items and the predicted calls both read the result.
+    parsed = shared(P.parse_outputs(parse_plans.text_responses(spark, sf_dir), "json"))
     items = parsed.select("record_id", F.lit("tool").alias("gt_type"), "pred_type", "raw_text", "raw_ok")
     calls = gt.unionByName(P.calls_from_parsed(parsed))
     tools, params = fixture_catalog(spark)

@@ -142,7 +142,7 @@ def tool_catalog(spark, sf_dir):
     """O-03/O-04: catalogue parameters with how often predictions use them."""
     _, params = fixture_catalog(spark)
     c = calls(spark, sf_dir).filter(F.col("side") == "pred")
-    uses = (flatten_arguments(c, ["name"]).groupBy(F.col("name").alias("tool"), F.col("base_key").alias("param"))
+    uses = (flatten_arguments(c, ["name"], partition_by="record_id").groupBy(F.col("name").alias("tool"), F.col("base_key").alias("param"))
             .agg(F.count(F.lit(1)).alias("n_pred_uses")))
     return (params.filter(F.col("param") != "title").select("tool", "param")
             .join(uses, ["tool", "param"], "left")
@@ -151,7 +151,7 @@ def tool_catalog(spark, sf_dir):
 
 @register("flatten_params", oracle=_BASE + _FLAT.format(keep="r.record_id, r.side, r.ordinal, r.name", src="rows"))
 def flatten_params(spark, sf_dir):
-    return flatten_arguments(calls(spark, sf_dir), ["record_id", "side", "ordinal", "name"])
+    return flatten_arguments(calls(spark, sf_dir), ["record_id", "side", "ordinal", "name"], partition_by="record_id")
 
 
 @register("values_match", oracle=_BASE + """
@@ -160,7 +160,7 @@ def flatten_params(spark, sf_dir):
 , p AS (SELECT record_id, key, type_tag AS p_tag, str_val AS p_str, num_val AS p_num FROM fl WHERE side = 'pred' AND ordinal = 0)
 SELECT record_id, key, """ + _MATCH.format(g="g", p="p") + """ AS is_match FROM g JOIN p USING (record_id, key)""")
 def values_match_plan(spark, sf_dir):
-    fl = flatten_arguments(calls(spark, sf_dir), ["record_id", "side", "ordinal"])
+    fl = flatten_arguments(calls(spark, sf_dir), ["record_id", "side", "ordinal"], partition_by="record_id")
     g = fl.filter(F.col("side") == "gt").select("record_id", "key", F.col("type_tag").alias("g_tag"),
                                                 F.col("str_val").alias("g_str"), F.col("num_val").alias("g_num"))
     p = fl.filter((F.col("side") == "pred") & (F.col("ordinal") == 0)).select(

@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Joins on (record_id, x, ...) between sides already hash-partitioned on
+    # record_id (same partition count) reuse that partitioning instead of
+    # shuffling both sides again on the full key.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
