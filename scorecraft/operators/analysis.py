@@ -71,6 +71,11 @@ def model_means(df: DataFrame, model_col: str = "model") -> DataFrame:
     return long_scores(df, [model_col]).groupBy(model_col, "metric").agg(F.avg("value").alias("mean"))
 
 
+def order_models(df: DataFrame) -> DataFrame:
+    """O-90: models earliest run first (then by name)."""
+    return df.orderBy("run_ts", "model")
+
+
 def normalised_metrics(means: DataFrame) -> DataFrame:
     """O-86: 1-5 scores -> (v-1)/4; levenshtein_distance -> v / largest model
     mean (0 when that is not positive); other metrics unchanged."""

@@ -20,6 +20,13 @@ def output_text(content: F.Column, error: F.Column) -> F.Column:
     return py_strip(F.coalesce(content, error, F.lit("")))
 
 
+def guardrail_contexts(rows: DataFrame, system_prompt: str, prompt_col: str = "prompt") -> DataFrame:
+    """O-19: single-turn context per row: ``[system, user(prompt)]``."""
+    ctx = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content")),
+                  F.struct(F.lit("user").alias("role"), F.col(prompt_col).alias("content")))
+    return rows.withColumn("context", ctx)
+
+
 def split_valid(df: DataFrame, output_col: str = "output", valid_labels=VALID_LABELS):
     """O-53: (valid rows, discarded rows); valid iff the normalised output is a
     known label.  ``predicted_label`` holds the normalised output."""

@@ -113,6 +113,12 @@ def dangling_user_turns(turns: DataFrame, min_messages: int = 2) -> DataFrame:
             .select(*SAMPLE, "uid", "turn_idx"))
 
 
+def text_ground_truth(records: DataFrame) -> DataFrame:
+    """O-50: records whose ground-truth message carries text (tool turns
+    included) -- the content benchmark's population."""
+    return records.filter(F.col("gt_content").isNotNull())
+
+
 def materialise_context(records: DataFrame, turns: DataFrame, system_text: str | None = None,
                         template_has_tool_token: bool = False) -> DataFrame:
     """O-15 context + O-18 system turn: ``ARRAY<STRUCT<role, content>>`` per record.

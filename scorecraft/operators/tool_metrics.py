@@ -234,6 +234,19 @@ def tool_scores_wide(items: DataFrame, calls: DataFrame, tools: DataFrame, param
     return out.select("record_id", "gt_type", "pred_type", *[f"score_{m}" for m in wanted])
 
 
+def alignment_report(records: DataFrame, outputs: DataFrame) -> DataFrame:
+    """O-47: records and outputs meet by ``record_id`` (never by position);
+    one row with matched and unmatched counts on each side."""
+    r = records.select("record_id", F.lit(True).alias("_r")).distinct()
+    o = outputs.select("record_id", F.lit(True).alias("_o")).distinct()
+    j = r.join(o, "record_id", "full_outer")
+    return j.agg(F.count_if(F.col("_r").isNotNull()).alias("n_records"),
+                 F.count_if(F.col("_o").isNotNull()).alias("n_outputs"),
+                 F.count_if(F.col("_r").isNotNull() & F.col("_o").isNotNull()).alias("n_matched"),
+                 F.count_if(F.col("_o").isNull()).alias("n_records_without_output"),
+                 F.count_if(F.col("_r").isNull()).alias("n_outputs_without_record"))
+
+
 def bucket_counts(items: DataFrame) -> DataFrame:
     """O-48: records per ground-truth bucket (tool / nlp)."""
     return items.groupBy("gt_type").agg(F.count(F.lit(1)).alias("n_records"))

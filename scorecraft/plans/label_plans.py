@@ -126,3 +126,18 @@ SELECT sample_id, prompt_label FROM r, q WHERE rn <= quota""")
 def balanced_subset(spark, sf_dir):
     g = fixture(spark, sf_dir, "guardrail")
     return L.balanced_subset(g, "prompt_label", "sample_id", n=100, seed=123).select("sample_id", "prompt_label")
+
+
+GUARD_SYSTEM = "Classify the user prompt as safe or unsafe."
+
+
+@register("guardrail_contexts", oracle="WITH g AS (" + fixture_sql("guardrail") + f""")
+SELECT sample_id, CAST(2 AS INTEGER) AS n_messages, 'system' AS first_role, '{GUARD_SYSTEM}' AS system_content,
+       'user' AS last_role, prompt AS user_content FROM g""")
+def guardrail_contexts(spark, sf_dir):
+    """O-19: ``[system, user(prompt)]`` per guardrail row."""
+    c = L.guardrail_contexts(fixture(spark, sf_dir, "guardrail"), GUARD_SYSTEM).select("sample_id", "context")
+    ctx = F.col("context")
+    return c.select("sample_id", F.size(ctx).alias("n_messages"), ctx[0]["role"].alias("first_role"),
+                    ctx[0]["content"].alias("system_content"), ctx[1]["role"].alias("last_role"),
+                    ctx[1]["content"].alias("user_content"))

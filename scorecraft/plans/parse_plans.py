@@ -147,3 +147,29 @@ def response_error_rate(spark, sf_dir):
     g = fixture(spark, sf_dir, "raw_outputs")
     return g.agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("n_error"),
                  F.avg(F.col("error").isNotNull().cast("double")).alias("error_rate"))
+
+
+@register("responses_normalise_structured", oracle=_G + """
+SELECT record_id,
+       CASE WHEN r = 8 THEN NULL WHEN r = 0 THEN NULL WHEN r = 5 THEN 'hello' ELSE coalesce(content, '') END AS content,
+       CASE WHEN r = 0 THEN 'show_pie_chart' END AS tool_name,
+       CASE WHEN r = 0 THEN '5' END AS limit_arg
+FROM x""")
+def responses_normalise_structured(spark, sf_dir):
+    """O-27: label-task answers in JSON are unwrapped into a call or text."""
+    from scorecraft.operators.exchange import normalise_outputs
+    n = normalise_outputs(text_responses(spark, sf_dir), structured_labels=True, layout="online")
+    first = F.col("tool_calls")[0]["function"]
+    return n.select("record_id", "content", first["name"].alias("tool_name"),
+                    F.get_json_object(first["arguments"], "$.limit").alias("limit_arg"))
+
+
+@register("alignment_report", oracle="WITH b AS (" + fixture_sql("tool_calls") + "), g AS (" + fixture_sql("raw_outputs") + """)
+SELECT count(*) AS n_records, count(g.record_id) AS n_outputs, count(g.record_id) AS n_matched,
+       count(*) - count(g.record_id) AS n_records_without_output, CAST(0 AS BIGINT) AS n_outputs_without_record
+FROM b LEFT JOIN (SELECT record_id FROM g WHERE error IS NULL) g USING (record_id)""")
+def alignment_report(spark, sf_dir):
+    """O-47: matched / unmatched counts of records and response lines."""
+    records = fixture(spark, sf_dir, "tool_calls").select("record_id")
+    lines = fixture(spark, sf_dir, "raw_outputs").filter(F.col("error").isNull()).select("record_id")
+    return T.alignment_report(records, lines)

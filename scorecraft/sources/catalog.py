@@ -12,8 +12,10 @@ by the data, which is what makes broadcasting them safe.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_DESCRIPTION = "No description provided."
 
@@ -34,13 +36,24 @@ FIXTURE_CATALOG = """
 """
 
 
+@F.pandas_udf(T.StringType())
+def _yaml_to_json(text: pd.Series) -> pd.Series:
+    import json
+
+    import yaml
+    return text.map(lambda t: None if t is None else json.dumps(yaml.safe_load(t)))
+
+
 def catalog_documents(spark: SparkSession, path: str | None = None, text: str | None = None) -> DataFrame:
     """One row per catalogue document (``doc`` VARIANT).  A file is read whole
-    (a catalogue is configuration-sized); inline text wins over a path."""
+    (a catalogue is configuration-sized); inline text wins over a path; a
+    ``.yaml``/``.yml`` file is converted to JSON on the executor."""
     if text is not None:
         df = spark.createDataFrame([(text,)], "value string")
     elif path is not None:
         df = spark.read.text(path, wholetext=True)
+        if path.lower().endswith((".yaml", ".yml")):
+            df = df.select(_yaml_to_json("value").alias("value"))
     else:
         raise ValueError("a catalogue path or inline text is required")
     return df.select(F.parse_json("value").alias("doc"))

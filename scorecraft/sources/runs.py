@@ -33,6 +33,25 @@ def load_results(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
+def load_inference_outputs(spark: SparkSession, run_dir: str, guardrail: bool = True):
+    """O-06: the saved ``records`` and ``responses`` tables of one inference
+    run (Parquet directories), and the guardrail outputs when present; a
+    missing guardrail table is skipped with a warning (None)."""
+    import logging
+
+    from pyspark.errors import AnalysisException
+    base = run_dir.rstrip("/")
+    records = spark.read.parquet(f"{base}/records")
+    responses = spark.read.parquet(f"{base}/responses")
+    guard = None
+    if guardrail:
+        try:
+            guard = spark.read.parquet(f"{base}/guardrail_outputs")
+        except AnalysisException:
+            logging.getLogger(__name__).warning("no guardrail outputs under %s; skipping", base)
+    return records, responses, guard
+
+
 def scan_runs(spark: SparkSession, root: str, benchmark: str) -> DataFrame:
     """O-09: every run and model of one benchmark, tagged from the path."""
     pattern = f"{root.rstrip('/')}/*/*/{benchmark}/{RESULTS_FILE}"
