@@ -47,7 +47,8 @@ def type_tag(val: Column) -> Column:
 
 
 def flatten_arguments(calls: DataFrame, keep: list[str], args_col: str = "arguments",
-                      max_depth: int = MAX_DEPTH, partition_by: str | None = None) -> DataFrame:
+                      max_depth: int = MAX_DEPTH, partition_by: str | None = None,
+                      call_rows: bool = False) -> DataFrame:
     """One row per leaf argument of each call.
 
     ``keep`` columns are carried through.  Output adds ``key, base_key,
@@ -55,7 +56,9 @@ def flatten_arguments(calls: DataFrame, keep: list[str], args_col: str = "argume
     reported as one leaf with tag ``object`` (never dropped).  With
     ``partition_by`` the calls are hash-partitioned on that key first:
     flattening is CPU-heavy, and the consumers aggregate by the same key, so
-    the exchange they need anyway moves in front of the expansion.
+    the exchange they need anyway moves in front of the expansion.  With
+    ``call_rows`` every call also yields one marker row with NULL ``key``, so
+    calls without arguments stay visible downstream.
     """
     if partition_by is not None:
         calls = by_key(calls, partition_by)
@@ -63,10 +66,13 @@ def flatten_arguments(calls: DataFrame, keep: list[str], args_col: str = "argume
     top = F.try_variant_get(v, "$", _OBJ)
     first = F.transform(F.filter(F.map_entries(top), lambda e: ~e["key"].isin(*IGNORED_PARAMS)),
                         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("val")))
+    if call_rows:
+        marker = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("val")))
+        first = F.concat(marker, F.coalesce(first, F.array().cast("array<struct<key:string,val:variant>>")))
     cur = calls.select(*keep, F.inline(first))
     for _ in range(max_depth - 1):
         cur = _next_level(cur, keep)
-    tag = type_tag(F.col("val"))
+    tag = F.when(F.col("key").isNotNull(), type_tag(F.col("val")))
     return cur.select(
         *keep, "key",
         F.substring_index(F.col("key"), ".", 1).alias("base_key"),

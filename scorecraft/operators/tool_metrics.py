@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import IGNORED_PARAMS, flatten_arguments, values_match
-from scorecraft.functions.partitioning import by_key, shared
+from scorecraft.functions.partitioning import by_key
 
 CALL_KEEP = ["record_id", "side", "ordinal", "name", "rank", "is_last"]
 
@@ -201,36 +201,16 @@ def exact_match(items: DataFrame, calls: DataFrame, leaves: DataFrame | None = N
 def tool_scores_wide(items: DataFrame, calls: DataFrame, tools: DataFrame, params: DataFrame,
                      metrics: list[str] | None = None) -> DataFrame:
     """O-68: all tool metrics in one wide row per record.  ``metrics`` (names
-    from ``METRICS``) selects columns; unknown names raise.  Unselected
-    families are not planned.
-
-    Plan shape: the calls are hash-partitioned on ``record_id`` once, their
-    arguments flattened once; both are shared by the metric families
-    (computed once, spill to disk, recomputed from lineage if lost).  Every
-    family aggregates on keys that start with ``record_id``, so its
-    aggregations reuse that partitioning; the per-record results meet the
-    items on ``record_id``."""
+    from ``METRICS``) selects columns; unknown names raise.
+
+    Computed by :func:`tool_scores_onepass` (one shuffle of the calls, one
+    flattening, per-record evaluation); the per-metric operators above give
+    the same values and are kept for single-metric use and cross-checks."""
     wanted = METRICS if metrics is None else list(metrics)
     unknown = [m for m in wanted if m not in METRICS]
     if unknown:
         raise ValueError(f"unknown tool metrics: {unknown}")
-    keep = [c for c in ("record_id", "gt_type", "pred_type", "raw_text", "raw_ok") if c in items.columns]
-    items = shared(by_key(items.select(*keep), "record_id"))
-    out = items.join(when2call(items), "record_id") if "when2call" in wanted else items
-    if {"schema_reliability_raw", "schema_reliability_processed"} & set(wanted):
-        out = out.join(schema_reliability(items), "record_id")
-    need_pickup = any(m.startswith("tool_") for m in wanted)
-    need_var = any(m.startswith("variable_") for m in wanted)
-    need_exact = "exact_match" in wanted
-    if need_pickup or need_var or need_exact:
-        prepared = shared(prepare_calls(calls))
-        leaves = shared(call_leaves(prepared)) if (need_var or need_exact) else None
-        if need_pickup:
-            out = out.join(tool_pickup(items, prepared, tools), "record_id", "left")
-        if need_var:
-            out = out.join(variable_metrics(items, prepared, params, leaves), "record_id", "left")
-        if need_exact:
-            out = out.join(exact_match(items, prepared, leaves), "record_id", "left")
+    out = tool_scores_onepass(items, calls, tools, params)
     return out.select("record_id", "gt_type", "pred_type", *[f"score_{m}" for m in wanted])
 
 
@@ -250,3 +230,125 @@ def alignment_report(records: DataFrame, outputs: DataFrame) -> DataFrame:
 def bucket_counts(items: DataFrame) -> DataFrame:
     """O-48: records per ground-truth bucket (tool / nlp)."""
     return items.groupBy("gt_type").agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def _b(c):
+    """Boolean lambda results: NULL reads as false."""
+    return F.coalesce(c, F.lit(False))
+
+
+def _leaf_match(g, p):
+    return _b(values_match(g["tag"], g["s"], g["n"], p["tag"], p["s"], p["n"]))
+
+
+def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, params: DataFrame) -> DataFrame:
+    """O-55..O-68 in one pass: the same values as :func:`tool_scores_wide`.
+
+    Calls are hash-partitioned on ``record_id`` once; catalogue flags come
+    from broadcast joins (narrow); arguments are flattened once with a marker
+    row per call; each record's rows are gathered in place (the partitioning
+    already clusters them, so no further shuffle) and every metric is a
+    higher-order-function expression over that record's calls and leaves.
+    A record holds one model answer, so the gathered group is bounded by the
+    answer size.  Exchanges: the calls and the items, once each."""
+    prepared = prepare_calls(calls)
+    cat = F.broadcast(tools.select("name", F.lit(True).alias("in_cat")).distinct())
+    valid = F.broadcast(params.filter(~F.col("param").isin(*IGNORED_PARAMS))
+                        .select(F.col("tool").alias("name"), F.col("param").alias("base_key"),
+                                F.lit(True).alias("valid")).distinct())
+    rows = flatten_arguments(prepared.join(cat, "name", "left"), CALL_KEEP + ["in_cat"], call_rows=True)
+    rows = rows.join(valid, ["name", "base_key"], "left")
+    rec = rows.groupBy("record_id").agg(F.collect_list(F.struct(
+        F.col("side"), F.col("ordinal"), F.col("name"), F.col("rank"), F.col("is_last"),
+        F.coalesce("in_cat", F.lit(False)).alias("in_cat"), F.col("key"),
+        F.coalesce("valid", F.lit(False)).alias("valid"),
+        F.col("type_tag").alias("tag"), F.col("str_val").alias("s"), F.col("num_val").alias("n"))).alias("r"))
+
+    # Split each record's rows once into the arrays the metrics read
+    # (higher-order functions are interpreted: evaluate each split once).
+    r = F.col("r")
+    leaf = lambda x: x["key"].isNotNull()
+    split = rec.select(
+        "record_id",
+        F.filter(r, lambda x: x["key"].isNull() & (x["side"] == "gt")).alias("gtc"),
+        F.filter(r, lambda x: x["key"].isNull() & (x["side"] == "pred")).alias("pdc"),
+        F.filter(r, lambda x: leaf(x) & (x["side"] == "gt")).alias("gl"),
+        F.filter(r, lambda x: leaf(x) & (x["side"] == "pred")).alias("pl"))
+    gtc, pdc, gl_all, pl_all = F.col("gtc"), F.col("pdc"), F.col("gl"), F.col("pl")
+    n_gt = F.size(gtc)
+    G = F.array_distinct(F.transform(gtc, lambda x: x["name"]))
+    P = F.array_distinct(F.transform(pdc, lambda x: x["name"]))
+    PA = F.array_distinct(F.transform(F.filter(pdc, lambda x: x["in_cat"]), lambda x: x["name"]))
+
+    def rate(n):
+        return F.try_divide(n.cast("double"), n_gt.cast("double"))
+
+    # variable metrics: per tool in G∩P, the last call per name on each side
+    def tool_counts(t):
+        gl = F.filter(gl_all, lambda x: x["is_last"] & (x["name"] == t))
+        pl = F.filter(pl_all, lambda x: x["is_last"] & (x["name"] == t))
+        flags = F.transform(pl, lambda p: F.struct(
+            p["valid"].alias("v"),
+            _b(F.exists(gl, lambda g: g["key"] == p["key"])).alias("in_gt"),
+            _b(F.exists(gl, lambda g: (g["key"] == p["key"]) & _leaf_match(g, p))).alias("ok")))
+        nk = F.size(gl).cast("double")
+
+        def count(pred):
+            return F.try_divide(F.size(F.filter(flags, pred)).cast("double"), nk)
+        return F.struct(count(lambda f: f["v"] & f["in_gt"]).alias("k"),
+                        count(lambda f: f["v"] & f["ok"]).alias("c"),
+                        count(lambda f: ~f["v"]).alias("h"),
+                        count(lambda f: f["v"] & ~f["in_gt"]).alias("a"))
+
+    # exact match: equal counts; calls paired by stable rank
+    def rank_ok(k):
+        gn = F.filter(gtc, lambda x: x["rank"] == k)[0]["name"]
+        pn = F.filter(pdc, lambda x: x["rank"] == k)[0]["name"]
+        gl = F.filter(gl_all, lambda x: x["rank"] == k)
+        pl = F.filter(pl_all, lambda x: x["rank"] == k)
+        keys_ok = F.forall(gl, lambda g: _b(F.exists(pl, lambda p: (p["key"] == g["key"]) & _leaf_match(g, p))))
+        return _b(gn == pn) & _b(keys_ok)
+
+    staged = split.select(
+        "record_id",
+        rate(F.size(F.array_intersect(G, P))).alias("score_tool_pick_up_rate"),
+        rate(F.size(F.array_except(P, PA))).alias("score_tool_hallucination_rate"),
+        rate(F.size(F.array_except(PA, G))).alias("score_tool_additional_rate"),
+        n_gt.alias("n_gt"),
+        F.transform(F.array_intersect(G, P), tool_counts).alias("per_tool"),
+        F.when((n_gt == F.size(pdc))
+               & _b(F.forall(F.sequence(F.lit(1), F.greatest(n_gt, F.lit(1))), lambda k: (n_gt == 0) | rank_ok(k))),
+               1.0).otherwise(0.0).alias("score_exact_match"))
+    per_tool = F.col("per_tool")
+    undefined = _b(F.exists(per_tool, lambda x: x["k"].isNull()))
+
+    def var_rate(f):
+        total = F.aggregate(per_tool, F.lit(0.0), lambda acc, x: acc + F.coalesce(x[f], F.lit(0.0)))
+        return F.when(~undefined, F.try_divide(total, F.col("n_gt").cast("double")))
+
+    scores = staged.select(
+        "record_id", "score_tool_pick_up_rate", "score_tool_hallucination_rate", "score_tool_additional_rate",
+        var_rate("k").alias("score_variable_pickup_rate"), var_rate("c").alias("score_variable_correct_rate"),
+        var_rate("h").alias("score_variable_hallucination_rate"), var_rate("a").alias("score_variable_additional_rate"),
+        "score_exact_match")
+    keep = [c for c in ("record_id", "gt_type", "pred_type", "raw_text", "raw_ok") if c in items.columns]
+    it = by_key(items.select(*keep), "record_id")
+    both_tool = (F.col("gt_type") == "tool") & (F.col("pred_type") == "tool")
+    tool_cols = [c for c in scores.columns if c != "record_id"]
+    out = it.join(scores, "record_id", "left")
+    return out.select("record_id", "gt_type", "pred_type", *_item_score_columns(out.columns),
+                      *[F.when(both_tool, F.col(c)).alias(c) for c in tool_cols])
+
+
+def _item_score_columns(columns: list[str]) -> list:
+    """when2call and schema reliability as columns of the item row."""
+    same = F.coalesce(F.col("gt_type"), F.lit("error")) == F.coalesce(F.col("pred_type"), F.lit("error"))
+    gt_tool = F.col("gt_type") == "tool"
+    raw_text = F.col("raw_text") if "raw_text" in columns else F.lit(None).cast("string")
+    raw_ok = F.col("raw_ok") if "raw_ok" in columns else F.lit(False)
+    raw = (F.when(~gt_tool | raw_text.isNull(), F.lit(None).cast("double"))
+           .when(F.regexp_replace(raw_text, r"^\s+|\s+$", "") == "", 1.0)
+           .when(F.coalesce(raw_ok, F.lit(False)), 1.0).otherwise(0.0))
+    proc = F.when(gt_tool, F.when(F.col("pred_type") == "tool", 1.0).otherwise(0.0))
+    return [F.when(same, 1.0).otherwise(0.0).alias("score_when2call"),
+            raw.alias("score_schema_reliability_raw"), proc.alias("score_schema_reliability_processed")]

@@ -124,3 +124,17 @@ def test_repartition_invariance(spark):
     b = T.tool_scores_wide(it.repartition(3).orderBy(F.rand(1)), calls.repartition(5).orderBy(F.rand(2)),
                            tools_dim(docs), tool_params_dim(docs))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_onepass_equals_per_metric_operators(spark):
+    from scorecraft.plans import tool_plans
+    from scorecraft.sources.catalog import fixture_catalog
+    it, calls = tool_plans.items(spark, SF_SMALL), tool_plans.calls(spark, SF_SMALL)
+    tools, params = fixture_catalog(spark)
+    wide = {r.record_id: r for r in T.tool_scores_onepass(it, calls, tools, params).collect()}
+    parts = [T.when2call(it), T.schema_reliability(it), T.tool_pickup(it, calls, tools),
+             T.variable_metrics(it, calls, params), T.exact_match(it, calls)]
+    for part in parts:
+        for r in part.collect():
+            for c in part.columns[1:]:
+                assert wide[r.record_id][c] == r[c], (c, r.record_id)
