@@ -118,9 +118,10 @@ def scores_union(spark, sf_dir):
     """O-49: tool-bucket rows and text-bucket rows in one table; each bucket's
     metrics are NULL on the other bucket's rows."""
     it = tool_plans.items(spark, sf_dir).filter(F.col("gt_type") == "tool")
-    tool_rows = (T.when2call(it).join(T.exact_match(it, tool_plans.calls(spark, sf_dir)), "record_id", "left")
-                 .join(it.select("record_id", "gt_type"), "record_id")
-                 .withColumn("record_id", F.col("record_id").cast("string")))
+    tools, params = fixture_catalog(spark)
+    tool_rows = (T.tool_scores_wide(it, tool_plans.calls(spark, sf_dir), tools, params, ["when2call", "exact_match"])
+                 .select(F.col("record_id").cast("string").alias("record_id"), "gt_type",
+                         "score_when2call", "score_exact_match"))
     tit = text_plans.items(spark, sf_dir)
     text_rows = (T.when2call(tit).join(X.rouge1(X.scorable(tit)), "record_id", "left")
                  .join(tit.select("record_id", "gt_type"), "record_id"))

@@ -174,21 +174,29 @@ def when2call(spark, sf_dir):
     return T.when2call(items(spark, sf_dir))
 
 
+def _only_tool(spark, sf_dir, metrics):
+    """Single-metric plans read the one-pass table; column pruning keeps only
+    the requested metric expressions."""
+    tools, params = fixture_catalog(spark)
+    wide = T.tool_scores_wide(items(spark, sf_dir), calls(spark, sf_dir), tools, params, metrics)
+    both = (F.col("gt_type") == "tool") & (F.col("pred_type") == "tool")
+    return wide.filter(both).select("record_id", *[f"score_{m}" for m in metrics])
+
+
 @register("tool_pickup", oracle=_BASE + _PICKUP + "SELECT * FROM pickup")
 def tool_pickup(spark, sf_dir):
-    tools, _ = fixture_catalog(spark)
-    return T.tool_pickup(items(spark, sf_dir), calls(spark, sf_dir), tools)
+    return _only_tool(spark, sf_dir, ["tool_pick_up_rate", "tool_hallucination_rate", "tool_additional_rate"])
 
 
 @register("variable_metrics", oracle=_BASE + _VARIABLE + "SELECT * FROM variable")
 def variable_metrics(spark, sf_dir):
-    _, params = fixture_catalog(spark)
-    return T.variable_metrics(items(spark, sf_dir), calls(spark, sf_dir), params)
+    return _only_tool(spark, sf_dir, ["variable_pickup_rate", "variable_correct_rate",
+                                      "variable_hallucination_rate", "variable_additional_rate"])
 
 
 @register("exact_match", oracle=_BASE + _EXACT + "SELECT * FROM exact")
 def exact_match(spark, sf_dir):
-    return T.exact_match(items(spark, sf_dir), calls(spark, sf_dir))
+    return _only_tool(spark, sf_dir, ["exact_match"])
 
 
 @register("tool_scores_wide", oracle=_BASE + _W2C + _PICKUP + _VARIABLE + _EXACT + """
