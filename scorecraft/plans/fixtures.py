@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from scorecraft.sources.tables import table
 
 # F-A: chat turns.  Categories and tool turns from key arithmetic; assistant
-# turns right before a tool turn carry a native call (JSON text).
-# Conversations with conv_id % 10 = 9 keep only their first turn, which makes
-# the too-short samples the pre-processing must quarantine.
+# turns right before a tool turn carry a native call (JSON text).  Every
+# conversation is kept whole; in addition its opening message alone forms a
+# one-message sample (key -conv_id - 1), which the pre-processing must
+# quarantine as too short.
 TURNS = """
 select case conv_id % 3 when 0 then 'complete' when 1 then 'incomplete' else 'nlp' end as category,
        conv_id,
@@ -30,7 +31,13 @@ select case conv_id % 3 when 0 then 'complete' when 1 then 'incomplete' else 'nl
             then concat('{"name": "show_pie_chart", "arguments": {"limit": ', cast(turn as string), '}}')
        end as tool_calls
 from {conversations}
-where conv_id % 10 <> 9 or turn = 0
+union all
+select case conv_id % 3 when 0 then 'complete' when 1 then 'incomplete' else 'nlp' end as category,
+       -conv_id - 1 as conv_id,
+       concat('s', cast(conv_id as string)) as uid,
+       turn as turn_idx, role, text as content, cast(null as string) as tool_calls
+from {conversations}
+where turn = 0
 """
 
 # F-B: ground-truth and predicted tool calls (JSON argument text).
@@ -66,7 +73,7 @@ from fb where pred_type = 'tool' and record_id % 8 = 0
 
 # F-C: guardrail rows (labels joined to documents) with raw model output.
 GUARDRAIL = """
-select l.doc_id as sample_id, substr(d.text, 1, 40) as prompt,
+select l.doc_id as sample_id, d.text as prompt,
        case when l.toxic = 1 then 'unsafe' else 'safe' end as prompt_label,
        case when l.quality = 1 then 'S1' else '' end as violated_categories,
        case when l.doc_id % 23 = 0 then 'cannot say' when l.doc_id % 7 = 0 then ' Unsafe '
