@@ -210,7 +210,15 @@ def tool_scores_wide(items: DataFrame, calls: DataFrame, tools: DataFrame, param
     unknown = [m for m in wanted if m not in METRICS]
     if unknown:
         raise ValueError(f"unknown tool metrics: {unknown}")
-    out = tool_scores_onepass(items, calls, tools, params)
+    if any(m.startswith("variable_") or m == "exact_match" for m in wanted):
+        out = tool_scores_onepass(items, calls, tools, params)
+    else:
+        # No argument-level metric requested: no flattening at all.
+        keep = [c for c in ("record_id", "gt_type", "pred_type", "raw_text", "raw_ok") if c in items.columns]
+        it = by_key(items.select(*keep), "record_id")
+        out = it.select("record_id", "gt_type", "pred_type", *_item_score_columns(it.columns))
+        if any(m.startswith("tool_") for m in wanted):
+            out = out.join(tool_pickup(it, calls, tools), "record_id", "left")
     return out.select("record_id", "gt_type", "pred_type", *[f"score_{m}" for m in wanted])
 
 
