@@ -22,16 +22,17 @@ _OBJ = "map<string,variant>"
 
 
 def _next_level(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One level down: an object row becomes its non-ignored members with
-    dotted keys; a leaf row passes through.  The member map is computed once
-    per row (a column) before the generator reads it."""
+    """One level down: an object row becomes its members (dotted keys, the
+    ignored names dropped, an empty object nothing); a leaf row passes
+    through.  Generators and row filters only, so the step stays in
+    whole-stage codegen."""
     d = df.withColumn("_m", F.try_variant_get(F.col("val"), "$", _OBJ))
-    kept = F.filter(F.map_entries(F.col("_m")), lambda e: ~e["key"].isin(*IGNORED_PARAMS))
-    nested = F.transform(kept, lambda e: F.struct(F.concat(F.col("key"), F.lit("."), e["key"]).alias("key"),
-                                                  e["value"].alias("val")))
-    step = F.when(F.col("_m").isNotNull(), nested).otherwise(
-        F.array(F.struct(F.col("key").alias("key"), F.col("val").alias("val"))))
-    return d.select(*keep, F.inline(step))
+    e = d.select(*keep, "key", "val", F.col("_m").isNotNull().alias("_obj"),
+                 F.explode_outer("_m").alias("_ck", "_cv"))
+    e = e.filter(~(F.col("_obj") & (F.col("_ck").isNull() | F.col("_ck").isin(*IGNORED_PARAMS))))
+    return e.select(*keep,
+                    F.when(F.col("_obj"), F.concat(F.col("key"), F.lit("."), F.col("_ck"))).otherwise(F.col("key")).alias("key"),
+                    F.when(F.col("_obj"), F.col("_cv")).otherwise(F.col("val")).alias("val"))
 
 
 def type_tag(val: Column) -> Column:
@@ -63,13 +64,13 @@ def flatten_arguments(calls: DataFrame, keep: list[str], args_col: str = "argume
     if partition_by is not None:
         calls = by_key(calls, partition_by)
     v = F.try_parse_json(F.col(args_col))
-    top = F.try_variant_get(v, "$", _OBJ)
-    first = F.transform(F.filter(F.map_entries(top), lambda e: ~e["key"].isin(*IGNORED_PARAMS)),
-                        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("val")))
+    entries = F.map_entries(F.try_variant_get(v, "$", _OBJ))
     if call_rows:
-        marker = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("val")))
-        first = F.concat(marker, F.coalesce(first, F.array().cast("array<struct<key:string,val:variant>>")))
-    cur = calls.select(*keep, F.inline(first))
+        marker = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
+        entries = F.concat(marker, F.coalesce(entries, F.array().cast("array<struct<key:string,value:variant>>")))
+    cur = (calls.select(*keep, F.inline(entries))
+           .filter(F.col("key").isNull() | ~F.col("key").isin(*IGNORED_PARAMS))
+           .withColumnRenamed("value", "val"))
     for _ in range(max_depth - 1):
         cur = _next_level(cur, keep)
     tag = F.when(F.col("key").isNotNull(), type_tag(F.col("val")))
