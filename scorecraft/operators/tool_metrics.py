@@ -104,13 +104,6 @@ def tool_pickup(items: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFra
                     _div(F.coalesce("a", F.lit(0)), n).alias("score_tool_additional_rate")))
 
 
-def last_call_per_name(calls: DataFrame) -> DataFrame:
-    """O-55: per (record, side, name) the last call wins (dict semantics)."""
-    w = Window.partitionBy("record_id", "side", "name")
-    return (calls.withColumn("_last", F.max("ordinal").over(w))
-            .filter(F.col("ordinal") == F.col("_last")).drop("_last"))
-
-
 def variable_metrics(items: DataFrame, calls: DataFrame, params: DataFrame,
                      leaves: DataFrame | None = None) -> DataFrame:
     """O-63 (with O-55..57, O-65..67): for every ground-truth tool that is

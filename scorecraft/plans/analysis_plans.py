@@ -3,7 +3,6 @@ O-09, O-82..O-88."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from scorecraft.operators import analysis as A
 from scorecraft.plans.fixtures import fixture, fixture_sql
