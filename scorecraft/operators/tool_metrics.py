@@ -239,7 +239,12 @@ def _b(c):
 
 
 def _leaf_match(g, p):
-    return _b(values_match(g["tag"], g["s"], g["n"], p["tag"], p["s"], p["n"]))
+    """O-67 on gathered leaves whose class (text | num | null | other) and
+    lower-cased text were computed once per row before the gather."""
+    return _b(F.when((g["cls"] == "null") | (p["cls"] == "null"), (g["cls"] == "null") & (p["cls"] == "null"))
+              .when((g["cls"] == "text") & (p["cls"] == "text"), g["ls"] == p["ls"])
+              .when((g["cls"] == "num") & (p["cls"] == "num"), F.abs(g["n"] - p["n"]) < F.lit(1e-9))
+              .otherwise(F.lit(False)))
 
 
 def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, params: DataFrame) -> DataFrame:
@@ -263,7 +268,10 @@ def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, pa
         F.col("side"), F.col("ordinal"), F.col("name"), F.col("rank"), F.col("is_last"),
         F.coalesce("in_cat", F.lit(False)).alias("in_cat"), F.col("key"),
         F.coalesce("valid", F.lit(False)).alias("valid"),
-        F.col("type_tag").alias("tag"), F.col("str_val").alias("s"), F.col("num_val").alias("n"))).alias("r"))
+        F.when(F.col("type_tag").isin("str", "list", "object"), "text")
+         .when(F.col("type_tag").isin("num", "bool"), "num")
+         .when(F.col("type_tag") == "null", "null").otherwise("other").alias("cls"),
+        F.lower(F.col("str_val")).alias("ls"), F.col("num_val").alias("n"))).alias("r"))
 
     # Split each record's rows once into the arrays the metrics read
     # (higher-order functions are interpreted: evaluate each split once).
