@@ -48,3 +48,19 @@ def plans() -> dict[str, Plan]:
 def oracle() -> dict[str, str]:
     _load_all()
     return dict(_ORACLE)
+
+
+ROUND_DIGITS = 6
+
+
+def round_doubles(df, digits: int = ROUND_DIGITS):
+    """Report-level rounding of DOUBLE columns (aggregates whose last bits
+    depend on summation order), applied identically to the oracle."""
+    from pyspark.sql import functions as F
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def rounded_sql(sql: str, columns: list[str], doubles: set[str], digits: int = ROUND_DIGITS) -> str:
+    """The oracle SQL with the same rounding of its DOUBLE columns."""
+    sel = ", ".join(f"round({c}, {digits}) AS {c}" if c in doubles else c for c in columns)
+    return f"SELECT {sel} FROM (\n{sql}\n) AS q"

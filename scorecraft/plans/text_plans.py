@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.operators import text_metrics as X
 from scorecraft.plans.fixtures import fixture, fixture_sql
-from scorecraft.plans.registry import register
+from scorecraft.plans.registry import register, round_doubles, rounded_sql
 
 
 def items(spark, sf_dir):
@@ -80,7 +80,7 @@ def content_scores_wide(spark, sf_dir):
     return X.content_scores(items(spark, sf_dir), ["rouge", "levenshtein"]).drop("reference_text", "prediction_text")
 
 
-@register("greedy_embedding_match", oracle="WITH v AS (" + fixture_sql("token_vecs") + """)
+@register("greedy_embedding_match", oracle=rounded_sql("WITH v AS (" + fixture_sql("token_vecs") + """)
 , ref AS (SELECT * FROM v WHERE side = 'ref'), pred AS (SELECT * FROM v WHERE side = 'pred')
 , bp AS (SELECT p.record_id, p.pos, max(list_cosine_similarity(CAST(p.vec AS DOUBLE[]), CAST(r.vec AS DOUBLE[]))) AS m
          FROM pred p JOIN ref r USING (record_id) GROUP BY 1, 2)
@@ -91,6 +91,7 @@ def content_scores_wide(spark, sf_dir):
 SELECT record_id, score_bert_precision, score_bert_recall,
        CASE WHEN score_bert_precision + score_bert_recall > 0
             THEN 2 * score_bert_precision * score_bert_recall / (score_bert_precision + score_bert_recall) ELSE 0.0 END AS score_bert_f1
-FROM pp JOIN rr USING (record_id)""")
+FROM pp JOIN rr USING (record_id)""", ["record_id", "score_bert_precision", "score_bert_recall", "score_bert_f1"],
+    {"score_bert_precision", "score_bert_recall", "score_bert_f1"}))
 def greedy_embedding_match(spark, sf_dir):
-    return X.greedy_embedding_match(fixture(spark, sf_dir, "token_vecs"))
+    return round_doubles(X.greedy_embedding_match(fixture(spark, sf_dir, "token_vecs")))
