@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import decontamination, langid, quality_rules, sharding, site_quality, toxicity
+from scorecraft.llm import (decontamination, jaccard_join, langid, quality_rules, sharding, site_quality,
+                            substring_dedup, toxicity)
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -36,6 +37,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.digest(decontamination.find(docs, benchmark))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, toxicity.with_low_quality(_table(spark, sf_dir, "labels")), ["low_quality", "toxic"])
@@ -47,10 +52,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs, "doc_id", SHARDS)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_quality_rules, op4_quality_classifier, op5_benchmark_decontamination,
-        op8_toxicity, op9_sharding)}
+        op6_jaccard_join, op8_toxicity, op9_sharding, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
