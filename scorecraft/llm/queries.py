@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import (decontamination, jaccard_join, langid, quality_rules, sharding, site_quality,
+from scorecraft.llm import (decontamination, jaccard_join, langid, merge_dropout, quality_rules, sharding, site_quality,
                             substring_dedup, toxicity)
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -41,6 +41,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(_table(spark, sf_dir, "documents"))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     chain = toxicity.fit(docs, toxicity.with_low_quality(_table(spark, sf_dir, "labels")), ["low_quality", "toxic"])
@@ -59,7 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_quality_rules, op4_quality_classifier, op5_benchmark_decontamination,
-        op6_jaccard_join, op8_toxicity, op9_sharding, op10_substring_dedup)}
+        op6_jaccard_join, op7_merge_dropout, op8_toxicity, op9_sharding, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
