@@ -230,6 +230,28 @@ def merged(first, end, n: int):
     return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
 
 
+def _merged_spans(search: dict, data, off, powers: Powers):
+    """Per slice: (words per document, owner of each merged span, its first and end
+    word, its first and end byte, items found as (document, item))."""
+    n = len(off) - 1
+    n_words, begin, (d, first, end), hits, (byte_start, byte_end) = search_slice(search, data, off, powers)
+    # Ranges never cross documents, so one merge covers the slice; documents are kept
+    # apart by one empty place each.
+    a, b = merged(first + d, end + d, int(n_words.sum()) + n)
+    owner = np.searchsorted(begin + np.arange(n), a, side="right") - 1
+    a, b = a - owner - begin[owner], b - owner - begin[owner]
+    w = begin[owner]
+    return n_words, owner, (a, b), (byte_start[w + a] - off[owner], byte_end[w + b - 1] - off[owner]), hits
+
+
+def _byte_spans(search: dict, data, off, powers: Powers) -> list[list[tuple[int, int]]]:
+    _, owner, _, (first, end), _ = _merged_spans(search, data, off, powers)
+    out: list[list] = [[] for _ in range(len(off) - 1)]
+    for d, a, b in zip(owner.tolist(), first.tolist(), end.tolist()):
+        out[d].append((a, b))
+    return out
+
+
 def _search_block(docs: DataFrame, search: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(search)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -241,18 +263,12 @@ def _search_block(docs: DataFrame, search: dict) -> DataFrame:
         for batch in batches:
             for rows, data, off, _ in slices(batch):
                 n = len(off) - 1
-                n_words, begin, (d, first, end), (hit_doc, item), (byte_start, byte_end) = search_slice(s, data, off, powers)
-                # Word ranges never cross documents, so one merge covers the slice; adjoining
-                # documents are kept apart by one empty place each.
-                a, b = merged(first + d, end + d, int(n_words.sum()) + n)
-                owner = np.searchsorted(begin + np.arange(n), a, side="right") - 1
-                a, b = a - owner - begin[owner], b - owner - begin[owner]
+                n_words, owner, words, places, (hit_doc, item) = _merged_spans(s, data, off, powers)
                 bounds = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))].astype(np.int32)
                 named = pa.array([s["names"][i] for i in item.tolist()], pa.string())
                 item_bounds = np.r_[0, np.cumsum(np.bincount(hit_doc, minlength=n))].astype(np.int32)
-                w = begin[owner]
                 where = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int64)))
-                         for x in (a, b, (byte_start[w + a] - off[owner]), (byte_end[w + b - 1] - off[owner]))]
+                         for x in (*words, *places)]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(n_words), *where,
                      pa.ListArray.from_arrays(pa.array(item_bounds), named)],
@@ -309,32 +325,46 @@ def digest(found: DataFrame) -> DataFrame:
                         (hit > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with the contaminated spans cut out of the text and ``n_chars``
-    set anew; rows without a hit, null texts among them, are left as they are."""
-    found = find(docs, benchmark).filter(F.size("spans") > 0).select("doc_id", F.col("spans").alias("cut_spans_"))
-    both = docs.join(found, "doc_id", "left")
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with the contaminated spans cut out of the text and ``n_chars`` set
+    anew; rows without a hit, null texts among them, are left as they are.  With
+    several benchmark blocks the spans are found first and joined by id."""
+    blocks = list(_blocks(benchmark, block_bytes))
+    names = docs.columns
+    searched = docs.withColumn("spans_", F.lit(None).cast("array<struct<first_byte:bigint,end_byte:bigint>>"))
+    if len(blocks) > 1:
+        found = find(docs, benchmark, block_bytes).filter(F.size("spans") > 0).select(
+            F.col("doc_id").alias("found_id_"),
+            F.transform("spans", lambda s: F.struct(s["first_byte"].alias("first_byte"), s["end_byte"].alias("end_byte"))).alias("spans_"))
+        searched = docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id_")), "left").drop("found_id_")
+    shared = docs.sparkSession.sparkContext.broadcast(patterns_of(blocks[0]) if len(blocks) == 1 else None)
 
     def run(batches):
         import pyarrow as pa
 
+        powers, search = Powers(), shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            sizes = batch.column("n_chars").to_pylist()
-            for i, spans in enumerate(batch.column("cut_spans_").to_pylist()):
-                if spans:
-                    raw, at, kept = texts[i].encode(), 0, []
-                    for s in spans:
-                        kept.append(raw[at: s["first_byte"]])
-                        at = s["end_byte"]
-                    texts[i] = (b"".join(kept) + raw[at:]).decode()
-                    sizes[i] = len(texts[i])
-            fields = [c for c in batch.schema.names if c != "cut_spans_"]
-            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in fields], fields)
-
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return both.select(*docs.columns, "cut_spans_").mapInArrow(run, out)
+            for rows, data, off, null in slices(batch):
+                if search is not None:
+                    spans = _byte_spans(search, data, off, powers)
+                else:
+                    spans = [[(s["first_byte"], s["end_byte"]) for s in x or []] for x in rows.column("spans_").to_pylist()]
+                texts, size = rows.column("text").to_pylist(), rows.column("n_chars").to_pylist() if "n_chars" in names else []
+                for i, own in enumerate(spans):
+                    if own:
+                        raw, at, kept = texts[i].encode(), 0, []
+                        for a, b in own:
+                            kept.append(raw[at:a])
+                            at = b
+                        texts[i] = (b"".join(kept) + raw[at:]).decode()
+                        if size:
+                            size[i] = len(texts[i])
+                made = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(size, pa.int64())}
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else rows.column(c) for c in names], names)
+
+    kind = {"n_chars": "bigint"}
+    out = ", ".join(f"`{f.name}` {kind.get(f.name, f.dataType.simpleString())}" for f in docs.schema)
+    return searched.mapInArrow(run, out)
 
 
 def items_sha256(items: list[str]) -> str:

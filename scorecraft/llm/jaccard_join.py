@@ -30,13 +30,12 @@ are compared by 64- and 128-bit hashes.  ``doc_id`` is an integer or null.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lower_ascii, mix, per_row, runs, salts, windows
 from scorecraft.llm.components import components
-from scorecraft.llm.storage import cut
+from scorecraft.llm.storage import cut, hold
 from scorecraft.llm.stored import NO_ID, stored_texts, unpacked
 
 WORDS = 3
@@ -45,7 +44,6 @@ REGION_DOCS, REGION_SHINGLES = 16_384, 6_000_000
 CELL = 512                    # documents of a cell that are compared directly
 PIVOTS = 16                   # of a region that is split on Spark
 ROUNDS = 2
-KEEP = StorageLevel.MEMORY_AND_DISK
 
 
 def shingle_sets(data, off, powers: Powers, words: int = WORDS):
@@ -360,7 +358,7 @@ def _region_links(members: DataFrame, words: int, near: int, most_docs: int, mos
         members = members.join(large, "region")
         if seed == ROUNDS:
             return found.unionByName(_local_links(_blocks(members, large, most_docs), words, near))
-        members = _voronoi(members, seed, words, near).drop("parent").persist(KEEP)
+        members = hold(_voronoi(members, seed, words, near).drop("parent"))
         seed += 1
 
 
@@ -370,20 +368,20 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
     stored = stored_texts(docs)
     seed = 0
     while True:
-        sets = _sets(stored, words, near, seed).persist(KEEP)
+        sets = hold(_sets(stored, words, near, seed))
         if sets.filter("short").isEmpty():                   # else the parts of another seed
             break
         sets.unpersist()
         seed += 1
-    classes = (sets.filter("n > 0").groupBy("key1", "key2", "n").agg(F.min("k").alias("rep")).persist(KEEP))
+    classes = hold(sets.filter("n > 0").groupBy("key1", "key2", "n").agg(F.min("k").alias("rep")))
     reps = sets.join(classes.select(F.col("rep").alias("k"), "key1", "key2").distinct(), ["k", "key1", "key2"])
     parts = reps.select("k", F.explode("sigs").alias("sig"))
     cells = parts.groupBy("sig").agg(F.min("k").alias("lead"), F.max("k").alias("last")).filter("lead < last")
     edges = parts.join(cells, "sig").filter("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b"))
     regions = components(edges)
-    members = (stored.join(regions.withColumnRenamed("node", "k"), "k")
-               .join(classes.select(F.col("rep").alias("k"), "n").groupBy("k").agg(F.max("n").alias("n")), "k")
-               .select(F.col("component").cast("string").alias("region"), "k", "n", "z").persist(KEEP))
+    members = hold(stored.join(regions.withColumnRenamed("node", "k"), "k")
+                   .join(classes.select(F.col("rep").alias("k"), "n").groupBy("k").agg(F.max("n").alias("n")), "k")
+                   .select(F.col("component").cast("string").alias("region"), "k", "n", "z"))
     links = components(_region_links(members, words, near, most_docs, most_shingles))
     of_rep = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
     out = sets.select("k", "n", "key1", "key2").join(
@@ -395,6 +393,18 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
                        F.coalesce(back("component_id"), back("k")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
+    """``docs`` without the documents that a smaller id is linked to; of rows that share
+    an id one stays.  Rows with a null id stay unless linked to a document with one."""
+    found = link(docs, words, near)
+    lead = found.filter(F.col("component_id").isNull() | F.col("component_id").eqNullSafe(F.col("doc_id")))
+    ids = hold(lead.groupBy(F.col("doc_id").alias("keep_id_")).agg(F.count("*").alias("rows_")))
+    match = docs["doc_id"].eqNullSafe(F.col("keep_id_"))
+    once = docs.join(ids.filter("rows_ = 1 OR keep_id_ IS NULL"), match, "left_semi")
+    again = docs.join(ids.filter("rows_ > 1 AND keep_id_ IS NOT NULL"), match, "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again)
+
+
 def brute_force(texts: dict[int, str | None], words: int = WORDS, near: int = NEAR) -> dict[int, tuple]:
     """doc_id -> (n_shingles, component_id), for tests."""
     import re

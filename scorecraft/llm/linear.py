@@ -72,9 +72,10 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, columns: list[str], lo
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def featurise(rows: DataFrame, features: Features, columns: list[str]) -> tuple:
+def featurise(rows: DataFrame, features: Features, columns: list[str], extra=None) -> tuple:
     """The bounded sample as numpy arrays: (row starts, buckets, values, labels,
-    ids), rows ordered by the hash of their id."""
+    extra), rows ordered by the hash of their id.  ``extra(bytes, offsets, powers)``
+    gives a matrix of further columns."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -84,6 +85,7 @@ def featurise(rows: DataFrame, features: Features, columns: list[str]) -> tuple:
         for batch in batches:
             for part, data, off, _ in slices(batch):
                 n = len(off) - 1
+                more = np.zeros((n, 0)) if extra is None else extra(data, off, powers)
                 doc, bucket, value = [], [], []
                 for d, b in features.pairs(data, off, powers):
                     key, count = np.unique((d << 32) | b, return_counts=True)
@@ -98,16 +100,18 @@ def featurise(rows: DataFrame, features: Features, columns: list[str]) -> tuple:
                     [part.column("doc_id"),
                      pa.ListArray.from_arrays(bounds, pa.array(bucket[order].astype(np.int32))),
                      pa.ListArray.from_arrays(bounds, pa.array(value[order].astype(np.float32))),
+                     pa.array(list(more), pa.list_(pa.float64())),
                      *[part.column(c).cast(pa.float64()) for c in columns]],
-                    ["doc_id", "bucket", "value", *columns])
+                    ["doc_id", "bucket", "value", "extra", *columns])
 
     out = rows.select("doc_id", "text", *columns).mapInArrow(
-        run, f"doc_id {kind}, bucket array<int>, value array<float>, " + ", ".join(f"{c} double" for c in columns))
+        run, f"doc_id {kind}, bucket array<int>, value array<float>, extra array<double>, " + ", ".join(f"{c} double" for c in columns))
     got = out.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").toArrow()      # the bounded sample
     flat = {c: got[c].combine_chunks() for c in ("bucket", "value")}
     starts = np.r_[0, np.cumsum(np.asarray(flat["bucket"].value_lengths(), np.int64))].astype(np.int64)
+    more = np.array(got["extra"].to_pylist(), float).reshape(len(starts) - 1, -1)
     return (starts, flat["bucket"].flatten().to_numpy().astype(np.int64),
-            flat["value"].flatten().to_numpy().astype(np.float64), {c: got[c].to_numpy() for c in columns})
+            flat["value"].flatten().to_numpy().astype(np.float64), {c: got[c].to_numpy() for c in columns}, more)
 
 
 def sigmoid(z):

@@ -67,7 +67,7 @@ def base_signals(data, off, powers: Powers) -> dict:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000) -> tuple:
     """(weights, a, b): hashed weights and the calibration of their score."""
-    starts, bucket, value, y = linear.featurise(
+    starts, bucket, value, y, _ = linear.featurise(
         linear.sample(docs, labels, max_rows, ["quality"]), FEATURES, ["quality"])
     rows, y = (starts, bucket, value), (y["quality"] > 0).astype(float)
     if len(y) == 0 or y.min() == y.max():

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.llm import (decontamination, jaccard_join, langid, merge_dropout, quality_rules, sharding, site_quality,
-                            substring_dedup, toxicity)
+                            substring_dedup, token_counts, toxicity)
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -28,6 +28,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    state = token_counts.build(docs.withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.col("text"))))
+    before = state.withColumn("n_tokens_before", F.col("n_tokens"))
+    return token_counts.update(before).select(
+        "doc_id", "n_tokens_before", "n_tokens", F.element_at("tree_chars", 2).alias("n_chars"), "n_encoded_chars",
+        F.size("edits").alias("n_edits"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -62,8 +71,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_language_id, op2_quality_rules, op4_quality_classifier, op5_benchmark_decontamination,
-        op6_jaccard_join, op7_merge_dropout, op8_toxicity, op9_sharding, op10_substring_dedup)}
+        op1_language_id, op2_quality_rules, op3_token_counts, op4_quality_classifier,
+        op5_benchmark_decontamination, op6_jaccard_join, op7_merge_dropout, op8_toxicity, op9_sharding, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def whole(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone (columns that other operators add may clash)."""
-    return df.select(*columns)
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` kept for several readers, in memory with spill to disk; lost parts are
+    computed again.  ``release`` gives back all that is held."""
+    _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _held[-1]
+
+
+def release() -> None:
+    while _held:
+        _held.pop().unpersist()

@@ -8,20 +8,20 @@ with spill to disk and is recomputed where an executor is lost.
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import SLICE_BYTES, text_bytes
+from scorecraft.llm.storage import hold
 
-NO_ID = -(1 << 63)            # stands for a null id
+NO_ID = (1 << 63) - 1         # stands for a null id; the largest, so it never names a group of others
 
 
-def stored_texts(docs: DataFrame) -> DataFrame:
-    """(k, mark, z): id (``NO_ID`` for null), 16 bits of the text's hash, and the
-    compressed text (null is empty)."""
+def stored_texts(docs: DataFrame, *carried: str) -> DataFrame:
+    """(k, mark, z, carried...): id (``NO_ID`` for null), 16 bits of the text's hash,
+    the compressed text (null is empty) and the named columns."""
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
-                        F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("mark"), "text")
+                        F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("mark"), "text", *carried)
 
     def run(batches):
         import pyarrow as pa
@@ -32,12 +32,13 @@ def stored_texts(docs: DataFrame) -> DataFrame:
             data, off, _ = text_bytes(batch.column("text"))
             raw = memoryview(data)
             z = [press.compress(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("mark"), pa.array(z, pa.binary())],
-                                             ["k", "mark", "z"])
+            rest = [batch.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("mark"), pa.array(z, pa.binary()), *rest],
+                                             ["k", "mark", "z", *carried])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (keyed.mapInArrow(run, "k long, mark long, z binary").repartition(n, "k")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    kinds = ["k long", "mark long", "z binary", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried]]
+    return hold(keyed.mapInArrow(run, ", ".join(kinds)).repartition(n, "k"))
 
 
 def unpacked(batch, most: int = SLICE_BYTES):

@@ -33,11 +33,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import BASE, U64, Powers, covered, mix
+from scorecraft.llm.storage import hold
 from scorecraft.llm.stored import NO_ID, stored_texts, unpacked
 
 LENGTH = 400
@@ -137,23 +137,22 @@ def _narrower(stored: DataFrame, open_rows: DataFrame, step: int) -> DataFrame:
 
 def _resolve(rows: DataFrame, last: bool):
     """(settled rows, rows to split further) of one level."""
-    keep = StorageLevel.MEMORY_AND_DISK
-    rows = rows.persist(keep)
+    rows = hold(rows)
     shared = rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
     several = rows.join(shared, "core")
     if last:
         return several.select("k", "at"), None
-    several = several.persist(keep)
-    classes = (several.groupBy("core", "full")
-               .agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("one")).persist(keep))
+    several = hold(several)
+    classes = hold(several.groupBy("core", "full")
+                   .agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("one")))
     settled = several.join(classes.filter("n > 1").select("core", "full"), ["core", "full"]).select("k", "at")
     mixed = classes.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core")
     return settled, classes.join(mixed, "core").select("one.k", "one.at")
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
     """(stored texts, removal ranges (k, at)) of all documents."""
-    stored = stored_texts(docs)
+    stored = stored_texts(docs, *carried)
     rows, settled = _level0(stored), None
     for step in (*STEPS, None):
         done, open_rows = _resolve(rows, last=step is None)
@@ -163,10 +162,10 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored, settled
 
 
-def _joined(docs: DataFrame) -> DataFrame:
-    stored, settled = repeats(docs)
+def _joined(docs: DataFrame, *carried: str) -> DataFrame:
+    stored, settled = repeats(docs, *carried)
     cuts = settled.groupBy("k").agg(F.collect_list("at").alias("ats"))
-    return stored.join(cuts, "k", "left").select("k", "mark", "z", "ats")
+    return stored.join(cuts, "k", "left").select("k", "mark", "z", "ats", *carried)
 
 
 def removal_mask(size: int, ats, mark: int):
@@ -184,23 +183,25 @@ def spans_of(mask):
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _kept(rows, data, off):
+    """Per document of a slice: (span starts, span ends, bytes kept)."""
+    empty = np.zeros(0, np.int64)
+    mark = rows.column("mark").to_numpy()
+    for i, ats in enumerate(rows.column("ats")):
+        raw = data[off[i]: off[i + 1]]
+        mask = removal_mask(len(raw), ats.values.to_numpy() if ats.is_valid else empty, int(mark[i]))
+        yield *spans_of(mask), raw[~mask].tobytes()
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """Per document: n_bytes, the removed spans (start, end bytes) and the bytes kept."""
     def run(batches):
         import pyarrow as pa
 
-        empty = np.zeros(0, np.int64)
         for batch in batches:
             for rows, data, off in unpacked(batch):
-                k, mark = (rows.column(c).to_numpy() for c in ("k", "mark"))
-                starts, ends, kept = [], [], []
-                for i, ats in enumerate(rows.column("ats")):
-                    raw = data[off[i]: off[i + 1]]
-                    mask = removal_mask(len(raw), ats.values.to_numpy() if ats.is_valid else empty, int(mark[i]))
-                    a, b = spans_of(mask)
-                    starts.append(a)
-                    ends.append(b)
-                    kept.append(raw[~mask].tobytes())
+                k = rows.column("k").to_numpy()
+                starts, ends, kept = zip(*_kept(rows, data, off))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k, mask=k == NO_ID), pa.array(np.diff(off)), pa.array(starts, pa.list_(pa.int64())),
                      pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
@@ -210,6 +211,32 @@ def remove(docs: DataFrame) -> DataFrame:
         run, "doc_id long, n_bytes long, span_start array<long>, span_end array<long>, kept binary")
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text and ``n_chars`` set anew.
+    A character of which only some bytes remain goes too; null texts stay null."""
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
+    flagged = docs.withColumn("null_text_", F.col("text").isNull())
+    names, spark_schema = docs.columns, docs.schema
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rows, data, off in unpacked(batch):
+                k = rows.column("k").to_numpy()
+                null = np.asarray(rows.column("null_text_"))
+                texts = [None if gone else t.decode("utf-8", "ignore")
+                         for gone, (_, _, t) in zip(null.tolist(), _kept(rows, data, off))]
+                made = {"doc_id": pa.array(k, mask=k == NO_ID), "text": pa.array(texts, pa.string())}
+                if "n_chars" in names:
+                    made["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else rows.column(c) for c in names], names)
+
+    kind = {"doc_id": "long", "n_chars": "long"}
+    out = ", ".join(f"`{f.name}` {kind.get(f.name, f.dataType.simpleString())}" for f in spark_schema)
+    return _joined(flagged, *carried, "null_text_").mapInArrow(run, out)
+
+
 def digest(removed: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),

@@ -42,7 +42,7 @@ def _model(rows, y, x):
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 12_000) -> list[dict]:
     """One dictionary (weights, chain weights, bias, a, b) per category, in order."""
-    starts, bucket, value, y = linear.featurise(
+    starts, bucket, value, y, _ = linear.featurise(
         linear.sample(docs, labels, max_rows, categories), FEATURES, categories)
     rows, n = (starts, bucket, value), len(starts) - 1
     fold = np.arange(n) % FOLDS
