@@ -13,6 +13,8 @@ d <= r = 1 - ``NEAR``/100.  The join goes from coarse regions to fine ones:
    universe is cut into more parts than linked sets have differences, so linked
    sets agree entirely on one of their largest parts (pigeonhole).  Sets that
    share such a part are joined into one region; no link leaves a region.
+   Parts that meet in one slice of a task are joined there, and only one of
+   them is shuffled, so a part of a third of all rows stays small.
 4. A region is split by document pivots into Voronoi cells.  A cell pair is
    compared only within the windows that the triangle inequality leaves open
    (a document can have a partner in a cell of pivot q and radius R only if
@@ -23,7 +25,7 @@ d <= r = 1 - ``NEAR``/100.  The join goes from coarse regions to fine ones:
 5. Links of regions that were split meet in connected components.
 
 Null texts and texts without words have an empty set and link with nothing.
-Rows that share an id count as one document for linking.  Shingles and sets
+Rows that share an id (or have none) count as one document for linking.  Shingles and sets
 are compared by 64- and 128-bit hashes.  ``doc_id`` is an integer or null.
 """
 
@@ -121,7 +123,9 @@ def signatures(h, off, near: int, seed: int):
 
 
 def _sets(stored: DataFrame, words: int, near: int, seed: int) -> DataFrame:
-    """(k, n, key1, key2, sigs, short) per row of the stored texts."""
+    """Per row of the stored texts (k, n, key1, key2, sigs, near, short): ``key1`` names
+    the set in the graph of shared parts, ``near`` are sets of the same slice that
+    hold a part of this one, ``sigs`` its other parts."""
     def run(batches):
         import pyarrow as pa
 
@@ -135,14 +139,21 @@ def _sets(stored: DataFrame, words: int, near: int, seed: int) -> DataFrame:
                     keys.append(mix(total[bounds[1:]] - total[bounds[:-1]]))
                 sig, ends, short = signatures(h, bounds, near, seed)
                 n = np.diff(bounds)
+                doc = np.repeat(np.arange(len(n)), np.diff(ends))
+                _, first, which = np.unique(sig, return_index=True, return_inverse=True)
+                again = first[which] != np.arange(len(sig))
+                node = keys[0].view(np.int64)
+                lists = []
+                for keep, values in ((~again, sig.view(np.int64)), (again, node[doc[first[which]]])):
+                    offsets = np.r_[0, np.cumsum(per_row(doc[keep], len(n)))].astype(np.int32)
+                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[keep])))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("k"), pa.array(n), *[pa.array(x.view(np.int64)) for x in keys],
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sig.view(np.int64))),
-                     pa.array(np.full(len(n), short))],
-                    ["k", "n", "key1", "key2", "sigs", "short"])
+                     *lists, pa.array(np.full(len(n), short))],
+                    ["k", "n", "key1", "key2", "sigs", "near", "short"])
 
     return stored.select("k", "z").mapInArrow(
-        run, "k long, n long, key1 long, key2 long, sigs array<long>, short boolean")
+        run, "k long, n long, key1 long, key2 long, sigs array<long>, near array<long>, short boolean")
 
 
 def intersections(a: list, b: list):
@@ -374,14 +385,13 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
         sets.unpersist()
         seed += 1
     classes = hold(sets.filter("n > 0").groupBy("key1", "key2", "n").agg(F.min("k").alias("rep")))
-    reps = sets.join(classes.select(F.col("rep").alias("k"), "key1", "key2").distinct(), ["k", "key1", "key2"])
-    parts = reps.select("k", F.explode("sigs").alias("sig"))
-    cells = parts.groupBy("sig").agg(F.min("k").alias("lead"), F.max("k").alias("last")).filter("lead < last")
-    edges = parts.join(cells, "sig").filter("k <> lead").select(F.col("k").alias("a"), F.col("lead").alias("b"))
-    regions = components(edges)
-    members = hold(stored.join(regions.withColumnRenamed("node", "k"), "k")
-                   .join(classes.select(F.col("rep").alias("k"), "n").groupBy("k").agg(F.max("n").alias("n")), "k")
-                   .select(F.col("component").cast("string").alias("region"), "k", "n", "z"))
+    parts = sets.select(F.col("key1").alias("a"), F.explode("sigs").alias("sig"))
+    met = parts.withColumn("b", F.min("a").over(Window.partitionBy("sig"))).select("a", "b")
+    edges = met.unionByName(sets.select(F.col("key1").alias("a"), F.explode(F.array_distinct("near")).alias("b")))
+    regions = components(edges.filter("a <> b"))
+    inside = (classes.join(regions.withColumnRenamed("node", "key1"), "key1")
+              .groupBy(F.col("rep").alias("k")).agg(F.min("component").cast("string").alias("region"), F.max("n").alias("n")))
+    members = hold(stored.join(inside, "k").select("region", "k", "n", "z"))
     links = components(_region_links(members, words, near, most_docs, most_shingles))
     of_rep = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
     out = sets.select("k", "n", "key1", "key2").join(
@@ -395,9 +405,9 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
 
 def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """``docs`` without the documents that a smaller id is linked to; of rows that share
-    an id one stays.  Rows with a null id stay unless linked to a document with one."""
+    an id one stays.  Rows without an id cannot be told apart by it and stay."""
     found = link(docs, words, near)
-    lead = found.filter(F.col("component_id").isNull() | F.col("component_id").eqNullSafe(F.col("doc_id")))
+    lead = found.filter(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id")))
     ids = hold(lead.groupBy(F.col("doc_id").alias("keep_id_")).agg(F.count("*").alias("rows_")))
     match = docs["doc_id"].eqNullSafe(F.col("keep_id_"))
     once = docs.join(ids.filter("rows_ = 1 OR keep_id_ IS NULL"), match, "left_semi")

@@ -79,8 +79,9 @@ class LanguageModel:
     """Stacked transition rows of all languages.
 
     A stored value >= 0 is the next row.  Where the automaton has no transition
-    the value is the bitwise complement of the row in which the next phrase
-    continues, so a negative value marks the end of a phrase.
+    the value is the bitwise complement of the row after the next phrase's first
+    symbol, so a negative value marks the end of a phrase.  A symbol that the
+    language lacks is a phrase of its own; the row after it ends at once.
     """
 
     def __init__(self, references: dict[str, str]):
@@ -96,10 +97,12 @@ class LanguageModel:
         for lang in self.langs:
             symbols = to_symbols(references[lang], table)
             nxt = suffix_automaton(symbols[symbols != STRANGE].tolist())
-            root = np.full(self.width, base, np.int32)
+            alone = base + len(nxt)                          # after a symbol the language lacks
+            root = np.full(self.width, alone, np.int32)
             for c, q in nxt[0].items():
                 root[c] = base + q
-            part = np.tile(~root, (len(nxt), 1))
+            part = np.tile(~root, (len(nxt) + 1, 1))
+            part[0] = root
             at = [(p, c, q) for p, d in enumerate(nxt) for c, q in d.items()]
             if at:
                 p, c, q = np.array(at).T
@@ -107,7 +110,7 @@ class LanguageModel:
             rows.append(part)
             self.roots.append(base)
             self.cost.append(float(np.log2(max(2, len(symbols)))))
-            base += len(nxt)
+            base += len(nxt) + 1
         self.flat = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
 
     def costs(self, texts: list[str]):
@@ -135,7 +138,8 @@ class LanguageModel:
             ended = nxt >> 31
             phrases[:, :active] -= ended
             state[:, :active] = nxt ^ ended
-        total = np.stack([np.bincount(owner, weights=row, minlength=len(texts)) for row in phrases])
+        total = np.array([np.bincount(owner, weights=row, minlength=len(texts)) for row in phrases])
+        total = total.reshape(len(self.langs), len(texts))
         return total * np.array(self.cost)[:, None] / np.maximum(sizes, 1), letter
 
 

@@ -109,7 +109,7 @@ def featurise(rows: DataFrame, features: Features, columns: list[str], extra=Non
     got = out.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").toArrow()      # the bounded sample
     flat = {c: got[c].combine_chunks() for c in ("bucket", "value")}
     starts = np.r_[0, np.cumsum(np.asarray(flat["bucket"].value_lengths(), np.int64))].astype(np.int64)
-    more = np.array(got["extra"].to_pylist(), float).reshape(len(starts) - 1, -1)
+    more = np.array(got["extra"].to_pylist(), float) if len(got) else np.zeros((0, 0))
     return (starts, flat["bucket"].flatten().to_numpy().astype(np.int64),
             flat["value"].flatten().to_numpy().astype(np.float64), {c: got[c].to_numpy() for c in columns}, more)
 
