@@ -72,9 +72,10 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, columns: list[str], lo
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def featurise(rows: DataFrame, features: Features, columns: list[str], extra=None) -> tuple:
+def featurise(rows: DataFrame, features: Features, columns: list[str], extra=None, least: int = 3) -> tuple:
     """The bounded sample as numpy arrays: (row starts, buckets, values, labels,
-    extra), rows ordered by the hash of their id.  ``extra(bytes, offsets, powers)``
+    extra), rows ordered by the hash of their id and without the buckets that fewer
+    than ``least`` of them hold.  ``extra(bytes, offsets, powers)``
     gives a matrix of further columns."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -110,8 +111,16 @@ def featurise(rows: DataFrame, features: Features, columns: list[str], extra=Non
     flat = {c: got[c].combine_chunks() for c in ("bucket", "value")}
     starts = np.r_[0, np.cumsum(np.asarray(flat["bucket"].value_lengths(), np.int64))].astype(np.int64)
     more = np.array(got["extra"].to_pylist(), float) if len(got) else np.zeros((0, 0))
-    return (starts, flat["bucket"].flatten().to_numpy().astype(np.int64),
-            flat["value"].flatten().to_numpy().astype(np.float64), {c: got[c].to_numpy() for c in columns}, more)
+    rows = often((starts, flat["bucket"].flatten().to_numpy(), flat["value"].flatten().to_numpy()), features.size, least)
+    return *rows, {c: got[c].to_numpy() for c in columns}, more
+
+
+def often(rows, size: int, least: int):
+    """Rows with the buckets alone that at least ``least`` of them hold."""
+    starts, bucket, value = rows
+    keep = (np.bincount(bucket, minlength=size) >= least)[bucket]
+    left = np.r_[0, np.cumsum(keep)]
+    return left[starts], bucket[keep], value[keep]
 
 
 def sigmoid(z):
@@ -134,8 +143,7 @@ class Logistic:
         doc = np.repeat(np.arange(n), np.diff(starts))
         return np.bincount(doc, weights=self.w[bucket] * value, minlength=n) * self.scale + x @ self.v + self.b
 
-    def fit(self, rows, y, x=None, weight=None, least: int = 1):
-        """Buckets that fewer than ``least`` rows hold keep weight 0."""
+    def fit(self, rows, y, x=None, weight=None):
         starts, bucket, value = rows
         n = len(y)
         if n == 0:
@@ -143,12 +151,12 @@ class Logistic:
         x = np.zeros((n, 0)) if x is None else x
         weight = np.ones(n) / n if weight is None else weight / weight.sum()
         doc, value = np.repeat(np.arange(n), np.diff(starts)), value * self.scale
-        used, bucket, rows_of = np.unique(bucket, return_inverse=True, return_counts=True)
-        often = rows_of >= least
-        doc, value, bucket = (a[often[bucket]] for a in (doc, value, bucket))
-        used, bucket = used[often], (np.cumsum(often) - 1)[bucket]
-        m = len(used)
-        boost = np.log1p(n / rows_of[often]) if self.rare else np.ones(m)
+        rows_of = np.bincount(bucket, minlength=len(self.w))
+        used = np.flatnonzero(rows_of)
+        place = np.zeros(len(self.w), np.int32)
+        place[used] = np.arange(len(used))
+        bucket, m = place[bucket], len(used)
+        boost = np.log1p(n / rows_of[used]) if self.rare else np.ones(m)
         value = value * boost[bucket]
         self.b = float(np.log((weight @ y + 1e-3) / (weight @ (1 - y) + 1e-3)))
         # A quarter of the weighted row norms bounds the curvature.

@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000) -> tuple:
     test = np.arange(len(y)) % 4 == 0
     model = linear.Logistic(FEATURES.size, l2=1e-5, steps=150, scale=20.0)
     train = np.flatnonzero(~test)
-    model.fit(linear.take(rows, train), y[train], least=3)
+    model.fit(linear.take(rows, train), y[train])
     check = np.flatnonzero(test)
     a, b = linear.calibrate(model.decision(linear.take(rows, check), np.zeros((len(check), 0))), y[check])
     return (model.w * model.scale).astype(np.float32), a, a * model.b + b

@@ -55,7 +55,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000) -> tuple:
     test = np.arange(len(y)) % 4 == 0
     train, check = np.flatnonzero(~test), np.flatnonzero(test)
     model = linear.Logistic(FEATURES.size, extra=4, l2=1e-5, steps=150, scale=20.0)
-    model.fit(linear.take(rows, train), y[train], x[train], least=3)
+    model.fit(linear.take(rows, train), y[train], x[train])
     a, b = linear.calibrate(model.decision(linear.take(rows, check), x[check]), y[check])
     return (model.w * model.scale).astype(np.float32), model.v, a, a * model.b + b, float(y.mean())
 

@@ -25,8 +25,8 @@ from scorecraft.llm.batches import ALNUM, Powers, slices
 
 FEATURES = linear.Features(words=(1,), bits=20, mean=False, member=ALNUM, lower=True)
 FOLDS = 3
-L1 = 3e-4
-THRESHOLD = 0.5
+L1 = 1e-2
+THRESHOLD = 0.35
 
 
 def _model(rows, y, x):
@@ -36,11 +36,11 @@ def _model(rows, y, x):
         model.b = float(np.log(share / (1 - share)))
         return model
     positive = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))      # both kinds weigh the same
-    model.fit(rows, y, x, positive, least=3)
+    model.fit(rows, y, x, positive)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 12_000) -> list[dict]:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], max_rows: int = 8_000) -> list[dict]:
     """One dictionary (weights, chain weights, bias, a, b) per category, in order."""
     starts, bucket, value, y, _ = linear.featurise(
         linear.sample(docs, labels, max_rows, categories), FEATURES, categories)
