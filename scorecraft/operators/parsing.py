@@ -17,14 +17,12 @@ ARRAY<STRUCT<name, arguments JSON text>>``, ``pred_response``, ``pred_error``,
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorecraft.functions.output_parser import KNOWN_TOOL_NAMES, parse_text
+from scorecraft.functions.output_parser import KNOWN_TOOL_NAMES, clean_text, parse_text, tools_json
 from scorecraft.functions.partitioning import by_key
 from scorecraft.functions.text import py_strip
 
@@ -52,17 +50,23 @@ NATIVE_CALLS_TYPE = T.ArrayType(T.StructType([
                                             T.StructField("arguments", T.StringType())]))]))
 
 
+def parsed_row(text: str | None, parser: str, known) -> tuple:
+    """The UDF's row for one answer; any failure becomes an error row."""
+    if text is None:
+        return (None,) * 6
+    try:
+        kind, calls, response, error, strategy, ok = parse_text(text, parser, known)
+        return kind, None if calls is None else tools_json(calls), clean_text(response), clean_text(error), strategy, ok
+    except Exception as problem:  # noqa: BLE001 - a bad answer is an error row, never a failed job
+        return "error", None, None, f"{type(problem).__name__}: unreadable answer", "exception", False
+
+
 def _parse_udf(parser: str, known: tuple[str, ...]):
     @F.pandas_udf(_UDF_SCHEMA)
     def parse_batch(text: pd.Series) -> pd.DataFrame:
         out = {k: [] for k in _UDF_SCHEMA.fieldNames()}
         for t in text:
-            if t is None:
-                r = (None,) * 6
-            else:
-                kind, tools, resp, err, strategy, ok = parse_text(t, parser, known)
-                r = (kind, None if tools is None else json.dumps(tools), resp, err, strategy, ok)
-            for k, v in zip(out, r):
+            for k, v in zip(out, parsed_row(t, parser, known)):
                 out[k].append(v)
         return pd.DataFrame(out)
     return parse_batch

@@ -26,7 +26,7 @@ def test_json_ladder(text, kind, name, strategy):
     k, tools, resp, err, strat, _ = parse_text(text, "json")
     assert (k, strat) == (kind, strategy)
     if name:
-        assert tools[0]["name"] == name
+        assert tools[0][0] == name
     if kind == "nlp" and "hello" in text:
         assert resp == "hello"
 
@@ -35,16 +35,43 @@ def test_pythonic_calls_and_fixers():
     k, tools, *_ = parse_text("Okay.\n\n[show_pie_chart(limit=5, data_source={data_type=spending}, title=My chart)]",
                               "pythonic")
     assert k == "tool"
-    assert tools == [{"name": "show_pie_chart",
-                      "arguments": {"limit": 5, "data_source": {"data_type": "spending"}, "title": "My chart"}}]
+    assert tools == [("show_pie_chart", {"limit": 5, "data_source": {"data_type": "spending"}, "title": "My chart"})]
     k, tools, *_ = parse_text(FENCE + "tool_code\nshow_line_chart(metric='balance', n=-2)\n" + FENCE, "pythonic")
-    # the bare-value fixer quotes a leading minus (it excludes only digits)
-    assert tools == [{"name": "show_line_chart", "arguments": {"metric": "balance", "n": "-2"}}]
+    # an unquoted value that starts with neither a digit nor a bracket is text
+    assert tools == [("show_line_chart", {"metric": "balance", "n": "-2"})]
     k, tools, *_ = parse_text("[f(x='{\"a\": [1]}')]", "pythonic")
-    assert tools[0]["arguments"] == {"x": {"a": [1]}}
+    assert tools[0][1] == {"x": {"a": [1]}}
     assert parse_text("plain words", "pythonic")[0] == "nlp"
 
 
+@pytest.mark.parametrize("text, calls", [
+    ("[f(a=[1, 2.5, -3, True, None], b={'k': (1, 'x')})]", [("f", {"a": [1, 2.5, -3, True, None], "b": {"k": [1, "x"]}})]),
+    ("[f(a=g(b=1)), mod.h()]", [("f", {"a": {"b": 1}}), ("mod.h", {})]),
+    ("[f(\u201cpositional\u201d, a=\u2018x\u2019)]", [("f", {"a": "x"})]),
+    ("[f(a='{\"k\": 1}, b=2)]", [("f", {"a": {"k": 1}, "b": 2})]),
+    ("[f(a=New York, USA, b={c=one two, d='x'})]", [("f", {"a": "New York, USA", "b": {"c": "one two", "d": "x"}})]),
+    ("[f(day=2024-01-02)]", [("f", {"day": "2024-01-02"})]),
+    ("text [1] then [f(a='it\\'s')] end", [("f", {"a": "it's"})]),
+    ("[[f(a=1)]", [("f", {"a": 1})]),
+])
+def test_call_syntax(text, calls):
+    kind, tools, _, _, strategy, _ = parse_text(text, "pythonic")
+    assert (kind, tools, strategy) == ("tool", calls, "pythonic")
+
+
+HOSTILE = ["[" * 100_000, '{"a":' * 50_000, '{"content":"\\ud83d"}', "[f(x={1,2})]", "[f(x=b'ab')]", "[f(x=1j)]", "f(" * 5_000,
+           "[f(x=" + "9" * 10_000 + ")]", '{"tool_calls":[1,{"function":3}]}', "[f(" + "a" * 100_000, "{" * 1000 + "}" * 999]
+
+
+@pytest.mark.parametrize("parser", ["json", "pythonic"])
+def test_hostile_answers_end_as_rows(spark, parser):
+    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(HOSTILE)],
+                               "record_id long, content string, tool_calls array<struct<type:string,"
+                               "function:struct<name:string,arguments:string>>>, error string")
+    got = P.parse_outputs(df, parser).collect()
+    assert len(got) == len(HOSTILE) and {r.pred_type for r in got} <= {"tool", "nlp", "error"}
+
+
 def test_raw_validity():
     assert raw_ok(' {"a": 1} ') and raw_ok("[f(a=1)]") and raw_ok("g()") and raw_ok("12")
     assert not raw_ok("{data_type=x}") and not raw_ok("hello world") and not raw_ok('{"a":1} tail')
