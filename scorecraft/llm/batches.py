@@ -12,7 +12,7 @@ import numpy as np
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)          # odd, so it has an inverse modulo 2**64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix(h):

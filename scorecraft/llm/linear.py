@@ -29,30 +29,29 @@ class Features:
         self.size = self.families << bits
 
     def pairs(self, data, off, powers: Powers):
-        """Per family (document, bucket)."""
+        """(document, bucket) of one family after the other."""
         if self.lower:
             data = lower_ascii(data)
-        shift, base, out = U64(64 - self.bits), 0, []
         prefix = powers.prefix(data)
+        for family, (doc, h) in enumerate(self._families(data, off, prefix, powers)):
+            bucket = (h >> U64(64 - self.bits)).astype(np.int32) + np.int32(family << self.bits)
+            if not self.mean:
+                key = np.sort((doc.astype(np.int64) << 32) | bucket)
+                key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+                doc, bucket = key >> 32, (key & 0xFFFFFFFF).astype(np.int32)
+            yield doc, bucket
+
+    def _families(self, data, off, prefix, powers: Powers):
         if self.words:
             start, end, doc = runs(data, off, self.member)
             word = powers.spans(prefix, start, end)
             for n in self.words:
-                h, at = (word, np.arange(len(word))) if n == 1 else windows(word, doc, n, 100 + n)
-                out.append((doc[at], (h >> shift).astype(np.int64) + base))
-                base += 1 << self.bits
+                h, at = (word, slice(None)) if n == 1 else windows(word, doc, n, 100 + n)
+                yield doc[at], h
+        owner = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
         for n in self.chars:
-            at = np.arange(max(0, len(data) - n + 1))
-            doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            at = at[doc[at] == doc[at + n - 1]] if len(at) else at
-            out.append((doc[at], (powers.spans(prefix, at, at + n) >> shift).astype(np.int64) + base))
-            base += 1 << self.bits
-        if not self.mean:
-            for k, (doc, bucket) in enumerate(out):
-                key = np.sort((doc.astype(np.int64) << 32) | bucket)
-                key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-                out[k] = (key >> 32, key & 0xFFFFFFFF)
-        return out
+            at = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1:]) if len(owner) >= n else np.zeros(0, np.int64)
+            yield owner[at], powers.spans(prefix, at, at + n)
 
     def scores(self, data, off, weights, powers: Powers):
         n = len(off) - 1
@@ -89,7 +88,7 @@ def featurise(rows: DataFrame, features: Features, columns: list[str], extra=Non
                 more = np.zeros((n, 0)) if extra is None else extra(data, off, powers)
                 doc, bucket, value = [], [], []
                 for d, b in features.pairs(data, off, powers):
-                    key, count = np.unique((d << 32) | b, return_counts=True)
+                    key, count = np.unique((d.astype(np.int64) << 32) | b, return_counts=True)
                     doc.append(key >> 32)
                     bucket.append(key & 0xFFFFFFFF)
                     total = np.maximum(np.bincount(d, minlength=n), 1)

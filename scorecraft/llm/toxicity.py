@@ -79,7 +79,7 @@ def predict(docs: DataFrame, chain: list[dict], threshold: float = THRESHOLD) ->
             dense.append(w)
         for batch in batches:
             for rows, data, off, _ in slices(batch):
-                pairs = FEATURES.pairs(data, off, powers)
+                pairs = list(FEATURES.pairs(data, off, powers))
                 n = len(off) - 1
                 earlier = np.zeros((n, 0))
                 for m, w in zip(models, dense):
