@@ -1,87 +1,110 @@
 """Tool-call arguments as typed leaf rows (O-65, O-66, O-67).
 
-Arguments arrive as JSON text.  They are parsed to VARIANT once and flattened
-level by level into ``(key, type_tag, str_val, num_val)`` leaves: dotted keys
-for nested objects, lists kept whole as canonical JSON text (object keys
-sorted), ``title`` dropped at every object level, empty objects yielding
-nothing.  Each level is one ``explode`` over a per-row array, so the whole
-flattening is a single pass with no union or re-scan.  VARIANT itself is not
-comparable, hence the typed leaf columns.
+Arguments arrive as JSON text.  One Arrow pass reads each text once, with
+Python's JSON rules (the last of repeated names wins, ``NaN`` is a number), and
+gives its leaves ``(key, type_tag, str_val, num_val)``: dotted keys for nested
+objects at any depth, lists whole as JSON text with sorted names, ``title``
+dropped at every object level, empty objects nothing.  Text that is not JSON
+gives one leaf with tag ``invalid`` and the empty key, so it stays visible.
 """
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scorecraft.functions.output_parser import clean_text
 from scorecraft.functions.partitioning import by_key
 
 IGNORED_PARAMS = ("title",)
-MAX_DEPTH = 5
-_OBJ = "map<string,variant>"
-
-
-def _next_level(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One level down: an object row becomes its members (dotted keys, the
-    ignored names dropped, an empty object nothing); a leaf row passes
-    through.  Generators and row filters only, so the step stays in
-    whole-stage codegen."""
-    d = df.withColumn("_m", F.try_variant_get(F.col("val"), "$", _OBJ))
-    e = d.select(*keep, "key", "val", F.col("_m").isNotNull().alias("_obj"),
-                 F.explode_outer("_m").alias("_ck", "_cv"))
-    e = e.filter(~(F.col("_obj") & (F.col("_ck").isNull() | F.col("_ck").isin(*IGNORED_PARAMS))))
-    return e.select(*keep,
-                    F.when(F.col("_obj"), F.concat(F.col("key"), F.lit("."), F.col("_ck"))).otherwise(F.col("key")).alias("key"),
-                    F.when(F.col("_obj"), F.col("_cv")).otherwise(F.col("val")).alias("val"))
-
-
-def type_tag(val: Column) -> Column:
-    """Comparison class of a leaf: str, num (bool counts as number), bool,
-    null, list, or object (only for objects below ``MAX_DEPTH``)."""
-    s = F.schema_of_variant(val)
-    return (F.when(s == "STRING", "str")
-            .when(s == "BOOLEAN", "bool")
-            .when(s == "VOID", "null")
-            .when(s.startswith("ARRAY"), "list")
-            .when(s.startswith("OBJECT"), "object")
-            .otherwise("num"))
+LEAVES = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("type_tag", T.StringType()),
+                                   T.StructField("str_val", T.StringType()), T.StructField("num_val", T.DoubleType())]))
+_LEAF = pa.struct([("key", pa.string()), ("type_tag", pa.string()), ("str_val", pa.string()), ("num_val", pa.float64())])
+
+
+def leaf(key: str, value) -> tuple:
+    """Comparison class of a value: str, num, bool (compared as a number), null
+    or list."""
+    if value is None:
+        return key, "null", None, None
+    if isinstance(value, bool):
+        return key, "bool", None, float(value)
+    if isinstance(value, str):
+        return key, "str", clean_text(value), None
+    if isinstance(value, list):
+        return key, "list", clean_text(json.dumps(value, sort_keys=True)), None
+    try:
+        return key, "num", None, float(value)
+    except OverflowError:
+        return key, "num", None, float("inf") if value > 0 else float("-inf")
+
+
+def leaves_of(text: str) -> list[tuple]:
+    """All leaves of one argument text, in the order of the text."""
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return [("", "invalid", text, None)]
+    out, todo = [], [("", value)] if isinstance(value, dict) else []
+    while todo:
+        prefix, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{prefix}.{k}" if prefix else k, v) for k, v in reversed(value.items()) if k not in IGNORED_PARAMS]
+        else:
+            out.append(leaf(clean_text(prefix), value))
+    return out
+
+
+@F.arrow_udf(LEAVES)
+def argument_leaves(texts: pa.Array) -> pa.Array:
+    rows, ends = [], [0]
+    for text in texts.to_pylist():
+        if text is not None:
+            rows += leaves_of(text)
+        ends.append(len(rows))
+    columns = list(zip(*rows)) or [()] * 4
+    leaves = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LEAF)], fields=list(_LEAF))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaves)
+
+
+@F.arrow_udf(T.BooleanType())
+def is_json(texts: pa.Array) -> pa.Array:
+    """Whether each element of a JSON array of texts is readable JSON."""
+    def readable(t: str) -> bool:
+        try:
+            json.loads(t)
+            return True
+        except (ValueError, RecursionError):
+            return False
+
+    return pa.array([None if t is None else all(map(readable, json.loads(t))) for t in texts.to_pylist()], pa.bool_())
 
 
 def flatten_arguments(calls: DataFrame, keep: list[str], args_col: str = "arguments",
-                      max_depth: int = MAX_DEPTH, partition_by: str | None = None,
-                      call_rows: bool = False) -> DataFrame:
+                      partition_by: str | None = None, call_rows: bool = False) -> DataFrame:
     """One row per leaf argument of each call.
 
     ``keep`` columns are carried through.  Output adds ``key, base_key,
-    type_tag, str_val, num_val``.  Objects deeper than ``max_depth`` are
-    reported as one leaf with tag ``object`` (never dropped).  With
-    ``partition_by`` the calls are hash-partitioned on that key first:
-    flattening is CPU-heavy, and the consumers aggregate by the same key, so
-    the exchange they need anyway moves in front of the expansion.  With
+    type_tag, str_val, num_val``.  With ``partition_by`` the calls are
+    hash-partitioned on that key first, as the consumers aggregate by it.  With
     ``call_rows`` every call also yields one marker row with NULL ``key``, so
     calls without arguments stay visible downstream.
     """
     if partition_by is not None:
         calls = by_key(calls, partition_by)
-    v = F.try_parse_json(F.col(args_col))
-    entries = F.map_entries(F.try_variant_get(v, "$", _OBJ))
+    # The leaves become a column of their own, so that the UDF runs once per call.
+    found = calls.select(*keep, argument_leaves(F.col(args_col)).alias("_leaves"))
+    leaves = F.coalesce(F.col("_leaves"), F.array().cast(LEAVES))
     if call_rows:
-        marker = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
-        entries = F.concat(marker, F.coalesce(entries, F.array().cast("array<struct<key:string,value:variant>>")))
-    cur = (calls.select(*keep, F.inline(entries))
-           .filter(F.col("key").isNull() | ~F.col("key").isin(*IGNORED_PARAMS))
-           .withColumnRenamed("value", "val"))
-    for _ in range(max_depth - 1):
-        cur = _next_level(cur, keep)
-    tag = F.when(F.col("key").isNotNull(), type_tag(F.col("val")))
-    return cur.select(
-        *keep, "key",
-        F.substring_index(F.col("key"), ".", 1).alias("base_key"),
-        tag.alias("type_tag"),
-        F.when(tag == "str", F.variant_get(F.col("val"), "$", "string"))
-         .when(tag.isin("list", "object"), F.to_json(F.col("val"))).alias("str_val"),
-        F.when(tag.isin("num", "bool"), F.try_variant_get(F.col("val"), "$", "double")).alias("num_val"),
-    )
+        marker = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("type_tag"),
+                                  F.lit(None).cast("string").alias("str_val"), F.lit(None).cast("double").alias("num_val")))
+        leaves = F.concat(marker, leaves)
+    return found.select(*keep, F.inline(leaves)).select(
+        *keep, "key", F.substring_index(F.col("key"), ".", 1).alias("base_key"), "type_tag", "str_val", "num_val")
 
 
 def values_match(g_tag: Column, g_str: Column, g_num: Column,
@@ -89,7 +112,7 @@ def values_match(g_tag: Column, g_str: Column, g_num: Column,
     """O-67: NULL only equals NULL; text (and list text) compares
     case-insensitively; numbers (bool included) within 1e-9; other mixes
     are unequal."""
-    text = ["str", "list", "object"]
+    text = ["str", "list", "invalid"]
     number = ["num", "bool"]
     return (F.when((g_tag == "null") | (p_tag == "null"), (g_tag == "null") & (p_tag == "null"))
             .when(g_tag.isin(*text) & p_tag.isin(*text), F.lower(g_str) == F.lower(p_str))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def py_strip(c: Column) -> Column:
-    """Whitespace strip on both ends (Spark's ``trim`` removes only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Whitespace strip on both ends as Python does it, Unicode blanks and the
+    separators U+001C..U+001F included (Spark's ``trim`` removes only spaces)."""
+    blank = r"[\s\x1c-\x1f\x85\p{Z}]+"
+    return F.regexp_replace(c, f"^{blank}|{blank}$", "")
 
 
 def norm_label(c: Column) -> Column:

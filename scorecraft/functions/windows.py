@@ -15,12 +15,16 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
                     n: int, rank_col: str = "_rank") -> DataFrame:
     """Keep the first ``n`` rows per group (ties broken by ``order_cols``).
 
-    ``row_number() <= n`` is planned by Catalyst with a partial
-    ``WindowGroupLimit`` before the shuffle, so each map task forwards at most
-    ``n`` rows per group and a hot group costs no more than a cold one.
+    Two stages, whatever ``n`` is: the first ``n`` of every (group, hash bucket of
+    the whole row) are found in parallel, then the first ``n`` of those.  The
+    last stage sees at most ``buckets * n`` rows of a group.
     """
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
+    buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(buckets)))
+    for keys in ([*group_cols, "_salt"], group_cols):
+        w = Window.partitionBy(*keys).orderBy(*order_cols)
+        salted = salted.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
+    return salted.drop("_salt")
 
 
 def running_max_blocked(df: DataFrame, keys: list[str], pos_col: str, value: Column,

@@ -1,15 +1,15 @@
 """O-97: predicted argument values outside their closed vocabulary.
 
-The vocabulary ``param_enum(tool, data_type, group_by, param, value)`` is a
-catalogue-sized dimension (broadcast).  A NULL ``data_type``/``group_by`` in a
-rule means "any".  String leaves and the string elements of list leaves are
-checked; a value is a violation when some rule governs its (tool, param) in
-the call's own data_type/group_by context and none of those rules allows it.
-
-One chain: calls are hash-partitioned on ``record_id`` before flattening, so
-the call context (a window per call) and the per-value check (a group per
-value) reuse that partitioning; only the final per-(tool, param) counts
-shuffle, after partial aggregation.
+The vocabulary is a catalogue-sized dimension with one row per (tool, param):
+``rules`` is an array of (conditions, allowed values), where the conditions map
+names of the call's own text arguments to the value they must have (none: the
+rule always applies).  Text leaves and the text elements of list leaves are
+checked in place: a value is governed when some rule applies to its call, and
+a violation when none of those allows it.  Nothing fans out by rule or value.
+
+Calls are hash-partitioned on ``record_id`` before flattening, so the call
+context (a window per call) reuses that partitioning; only the per-(tool,
+param) counts shuffle, after partial aggregation.
 """
 
 from __future__ import annotations
@@ -19,38 +19,33 @@ from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import flatten_arguments
 
-VALUE_KEY = ["record_id", "ordinal", "key", "pos"]
-
 
 def argument_values(calls: DataFrame) -> DataFrame:
     """One row per checked value: ``record_id, ordinal, key, pos`` (its
-    identity), ``tool``, ``param`` (last key segment), ``value`` and the
-    call's own ``ctx_data_type`` / ``ctx_group_by``."""
+    identity), ``tool``, ``param`` (last key segment), ``value`` and ``context``
+    (the call's text arguments by param; the last in key order of repeated ones)."""
     flat = flatten_arguments(calls, ["record_id", "ordinal", "name"], partition_by="record_id")
     param = F.element_at(F.split("key", "\\."), -1)
     leaves = (flat.filter(F.col("type_tag").isin("str", "list"))
               .select("record_id", "ordinal", "key", F.col("name").alias("tool"), param.alias("param"),
                       "type_tag", "str_val"))
     call = Window.partitionBy("record_id", "ordinal")
-
-    def ctx(name):
-        return F.max(F.when((F.col("param") == name) & (F.col("type_tag") == "str"), F.col("str_val"))).over(call)
-
+    texts = F.collect_list(F.when(F.col("type_tag") == "str", F.struct("key", "param", "str_val"))).over(call)
+    context = F.map_from_entries(F.transform(
+        F.array_distinct(F.transform(texts, lambda t: t["param"])),
+        lambda name: F.struct(name.alias("key"), F.array_max(F.filter(texts, lambda t: t["param"] == name))["str_val"].alias("value"))))
     elems = F.when(F.col("type_tag") == "list", F.from_json("str_val", "array<string>")).otherwise(F.array("str_val"))
-    return (leaves.withColumn("ctx_data_type", ctx("data_type")).withColumn("ctx_group_by", ctx("group_by"))
-            .select("record_id", "ordinal", "key", "tool", "param", "ctx_data_type", "ctx_group_by",
-                    F.posexplode(elems).alias("pos", "value")))
+    return (leaves.withColumn("context", context).withColumn("elems", elems)
+            .select("record_id", "ordinal", "key", "tool", "param", "context", F.posexplode("elems").alias("pos", "value")))
 
 
 def check_values(values: DataFrame, param_enum: DataFrame) -> DataFrame:
     """Governed values with ``ok`` = allowed by an applicable rule."""
-    rules = F.broadcast(param_enum.select("tool", "param", F.col("value").alias("allowed"),
-                                          F.col("data_type").alias("r_dt"), F.col("group_by").alias("r_gb")))
-    applies = ((F.col("r_dt").isNull() | (F.col("r_dt") == F.col("ctx_data_type")))
-               & (F.col("r_gb").isNull() | (F.col("r_gb") == F.col("ctx_group_by"))))
-    return (values.join(rules, ["tool", "param"], "inner").filter(applies)
-            .groupBy(*VALUE_KEY, "tool", "param", "value")
-            .agg(F.max(F.col("allowed") == F.col("value")).alias("ok")))
+    applies = F.filter("rules", lambda r: F.forall(
+        F.map_entries(r["conditions"]), lambda c: F.coalesce(F.col("context")[c["key"]] == c["value"], F.lit(False))))
+    return (values.join(param_enum, ["tool", "param"]).withColumn("rules", applies).filter(F.size("rules") > 0)
+            .withColumn("ok", F.exists("rules", lambda r: F.coalesce(F.array_contains(r["allowed"], F.col("value")), F.lit(False))))
+            .drop("rules", "context"))
 
 
 def arg_domain_violations(calls: DataFrame, param_enum: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@
 function: STRUCT<name, arguments STRING>>>, error STRING``.
 
 Routing is native: error rows, native tool calls (arguments parsed with
-``try_parse_json``), blank answers and bracket-free text are decided by column
+Python's JSON rules), blank answers and bracket-free text are decided by column
 expressions.  Only answers holding a bracket reach the Arrow UDF -- the others
 are passed to it as NULL, so the input is scanned once and only the texts that
 need the Python ladder cross into Python.
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorecraft.functions.arguments import is_json
 from scorecraft.functions.output_parser import KNOWN_TOOL_NAMES, clean_text, parse_text, tools_json
 from scorecraft.functions.partitioning import by_key
 from scorecraft.functions.text import py_strip
@@ -80,7 +81,7 @@ def parse_outputs(responses: DataFrame, parser: str = "json", known=KNOWN_TOOL_N
     has_calls = tc.isNotNull() & (F.size(tc) > 0)
     native = F.transform(tc, lambda c: F.struct(F.coalesce(c["function"]["name"], F.lit("")).alias("name"),
                                                 F.coalesce(c["function"]["arguments"], F.lit("{}")).alias("arguments")))
-    native_bad = F.exists(tc, lambda c: F.try_parse_json(F.coalesce(c["function"]["arguments"], F.lit("{}"))).isNull())
+    texts = F.to_json(F.transform(tc, lambda c: F.coalesce(c["function"]["arguments"], F.lit("{}"))))
     text = F.coalesce(F.col("content"), F.lit(""))
     stripped = py_strip(text)
     blank = stripped == ""
@@ -89,6 +90,8 @@ def parse_outputs(responses: DataFrame, parser: str = "json", known=KNOWN_TOOL_N
     # Hash on record_id first: the Python stage runs on every shuffle
     # partition, and the scoring joins downstream reuse this partitioning.
     d = by_key(responses, "record_id").withColumn("_p", _parse_udf(parser, tuple(known))(F.when(needs_udf, text)))
+    d = d.withColumn("_json", is_json(F.when(has_calls, texts)))
+    native_bad = ~F.coalesce(F.col("_json"), F.lit(True))
     is_err = F.col("error").isNotNull()
     kind = (F.when(is_err, "error")
             .when(has_calls, F.when(native_bad, "error").otherwise("tool"))
@@ -118,16 +121,16 @@ def parse_outputs(responses: DataFrame, parser: str = "json", known=KNOWN_TOOL_N
 
 def parse_postprocessed(outputs: DataFrame) -> DataFrame:
     """O-45: outputs that are already structured (``tool_calls`` holding
-    ``{name, arguments}`` or ``content``) map directly; no raw text."""
+    ``{name, arguments}`` or ``content``) map directly; an empty output is an
+    empty text; no raw text."""
     tc = F.col("tool_calls")
     has_calls = tc.isNotNull() & (F.size(tc) > 0)
-    has_text = F.coalesce(F.length("content"), F.lit(0)) > 0
     return outputs.select(
         "record_id",
-        F.when(has_calls, "tool").when(has_text, "nlp").otherwise("error").alias("pred_type"),
+        F.when(has_calls, "tool").otherwise("nlp").alias("pred_type"),
         F.when(has_calls, tc).alias("pred_tools"),
-        F.when(~has_calls & has_text, F.col("content")).alias("pred_response"),
-        F.when(~has_calls & ~has_text, F.lit("empty output")).alias("pred_error"),
+        F.when(~has_calls, F.coalesce(F.col("content"), F.lit(""))).alias("pred_response"),
+        F.lit(None).cast("string").alias("pred_error"),
         F.lit("postprocessed").alias("parse_strategy"),
         F.lit(None).cast("string").alias("raw_text"),
         F.lit(None).cast("boolean").alias("raw_ok"))
@@ -147,14 +150,38 @@ def parse_report(parsed: DataFrame, group_cols: list[str]) -> DataFrame:
         F.avg(F.col("pred_error").isNotNull().cast("double")).alias("error_share"))
 
 
+_MESSAGE = ("struct<role:string,content:string,tool_calls:array<struct<type:string,"
+            "function:struct<name:string,arguments:string>>>>")
+RESPONSE_LINE = (f"custom_id string, error string, "
+                 f"response struct<status_code:int,body:struct<choices:array<struct<message:{_MESSAGE}>>>>")
+
+
+def response_lines(lines: DataFrame, line: str = "line", order: str = "line_no") -> DataFrame:
+    """O-26/O-31: batch answer lines (JSON text) as rows ``(record_id, content,
+    tool_calls, error)``.  ``record_id`` is the line's ``custom_id`` (text); the
+    answer is the message of the first choice.  Of several lines for one id the
+    one with the largest ``order`` wins (then the larger text).  Lines without
+    an id are dropped: they answer no request."""
+    m = F.from_json(F.col(line), RESPONSE_LINE)
+    message = F.get(F.col("m.response.body.choices"), F.lit(0))["message"]
+    rows = lines.select(m.alias("m"), F.struct(F.col(order), F.col(line)).alias("turn")).filter("m.custom_id IS NOT NULL")
+    answer = F.struct(message["content"].alias("content"), message["tool_calls"].alias("tool_calls"),
+                      F.col("m.error").alias("error"))
+    return (rows.groupBy(F.col("m.custom_id").alias("record_id")).agg(F.max_by(answer, "turn").alias("a"))
+            .select("record_id", "a.content", "a.tool_calls", "a.error"))
+
+
 def ingest_responses(records: DataFrame, lines: DataFrame) -> DataFrame:
     """O-26/O-27: response lines ``(record_id, content, tool_calls)`` meet
     their requests by key (not position).  A line with any named function
     call is a tool output; otherwise its content (NULL -> '') is the answer;
-    a request without a line is an empty output."""
+    a request without a line is an empty output.  ``lines`` has one row per id
+    (``response_lines``); its calls and, where present, errors are kept."""
     named = F.exists("tool_calls", lambda c: F.coalesce(F.length(c["function"]["name"]), F.lit(0)) > 0)
     j = records.join(lines.withColumn("_line", F.lit(True)), "record_id", "left")
     kind = (F.when(F.col("_line").isNull(), "empty")
             .when(F.coalesce(named, F.lit(False)), "tool").otherwise("content"))
+    more = [F.col("error")] if "error" in lines.columns else [F.lit(None).cast("string").alias("error")]
     return j.select("record_id", kind.alias("output_kind"),
-                    F.when(kind == "content", F.coalesce(F.col("content"), F.lit(""))).alias("content"))
+                    F.when(kind == "content", F.coalesce(F.col("content"), F.lit(""))).alias("content"),
+                    F.when(kind == "tool", F.col("tool_calls")).alias("tool_calls"), *more)

@@ -92,11 +92,11 @@ def rouge1(pairs: DataFrame) -> DataFrame:
 def _unit(vec: Column) -> Column:
     v = F.transform(vec, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / norm)
+    return F.transform(v, lambda x: F.try_divide(x, norm))          # a zero vector matches nothing
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
 
 def _directional(src: DataFrame, dst: DataFrame, block: int) -> DataFrame:
@@ -117,7 +117,10 @@ def greedy_embedding_match(token_vecs: DataFrame, block: int = 256) -> DataFrame
     ref, pred = v.filter(F.col("side") == "ref"), v.filter(F.col("side") == "pred")
     p = _directional(pred, ref, block).withColumnRenamed("s", "score_bert_precision")
     r = _directional(ref, pred, block).withColumnRenamed("s", "score_bert_recall")
-    out = p.join(r, "record_id")
+    # A record with tokens on one side only has nothing to match: 0.
+    ids = v.select("record_id").distinct()
+    out = ids.join(p, "record_id", "left").join(r, "record_id", "left").na.fill(
+        0.0, ["score_bert_precision", "score_bert_recall"])
     return out.withColumn("score_bert_f1", _f1(F.col("score_bert_precision"), F.col("score_bert_recall")))
 
 
@@ -148,7 +151,9 @@ def content_scores(items: DataFrame, families: list[str], token_vecs: DataFrame
         bert = greedy_embedding_match(token_vecs.join(pairs.select("record_id"), "record_id", "left_semi"))
         out = out.join(bert, "record_id", "left")
         cols += ["score_bert_precision", "score_bert_recall", "score_bert_f1"]
-    if "judge" in families and judge is not None:
+    if "judge" in families:
+        if judge is None:
+            raise ValueError("the judge family needs a table of judge scores")
         jcols = [c for c in judge.columns if c != "record_id"]
         out = out.join(judge.join(pairs.select("record_id"), "record_id", "left_semi"), "record_id", "left")
         cols += jcols

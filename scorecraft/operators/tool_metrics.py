@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import IGNORED_PARAMS, flatten_arguments, values_match
 from scorecraft.functions.partitioning import by_key
+from scorecraft.functions.text import py_strip
 
 CALL_KEEP = ["record_id", "side", "ordinal", "name", "rank", "is_last"]
 
@@ -69,15 +70,7 @@ def schema_reliability(items: DataFrame) -> DataFrame:
     without raw text, 1.0 for blank text or text that is strict JSON or a
     pythonic call (``raw_ok``, decided in the parse stage), else 0.0.
     Processed: 1.0 iff the parsed prediction is a tool call."""
-    gt_tool = F.col("gt_type") == "tool"
-    raw_text = F.col("raw_text") if "raw_text" in items.columns else F.lit(None).cast("string")
-    raw_ok = F.col("raw_ok") if "raw_ok" in items.columns else F.lit(False)
-    raw = (F.when(~gt_tool | raw_text.isNull(), F.lit(None).cast("double"))
-           .when(F.regexp_replace(raw_text, r"^\s+|\s+$", "") == "", 1.0)
-           .when(F.coalesce(raw_ok, F.lit(False)), 1.0).otherwise(0.0))
-    proc = F.when(gt_tool, F.when(F.col("pred_type") == "tool", 1.0).otherwise(0.0))
-    return items.select("record_id", raw.alias("score_schema_reliability_raw"),
-                        proc.alias("score_schema_reliability_processed"))
+    return items.select("record_id", *_item_score_columns(items.columns)[1:])
 
 
 def tool_pickup(items: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFrame:
@@ -268,7 +261,7 @@ def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, pa
         F.col("side"), F.col("ordinal"), F.col("name"), F.col("rank"), F.col("is_last"),
         F.coalesce("in_cat", F.lit(False)).alias("in_cat"), F.col("key"),
         F.coalesce("valid", F.lit(False)).alias("valid"),
-        F.when(F.col("type_tag").isin("str", "list", "object"), "text")
+        F.when(F.col("type_tag").isin("str", "list", "invalid"), "text")
          .when(F.col("type_tag").isin("num", "bool"), "num")
          .when(F.col("type_tag") == "null", "null").otherwise("other").alias("cls"),
         F.lower(F.col("str_val")).alias("ls"), F.col("num_val").alias("n"))).alias("r"))
@@ -356,7 +349,7 @@ def _item_score_columns(columns: list[str]) -> list:
     raw_text = F.col("raw_text") if "raw_text" in columns else F.lit(None).cast("string")
     raw_ok = F.col("raw_ok") if "raw_ok" in columns else F.lit(False)
     raw = (F.when(~gt_tool | raw_text.isNull(), F.lit(None).cast("double"))
-           .when(F.regexp_replace(raw_text, r"^\s+|\s+$", "") == "", 1.0)
+           .when(py_strip(raw_text) == "", 1.0)
            .when(F.coalesce(raw_ok, F.lit(False)), 1.0).otherwise(0.0))
     proc = F.when(gt_tool, F.when(F.col("pred_type") == "tool", 1.0).otherwise(0.0))
     return [F.when(same, 1.0).otherwise(0.0).alias("score_when2call"),

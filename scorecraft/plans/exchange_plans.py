@@ -27,7 +27,10 @@ def _sql_template(template: str) -> str:
     return "concat(" + ", ".join(out) + ")"
 
 
-_JUDGE_PROMPTS = {p.metric_name: p for p in X.DEFAULT_JUDGE_PROMPTS}
+# Prompt texts of this fixture: placeholders between plain words.
+PROMPTS = [X.JudgePrompt(m, kind, f"judge {m}", f"{m}: A={{reference}} B={{prediction}} Q={{query}} ({kind})")
+           for m, kind in X.JUDGE_OUTPUT_TYPES.items()]
+_JUDGE_PROMPTS = {p.metric_name: p for p in PROMPTS}
 
 
 def judge_items(spark, sf_dir):
@@ -53,7 +56,7 @@ _ITEMS_SQL = "WITH fd AS (" + fixture_sql("text_pairs") + """)
        true AS request_ok FROM it"""
     for m in ENABLED if m in _JUDGE_PROMPTS))
 def judge_requests(spark, sf_dir):
-    r = X.judge_requests(judge_items(spark, sf_dir), ENABLED)
+    r = X.judge_requests(judge_items(spark, sf_dir), ENABLED, PROMPTS)
     ok = F.get_json_object("request", "$.body.messages[1].content") == F.col("user_prompt")
     return r.select("record_id", "metric", "custom_id", "system_prompt", "user_prompt", ok.alias("request_ok"))
 

@@ -81,11 +81,12 @@ select l.doc_id as sample_id, d.text as prompt,
 from {labels} l join {documents} d on l.doc_id = d.doc_id
 """
 
-# F-D: reference / prediction text pairs from assistant turns.
+# F-D: reference / prediction text pairs from assistant turns, whole texts.  The
+# tables hold no digits, so an edit that writes a 7 has a known distance.
 TEXT_PAIRS = """
 select conv_id, turn, text as reference_text,
-       case when turn % 4 = 1 then substr(text, 1, cast(floor(length(text) / 2.0) as int))
-            else coalesce(lag(text) over (partition by conv_id order by turn), '') end as prediction_text
+       case (conv_id + turn) % 5 when 0 then replace(text, 'e', '7') when 1 then concat(text, ' 777') when 2 then text
+            when 3 then concat('7 ', replace(text, 'n', '7')) else '' end as prediction_text
 from {conversations} where role = 'assistant'
 """
 
@@ -149,6 +150,16 @@ select o_orderkey as record_id,
 from {orders}
 """
 
+# Calls of two freight tools (O-97), values drawn from the order row.
+FREIGHT_CALLS = """
+select o_orderkey as record_id, 0 as ordinal,
+       case when o_orderkey % 3 = 0 then 'quote_freight' else 'book_freight' end as name,
+       concat('{"mode":"', case o_orderkey % 4 when 0 then 'sea' when 1 then 'air' when 2 then 'sea' else 'road' end,
+              '","class":"', o_orderpriority, '","ports":["', case o_orderkey % 5 when 0 then 'kobe' when 1 then 'oslo'
+              when 2 then 'lima' else 'cork' end, '","oslo"],"box":"b', cast(o_custkey % 3 as string), '"}') as arguments
+from {orders}
+"""
+
 # Legacy one-turn layout (O-08): each user turn with its assistant answer.
 LEGACY_PAIRS = """
 select c.conv_id, c.turn as user_turn, c.text as query, n.text as answer,
@@ -160,6 +171,7 @@ where c.role = 'user' and n.role = 'assistant'
 FIXTURES = {
     "filter_args": FILTER_ARGS,
     "legacy_pairs": LEGACY_PAIRS,
+    "freight_calls": FREIGHT_CALLS,
     "turns": TURNS,
     "tool_calls": TOOL_CALLS,
     "tool_call_rows": TOOL_CALL_ROWS,

@@ -3,8 +3,6 @@ evaluation used as a headline bench query."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import flatten_arguments, simplify_filter_keys
@@ -16,7 +14,8 @@ from scorecraft.operators import tool_metrics as T
 from scorecraft.plans import parse_plans, text_plans, tool_plans
 from scorecraft.plans.fixtures import fixture, fixture_sql
 from scorecraft.plans.registry import register
-from scorecraft.sources.catalog import DOMAIN_CATALOG, catalog_documents, fixture_catalog, param_enum_dim
+from scorecraft.plans.catalogs import FREIGHT_CATALOG, fixture_catalog
+from scorecraft.sources.catalog import catalog_documents, param_enum_dim
 from scorecraft.sources.datasets import normalise_legacy
 
 
@@ -58,51 +57,27 @@ def legacy_turns_normalise(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ O-97
-def _enum_values_sql() -> str:
-    rows = []
-    for t in json.loads(DOMAIN_CATALOG):
-        fn = t.get("function", t)
-        for p, spec in fn["parameters"]["properties"].items():
-            rows += [(fn["name"], None, None, p, v) for v in spec.get("enum", [])]
-        for rule in fn["parameters"].get("allOf", []):
-            cond = rule["if"]["properties"]
-            dt = cond.get("data_type", {}).get("const")
-            gb = cond.get("group_by", {}).get("const")
-            for p, spec in rule["then"]["properties"].items():
-                for o in spec.get("anyOf", [spec]):
-                    rows += [(fn["name"], dt, gb, p, v) for v in o.get("items", {}).get("enum", o.get("enum", []))]
-
-    def q(v):
-        return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in rows)
-
-
-@register("arg_domain_violations", oracle="WITH rows AS (" + fixture_sql("tool_call_rows") + ")" + f"""
-, pe(tool, data_type, group_by, param, value) AS (VALUES {_enum_values_sql()})
-, pc AS (SELECT * FROM rows WHERE side = 'pred')
-, fl AS (""" + tool_plans._FLAT.format(keep="r.record_id, r.ordinal, r.name", src="pc") + """)
-, lv AS (SELECT record_id, ordinal, key, name AS tool, string_split(key, '.')[-1] AS param, type_tag, str_val FROM fl)
-, ctx AS (SELECT record_id, ordinal,
-            max(CASE WHEN param = 'data_type' AND type_tag = 'str' THEN str_val END) AS ctx_data_type,
-            max(CASE WHEN param = 'group_by' AND type_tag = 'str' THEN str_val END) AS ctx_group_by
-          FROM lv GROUP BY 1, 2)
-, vals AS (SELECT record_id, ordinal, key, 0 AS pos, tool, param, str_val AS value FROM lv WHERE type_tag = 'str'
-           UNION ALL
-           SELECT record_id, ordinal, key, pos, tool, param, value FROM (
-             SELECT record_id, ordinal, key, tool, param, unnest(json_extract_string(str_val, '$[*]')) AS value,
-                    generate_subscripts(json_extract_string(str_val, '$[*]'), 1) - 1 AS pos
-             FROM lv WHERE type_tag = 'list'))
-, chk AS (SELECT v.record_id, v.ordinal, v.key, v.pos, v.tool, v.param, bool_or(pe.value = v.value) AS ok
-          FROM vals v JOIN ctx USING (record_id, ordinal)
-          JOIN pe ON pe.tool = v.tool AND pe.param = v.param
-                 AND (pe.data_type IS NULL OR pe.data_type = ctx.ctx_data_type)
-                 AND (pe.group_by IS NULL OR pe.group_by = ctx.ctx_group_by)
-          GROUP BY 1, 2, 3, 4, 5, 6)
+@register("arg_domain_violations", oracle="WITH pc AS (" + fixture_sql("freight_calls") + """)
+, pe(tool, mode, class, param, value) AS (VALUES
+    ('book_freight', NULL, NULL, 'mode', 'air'), ('book_freight', NULL, NULL, 'mode', 'sea'),
+    ('quote_freight', NULL, NULL, 'mode', 'air'), ('quote_freight', NULL, NULL, 'mode', 'sea'), ('quote_freight', NULL, NULL, 'mode', 'road'),
+    ('book_freight', 'sea', NULL, 'ports', 'kobe'), ('book_freight', 'sea', NULL, 'ports', 'oslo'),
+    ('book_freight', 'air', NULL, 'ports', 'lima'),
+    ('book_freight', 'sea', '1-URGENT', 'box', 'b0'), ('book_freight', 'sea', '1-URGENT', 'box', 'b1'))
+, a AS (SELECT record_id, name AS tool, json_extract_string(arguments, '$.mode') AS mode,
+               json_extract_string(arguments, '$.class') AS class, arguments FROM pc)
+, vals AS (SELECT record_id, tool, mode, class, p.param, 0 AS pos, json_extract_string(arguments, '$.' || p.param) AS value
+           FROM a, (VALUES ('mode'), ('class'), ('box')) p(param)
+           UNION ALL SELECT record_id, tool, mode, class, 'ports', i, json_extract_string(arguments, '$.ports[' || i || ']')
+           FROM a, (VALUES (0), (1)) n(i))
+, chk AS (SELECT v.record_id, v.tool, v.param, v.pos, bool_or(pe.value = v.value) AS ok
+          FROM vals v JOIN pe ON pe.tool = v.tool AND pe.param = v.param
+               AND (pe.mode IS NULL OR pe.mode = v.mode) AND (pe.class IS NULL OR pe.class = v.class)
+          GROUP BY 1, 2, 3, 4)
 SELECT tool, param, count(*) AS n_values, count(*) FILTER (WHERE NOT ok) AS n_violations FROM chk GROUP BY 1, 2""")
 def arg_domain_violations(spark, sf_dir):
-    calls = tool_plans.calls(spark, sf_dir).filter(F.col("side") == "pred")
-    enum = param_enum_dim(catalog_documents(spark, text=DOMAIN_CATALOG))
-    return D.arg_domain_violations(calls, enum)
+    enum = param_enum_dim(catalog_documents(spark, text=FREIGHT_CATALOG))
+    return D.arg_domain_violations(fixture(spark, sf_dir, "freight_calls"), enum)
 
 
 # ------------------------------------------------------------------ O-49

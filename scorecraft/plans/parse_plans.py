@@ -138,7 +138,34 @@ def responses_ingest(spark, sf_dir):
     g = fixture(spark, sf_dir, "raw_outputs")
     b = native_responses(spark, sf_dir).select("record_id", "tool_calls")
     lines = g.filter(F.col("error").isNull()).join(b, "record_id").select("record_id", "content", "tool_calls")
-    return P.ingest_responses(records, lines)
+    return P.ingest_responses(records, lines).drop("tool_calls", "error")
+
+
+@register("response_lines_parsed", oracle=_B + """
+SELECT cast(record_id AS VARCHAR) AS record_id, pred_type, CASE WHEN pred_type = 'tool' THEN 1 END AS n_tools,
+       CASE WHEN pred_type = 'tool' THEN pred_tool END AS first_tool,
+       CASE WHEN pred_type = 'nlp' THEN concat('answer ', cast(record_id AS VARCHAR)) END AS pred_response,
+       CASE pred_type WHEN 'tool' THEN 'native' WHEN 'nlp' THEN 'plain_text' ELSE 'empty' END AS parse_strategy
+FROM b""")
+def response_lines_parsed(spark, sf_dir):
+    """O-23, O-26, O-34: batch answer lines, some of them outdated, meet their
+    requests and are parsed; a request without a line is an empty answer."""
+    b = fixture(spark, sf_dir, "tool_calls").withColumn("record_id", F.col("record_id").cast("string"))
+    call = F.struct(F.lit("function").alias("type"),
+                    F.struct(F.col("pred_tool").alias("name"), F.col("pred_args").alias("arguments")).alias("function"))
+
+    def line(message):
+        body = F.struct(F.array(F.struct(message.alias("message"))).alias("choices"))
+        return F.to_json(F.struct(F.col("record_id").alias("custom_id"), F.struct(body.alias("body")).alias("response"))).alias("line")
+
+    text = F.struct(F.when(F.col("pred_type") == "nlp", F.concat(F.lit("answer "), F.col("record_id"))).alias("content"),
+                    F.when(F.col("pred_type") == "tool", F.array(call)).alias("tool_calls"))
+    answered = b.filter(F.col("pred_type") != "error")
+    stale = answered.filter(F.col("record_id").cast("long") % 10 == 0)
+    lines = (answered.select(line(text), F.lit(2).alias("line_no"))
+             .unionByName(stale.select(line(F.struct(F.lit("outdated").alias("content"))), F.lit(1).alias("line_no"))))
+    outputs = P.ingest_responses(b.select("record_id"), P.response_lines(lines))
+    return _summary(P.parse_outputs(outputs, "json"))
 
 
 @register("response_error_rate", oracle="WITH g AS (" + fixture_sql("raw_outputs") + """)

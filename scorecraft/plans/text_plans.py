@@ -1,10 +1,11 @@
 """Plans over text pairs (fixture F-D) and token vectors (F-F): O-49,
 O-51, O-52, O-69..O-75.
 
-Character-level Levenshtein distance/ratio and ROUGE-L have no DuckDB
-counterpart that counts code points or computes an LCS at this size, so those
-plans carry no oracle; tests/test_text_metrics.py checks them against brute
-force on a small fixture instead.
+The predictions of F-D are whole reference texts with characters replaced or
+added by a 7, which no reference holds.  A 7 matches nothing, so the common
+subsequences are what is left and SQL can state distances exactly: every 7
+and every added blank costs one edit.  tests/test_text_metrics.py checks
+arbitrary pairs against brute force.
 """
 
 from __future__ import annotations
@@ -47,17 +48,31 @@ _BASE = "WITH fd AS (" + fixture_sql("text_pairs") + """)
 """
 
 
-@register("levenshtein_distance")
+# Characters of the prediction that match nothing: the 7s and the blank of an added part.
+_EDITS = _BASE + """
+, ed AS (SELECT record_id, length(reference_text) AS n_ref, length(prediction_text) AS n_pred,
+                (length(prediction_text) - length(replace(prediction_text, '7', '')))
+                + CASE WHEN prediction_text LIKE '7 %' OR prediction_text LIKE '% 777' THEN 1 ELSE 0 END AS alien FROM pairs)
+, lev AS (SELECT record_id, CAST(alien AS DOUBLE) AS score_levenshtein_distance,
+                 2.0 * (n_pred - alien) / (n_ref + n_pred) AS score_levenshtein_ratio FROM ed)
+, lt AS (SELECT record_id, count(*) FILTER (WHERE side = 'ref') AS tr, count(*) FILTER (WHERE side = 'pred') AS tp,
+                count(*) FILTER (WHERE side = 'pred' AND token NOT LIKE '%7%') AS tl FROM tok GROUP BY 1)
+, rl AS (SELECT pairs.record_id, CASE WHEN coalesce(tr, 0) = 0 OR coalesce(tp, 0) = 0 OR tl = 0 THEN 0.0
+                ELSE 2 * (tl / tp) * (tl / tr) / ((tl / tp) + (tl / tr)) END AS score_rougeL FROM pairs LEFT JOIN lt USING (record_id))
+"""
+
+
+@register("levenshtein_distance", oracle=_EDITS + "SELECT record_id, score_levenshtein_distance FROM lev")
 def levenshtein_distance(spark, sf_dir):
     return X.levenshtein_distance(pairs(spark, sf_dir))
 
 
-@register("levenshtein_ratio")
+@register("levenshtein_ratio", oracle=_EDITS + "SELECT record_id, score_levenshtein_ratio FROM lev")
 def levenshtein_ratio(spark, sf_dir):
     return X.lcs_scores(pairs(spark, sf_dir)).select("record_id", "score_levenshtein_ratio")
 
 
-@register("rougeL")
+@register("rougeL", oracle=_EDITS + "SELECT record_id, score_rougeL FROM rl")
 def rougeL(spark, sf_dir):
     return X.lcs_scores(pairs(spark, sf_dir)).select("record_id", "score_rougeL")
 
@@ -75,7 +90,9 @@ def content_scores_all_rows(spark, sf_dir):
     return it.join(X.rouge1(X.scorable(it)), "record_id", "left").select("record_id", "gt_type", "pred_type", "score_rouge1")
 
 
-@register("content_scores_wide")
+@register("content_scores_wide", oracle=_EDITS + """
+SELECT i.record_id, i.gt_type, i.pred_type, score_levenshtein_distance, score_levenshtein_ratio, score_rougeL, score_rouge1
+FROM items i LEFT JOIN lev USING (record_id) LEFT JOIN rl USING (record_id) LEFT JOIN r1 USING (record_id)""")
 def content_scores_wide(spark, sf_dir):
     return X.content_scores(items(spark, sf_dir), ["rouge", "levenshtein"]).drop("reference_text", "prediction_text")
 

@@ -8,7 +8,7 @@ from scorecraft.functions.arguments import flatten_arguments, values_match
 from scorecraft.operators import tool_metrics as T
 from scorecraft.plans.fixtures import fixture, fixture_sql
 from scorecraft.plans.registry import register
-from scorecraft.sources.catalog import fixture_catalog
+from scorecraft.plans.catalogs import fixture_catalog
 
 CHART_TOOLS = ("show_pie_chart", "show_stacked_bar_chart", "show_line_chart")
 
@@ -48,7 +48,7 @@ SELECT {keep}, substr(jt.fullkey, 3) AS key, split_part(substr(jt.fullkey, 3), '
        CASE jt.type WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'null'
                     WHEN 'ARRAY' THEN 'list' ELSE 'num' END AS type_tag,
        CASE WHEN jt.type = 'VARCHAR' THEN json_extract_string(jt.value, '$')
-            WHEN jt.type = 'ARRAY' THEN CAST(jt.value AS VARCHAR) END AS str_val,
+            WHEN jt.type = 'ARRAY' THEN replace(CAST(jt.value AS VARCHAR), ',', ', ') END AS str_val,
        CASE WHEN jt.type = 'BOOLEAN' THEN CASE WHEN CAST(jt.value AS VARCHAR) = 'true' THEN 1.0 ELSE 0.0 END
             WHEN jt.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST(jt.value AS VARCHAR) AS DOUBLE) END AS num_val
 FROM {src} r, json_tree(r.arguments) jt

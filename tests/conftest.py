@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,8 +13,7 @@ SF_CHECK = "/root/testdata/sf0.01"
 def spark():
     from scorecraft.session import get_spark
     s = get_spark("local[4]", shuffle_partitions=8,
-                  extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="scorecraft-test-ckpt-"),
-                         "spark.driver.memory": "4g"})
+                  extra={"spark.driver.memory": "4g"})
     yield s
     s.stop()
 

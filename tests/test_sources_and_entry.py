@@ -46,8 +46,8 @@ def test_guardrail_loader(spark, tmp_path):
     assert load_guardrail_rows(spark, str(p), max_samples=2).count() == 2
     p2 = tmp_path / "bad.jsonl"
     p2.write_text(json.dumps({"prompt": "x"}))
-    # explicit schema: a missing field reads as NULL; the field list itself is validated
-    assert load_guardrail_rows(spark, str(p2)).count() == 1
+    with pytest.raises(Exception, match="missing required field"):
+        load_guardrail_rows(spark, str(p2)).collect()
 
 
 def test_legacy_layout(spark):
@@ -62,11 +62,14 @@ def test_legacy_layout(spark):
 def test_judge_tables(spark):
     items = spark.createDataFrame([("r1", "ref {prediction}", "pred", None)],
                                   "record_id string, reference_text string, prediction_text string, query string")
-    req = {r.metric: r for r in X.judge_requests(items, ["content_similarity", "content_helpfulness", "nope"]).collect()}
+    req = {r.metric: r for r in X.judge_requests(
+        items, ["content_similarity", "content_helpfulness", "nope"],
+        [X.JudgePrompt("content_similarity", "score_1_5", "sys", "R: {reference} P: {prediction}"),
+         X.JudgePrompt("content_helpfulness", "score_1_5", "sys", "Q: {query}!")]).collect()}
     assert set(req) == {"content_similarity", "content_helpfulness"}
     # single-pass formatting: a placeholder inside a value is left alone
-    assert "Reference: ref {prediction}\n\nPrediction: pred" in req["content_similarity"].user_prompt
-    assert json.loads(req["content_helpfulness"].request)["body"]["messages"][1]["content"].startswith("Query: \n")
+    assert req["content_similarity"].user_prompt == "R: ref {prediction} P: pred"
+    assert json.loads(req["content_helpfulness"].request)["body"]["messages"][1]["content"] == "Q: !"
     out = spark.createDataFrame([("r1", "content_similarity", " 7 ")], "record_id string, metric string, output string")
     reqs = spark.createDataFrame([("r1", "content_similarity", "score_1_5"), ("r1", "context_accuracy", "binary")],
                                  "record_id string, metric string, output_type string")
@@ -77,6 +80,14 @@ def test_judge_tables(spark):
     assert row.content_similarity == 5.0 and row.topic_accuracy is None
 
 
+def test_judge_numbers(spark):
+    """Numbers as Python's float() reads them."""
+    cases = {"4": 4, " 1_0 ": 5, "5d": 3, "1f": 3, "nan": 5, "-inf": 1, "2.": 2, ".5": 1, "\u00a03\u2003": 3, "1e0": 1, "": 3, "4 5": 3}
+    df = spark.createDataFrame(list(cases.items()), "output string, want int")
+    got = df.select("want", X.parse_judge_score(F.col("output"), F.lit("score_1_5")).alias("s")).collect()
+    assert [r.s for r in got] == [float(r.want) for r in got]
+
+
 def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns == ["category", "gt_role", "n_records", "mean_context_turns"]
@@ -85,7 +96,8 @@ def test_entry_contract(spark):
 
 
 @pytest.mark.parametrize("name", ["prediction_records", "tool_scores_wide", "guardrail_comparison",
-                                  "parse_outputs_types", "rouge1", "metric_summary", "arg_domain_violations"])
+                                  "parse_outputs_types", "rouge1", "metric_summary", "arg_domain_violations",
+                                  "response_lines_parsed", "content_scores_wide"])
 def test_oracle_spot_check(spark, name):
     con = duckdb.connect()
     for t in TABLES:

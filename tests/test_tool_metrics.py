@@ -40,10 +40,31 @@ def test_flatten_semantics(spark):
     c = spark.createDataFrame([(1, '{"a": {"b": 1, "title": "x", "c": {}}, "l": ["X", 1], "s": "S", "n": null, '
                                    '"t": true, "title": "y"}')], "record_id long, arguments string")
     got = {r.key: (r.type_tag, r.str_val, r.num_val) for r in flatten_arguments(c, ["record_id"]).collect()}
-    assert got == {"a.b": ("num", None, 1.0), "l": ("list", '["X",1]', None), "s": ("str", "S", None),
+    assert got == {"a.b": ("num", None, 1.0), "l": ("list", '["X", 1]', None), "s": ("str", "S", None),
                    "n": ("null", None, None), "t": ("bool", None, 1.0)}
 
 
+def test_flatten_by_json_rules(spark):
+    """Any depth, the last of repeated names, NaN, list text, unreadable text."""
+    rows = [(1, '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1,"title":"x"}}}}}}}'), (2, '{"a":1,"a":2}'), (3, '{"a":NaN,"b":1}'),
+            (4, '{"l":[1,1.0],"m":[{"z":1,"a":"\\ud83d"}]}'), (5, "{bad"), (6, None), (7, "[1]"), (8, "{}"),
+            (9, '{"n":' + "9" * 400 + "}"), (10, '{"x":' * 30_000 + "1" + "}" * 30_000)]
+    df = spark.createDataFrame(rows, "record_id long, arguments string")
+    got: dict = {}
+    for r in flatten_arguments(df, ["record_id"]).collect():
+        got.setdefault(r.record_id, {})[r.key] = (r.type_tag, r.str_val, r.num_val)
+    assert got[1] == {"a.b.c.d.e.f.g": ("num", None, 1.0)}
+    assert got[2] == {"a": ("num", None, 2.0)}
+    assert got[3]["a"][0] == "num" and got[3]["a"][2] != got[3]["a"][2] and got[3]["b"] == ("num", None, 1.0)
+    assert got[4]["l"] == ("list", "[1, 1.0]", None) and got[4]["m"][0] == "list"
+    assert got[5] == {"": ("invalid", "{bad", None)}
+    assert not {6, 7, 8} & set(got)
+    assert got[9] == {"n": ("num", None, float("inf"))}
+    assert got[10][""][0] == "invalid"
+    marked = flatten_arguments(df, ["record_id"], call_rows=True).filter("key IS NULL").count()
+    assert marked == len(rows)
+
+
 def test_simplified_filter_keys(spark):
     c = spark.createDataFrame([(1, '{"data_source": {"source": "tx", "filter": {"categories": ["a"], "x": 1}},'
                                    ' "filter": {"payees": ["p"]}, "limit": 2}')], "record_id long, arguments string")
@@ -128,7 +149,7 @@ def test_repartition_invariance(spark):
 
 def test_onepass_equals_per_metric_operators(spark):
     from scorecraft.plans import tool_plans
-    from scorecraft.sources.catalog import fixture_catalog
+    from scorecraft.plans.catalogs import fixture_catalog
     it, calls = tool_plans.items(spark, SF_SMALL), tool_plans.calls(spark, SF_SMALL)
     tools, params = fixture_catalog(spark)
     wide = {r.record_id: r for r in T.tool_scores_onepass(it, calls, tools, params).collect()}
