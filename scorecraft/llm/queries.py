@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import (decontamination, jaccard_join, langid, merge_dropout, quality_rules, sharding, site_quality,
-                            substring_dedup, token_counts, toxicity)
+from scorecraft.llm import (decontamination, jaccard_join, langid, merge_dropout, oracles, quality_rules, sharding,
+                            site_quality, substring_dedup, token_counts, toxicity)
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_benchmark_decontamination": oracles.OP5, "op6_jaccard_join": oracles.OP6}
