@@ -86,9 +86,9 @@ def parse_native_calls(spark, sf_dir):
 
 
 @register("parse_postprocessed", oracle=_B + """
-SELECT record_id, pred_type, CASE WHEN pred_type = 'tool' THEN 1 END AS n_tools,
+SELECT record_id, CASE WHEN pred_type = 'tool' THEN 'tool' ELSE 'nlp' END AS pred_type, CASE WHEN pred_type = 'tool' THEN 1 END AS n_tools,
        CASE WHEN pred_type = 'tool' THEN pred_tool END AS first_tool,
-       CASE WHEN pred_type = 'nlp' THEN 'a text answer' END AS pred_response,
+       CASE pred_type WHEN 'nlp' THEN 'a text answer' WHEN 'error' THEN '' END AS pred_response,
        CAST(NULL AS VARCHAR) AS raw_text
 FROM b""")
 def parse_postprocessed(spark, sf_dir):
