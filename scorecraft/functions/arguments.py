@@ -120,6 +120,43 @@ def values_match(g_tag: Column, g_str: Column, g_num: Column,
             .otherwise(F.lit(False)))
 
 
+FILTER_MEMBERS = ("categories", "payees")
+
+
+def simplified(node):
+    """A call value in the simplified schema's layout (see ``simplify_calls``)."""
+    if isinstance(node, list):
+        return [simplified(v) for v in node]
+    if not isinstance(node, dict):
+        return node
+    out: dict = {}
+    for name, value in node.items():
+        if isinstance(value, dict) and name == "filter":
+            out |= {f"filter_{m}": value[m] for m in FILTER_MEMBERS if m in value}
+        elif isinstance(value, dict) and name == "data_source":
+            out |= simplified(value)
+        elif isinstance(value, str) and name == "arguments":
+            inner = json.loads(value)
+            out[name] = json.dumps(simplified(inner)) if isinstance(inner, dict) else value
+        else:
+            out[name] = simplified(value)
+    return out
+
+
+@F.arrow_udf(T.StringType())
+def simplify_calls(texts: pa.Array) -> pa.Array:
+    """O-13 on the ``tool_calls`` text of messages: at every level, lists
+    included, ``data_source`` members move up and ``filter`` becomes
+    ``filter_categories`` / ``filter_payees``.  Unreadable text stays as it is."""
+    def rewritten(text):
+        try:
+            return clean_text(json.dumps(simplified(json.loads(text)), ensure_ascii=False, separators=(",", ":")))
+        except (ValueError, RecursionError):
+            return text
+
+    return pa.array([None if t is None else rewritten(t) for t in texts.to_pylist()], pa.string())
+
+
 def simplify_filter_keys(flat: DataFrame) -> DataFrame:
     """O-13 on flattened arguments (for the simplified tool schema):
     ``data_source`` members move up one level; ``filter.categories`` and

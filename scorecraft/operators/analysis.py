@@ -34,18 +34,40 @@ def long_scores(df: DataFrame, id_cols: list[str]) -> DataFrame:
     return long.withColumn("metric", F.regexp_replace("metric", "^score_", ""))
 
 
-def metric_summary(df: DataFrame, group_cols: list[str] | None = None, exact_median: bool = True) -> DataFrame:
-    """O-82: per score column: mean, sample std, min, max, median (NULLs
+SPLITTERS = [i / 256 for i in range(1, 256)]
+
+
+def exact_medians(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, median) of ``value``, NULLs skipped, without gathering a key's values:
+    equal values are counted first, the counts are dealt to ranges between
+    approximate percentiles (which only set the borders), and ranks are taken
+    inside the one or two ranges that hold the middle."""
+    counts = long.filter(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    borders = counts.groupBy(*keys).agg(F.percentile_approx("value", SPLITTERS, 2000).alias("cuts"), F.sum("c").alias("n"))
+    dealt = counts.join(borders, keys).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("value"))))
+    parts = dealt.groupBy(*keys, "part").agg(F.sum("c").alias("held"), F.first("n").alias("n"))
+    before = F.sum("held").over(Window.partitionBy(*keys).orderBy("part")) - F.col("held")
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    middle = (parts.withColumn("before", before).filter((F.col("before") < high) & (F.col("before") + F.col("held") >= low))
+              .select(*keys, "part", "before"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "part").orderBy("value"))
+    ranked = dealt.join(middle, [*keys, "part"]).withColumn("upto", upto)
+    hits = sum(F.when((F.col("upto") >= r) & (F.col("upto") - F.col("c") < r), 1).otherwise(0) for r in (low, high))
+    return (ranked.withColumn("hits", hits).filter("hits > 0").groupBy(*keys)
+            .agg((F.sum(F.col("value") * F.col("hits")) / 2).alias("median")))
+
+
+def metric_summary(df: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
+    """O-82: per score column: mean, sample std, min, max, exact median (NULLs
     skipped); ``num_samples`` counts every row of the group (``unpivot``
-    keeps NULL values, so each input row yields one row per metric).  The
-    exact median keeps one count per distinct value; ``exact_median=False``
-    uses ``percentile_approx`` instead."""
-    g = group_cols or []
-    med = F.median("value") if exact_median else F.percentile_approx("value", 0.5, 10000).cast("double")
-    return long_scores(df, g).groupBy(*g, "metric").agg(
+    keeps NULL values, so each input row yields one row per metric)."""
+    keys = [*(group_cols or []), "metric"]
+    long = long_scores(df, group_cols or [])
+    figures = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_samples"),
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"), med.alias("median"))
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    return figures.join(exact_medians(long, keys), keys, "left").select(*figures.columns, "median")
 
 
 def model_comparison(df: DataFrame, model_col: str = "model") -> DataFrame:

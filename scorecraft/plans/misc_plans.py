@@ -5,8 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorecraft.functions.arguments import flatten_arguments, simplify_filter_keys
-from scorecraft.functions.partitioning import shared
+from scorecraft.functions.arguments import flatten_arguments, simplify_calls, simplify_filter_keys
 from scorecraft.operators import domain as D
 from scorecraft.operators import parsing as P
 from scorecraft.operators import text_metrics as X
@@ -32,6 +31,21 @@ def flatten_filter_args(spark, sf_dir):
         "record_id", "key", "type_tag", "str_val", "num_val")
 
 
+@register("message_filter_rewrite", oracle="WITH a AS (" + fixture_sql("filter_args") + ")" + """
+, fl AS (""" + tool_plans._FLAT.format(keep="r.record_id", src="a") + """)
+, k1 AS (SELECT record_id, regexp_replace(key, '(^|\\.)data_source\\.', '\\1', 'g') AS key, type_tag, str_val, num_val FROM fl)
+, k2 AS (SELECT record_id, regexp_replace(key, '(^|\\.)filter\\.(categories|payees)($|\\.)', '\\1filter_\\2\\3', 'g') AS key,
+                type_tag, str_val, num_val FROM k1)
+SELECT record_id, key, type_tag, str_val, num_val FROM k2 WHERE NOT regexp_matches(key, '(^|\\.)filter\\.')""")
+def message_filter_rewrite(spark, sf_dir):
+    """O-13 on the messages' calls, before contexts and ground truth are made."""
+    a = fixture(spark, sf_dir, "filter_args")
+    calls = F.concat(F.lit('[{"name":"show_pie_chart","arguments":'), F.col("arguments"), F.lit("}]"))
+    m = a.select("record_id", simplify_calls(calls).alias("tool_calls"))
+    args = m.select("record_id", F.get_json_object("tool_calls", "$[0].arguments").alias("arguments"))
+    return flatten_arguments(args, ["record_id"]).select("record_id", "key", "type_tag", "str_val", "num_val")
+
+
 # ------------------------------------------------------------------ O-08
 @register("legacy_turns_normalise", oracle="WITH l AS (" + fixture_sql("legacy_pairs") + """)
 SELECT concat(cast(conv_id AS VARCHAR), ':', cast(user_turn AS VARCHAR)) AS conv_id, CAST(0 AS BIGINT) AS turn_idx, 'user' AS role,
@@ -125,13 +139,33 @@ def per_item_results(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ end to end
-@register("tool_eval_end_to_end")
+# The parsed form of each answer shape of F-G is known, so the scores follow from it.
+_E2E = "WITH fb AS (" + fixture_sql("tool_calls") + "), raw_answers AS (" + fixture_sql("raw_outputs") + """)
+, e AS (SELECT record_id, record_id % 9 AS r FROM raw_answers)
+, rows AS (SELECT record_id, 'gt' AS side, 0 AS ordinal, gt_tool AS name, gt_args AS arguments FROM fb
+           UNION ALL SELECT record_id, 'pred', 0, CASE WHEN r = 2 THEN 'show_line_chart' ELSE 'show_pie_chart' END,
+                            CASE WHEN r = 2 THEN '{"metric":"balance"}' ELSE '{"limit":5}' END FROM e WHERE r IN (0, 1, 2, 4, 6))
+, items AS (SELECT record_id, 'tool' AS gt_type, CASE WHEN r = 8 THEN 'error' WHEN r IN (3, 5, 7) THEN 'nlp' ELSE 'tool' END AS pred_type FROM e)
+, both_tool AS (SELECT record_id FROM items WHERE pred_type = 'tool')
+""" + f""", cat(name) AS (VALUES {tool_plans._VALUES_TOOLS})
+, params(tool, param) AS (VALUES {tool_plans._VALUES_PARAMS})
+""" + tool_plans._W2C + tool_plans._PICKUP + tool_plans._VARIABLE + tool_plans._EXACT
+
+
+@register("tool_eval_end_to_end", oracle=_E2E + """
+SELECT i.record_id, i.gt_type, i.pred_type, score_when2call,
+       CAST(CASE WHEN r IN (0, 2, 5, 6, 8) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score_schema_reliability_raw,
+       score_schema_reliability_processed,
+       score_tool_pick_up_rate, score_tool_hallucination_rate, score_tool_additional_rate,
+       score_variable_pickup_rate, score_variable_correct_rate, score_variable_hallucination_rate,
+       score_variable_additional_rate, score_exact_match
+FROM items i JOIN e USING (record_id) JOIN w2c USING (record_id) JOIN sr USING (record_id) LEFT JOIN pickup USING (record_id)
+LEFT JOIN variable USING (record_id) LEFT JOIN exact USING (record_id)""")
 def tool_eval_end_to_end(spark, sf_dir):
-    """Truth calls (F-B) against parsed free-text answers (F-G): parse once,
-    score all tool metrics, one wide row per record."""
+    """Truth calls (F-B) against parsed free-text answers (F-G): all tool
+    metrics, one wide row per record."""
     gt = tool_plans.calls(spark, sf_dir).filter(F.col("side") == "gt")
-    # Parse once; the items and the predicted calls both read the result.
-    parsed = shared(P.parse_outputs(parse_plans.text_responses(spark, sf_dir), "json"))
+    parsed = P.parse_outputs(parse_plans.text_responses(spark, sf_dir), "json")
     items = parsed.select("record_id", F.lit("tool").alias("gt_type"), "pred_type", "raw_text", "raw_ok")
     calls = gt.unionByName(P.calls_from_parsed(parsed))
     tools, params = fixture_catalog(spark)

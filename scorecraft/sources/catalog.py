@@ -6,7 +6,7 @@ required)``.  Accepts a bare list or ``{"tools": [...]}``; each entry may wrap
 its schema in ``function``; parameters come from ``parameters.properties`` or a
 top-level ``properties`` (both layouts exist in practice); ``required``
 defaults to every property; a ``$ref`` property is resolved against ``$defs``
-by its last path segment.  Both tables are bounded by the catalogue size, not
+by its last path segment, recursively.  Both tables are bounded by the catalogue size, not
 by the data, which is what makes broadcasting them safe.
 """
 
@@ -27,6 +27,39 @@ def _yaml_to_json(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else json.dumps(yaml.safe_load(t)))
 
 
+def resolved(node, defs: dict, inside: tuple = ()):
+    """A schema value with every ``$ref`` replaced by its definition (by the last
+    path segment), at any depth; unknown and circular references stay."""
+    if isinstance(node, list):
+        return [resolved(v, defs, inside) for v in node]
+    if not isinstance(node, dict):
+        return node
+    name = str(node.get("$ref", "")).rpartition("/")[2]
+    if name in defs and name not in inside:
+        return resolved(defs[name], defs, (*inside, name))
+    return {k: resolved(v, defs, inside) for k, v in node.items()}
+
+
+@F.pandas_udf(T.StringType())
+def _resolve_json(text: pd.Series) -> pd.Series:
+    """Catalogue text with the references of each tool resolved."""
+    import json
+
+    def one(t):
+        doc = json.loads(t)
+        tools = doc.get("tools", []) if isinstance(doc, dict) else doc
+        for tool in tools:
+            schema = tool.get("function", tool)
+            params = schema.get("parameters", {})
+            defs = {**(schema.get("$defs") or {}), **(params.get("$defs") or {})}
+            for holder in (schema, params):
+                if "properties" in holder:
+                    holder["properties"] = resolved(holder["properties"], defs)
+        return json.dumps(doc)
+
+    return text.map(lambda t: None if t is None else one(t))
+
+
 def catalog_documents(spark: SparkSession, path: str | None = None, text: str | None = None) -> DataFrame:
     """One row per catalogue document (``doc`` VARIANT).  A file is read whole
     (a catalogue is configuration-sized); inline text wins over a path; a
@@ -39,7 +72,7 @@ def catalog_documents(spark: SparkSession, path: str | None = None, text: str |
             df = df.select(_yaml_to_json("value").alias("value"))
     else:
         raise ValueError("a catalogue path or inline text is required")
-    return df.select(F.parse_json("value").alias("doc"))
+    return df.select(F.parse_json(_resolve_json("value")).alias("doc"))
 
 
 def _entries(docs: DataFrame) -> DataFrame:
@@ -63,16 +96,18 @@ def tool_params_dim(docs: DataFrame) -> DataFrame:
                        F.try_variant_get("fn", "$.properties", "map<string,variant>"))
     required = F.coalesce(F.try_variant_get("fn", "$.parameters.required", "array<string>"),
                           F.try_variant_get("fn", "$.required", "array<string>"))
-    defs = F.coalesce(F.try_variant_get("fn", "$.parameters.$defs", "map<string,variant>"),
-                      F.try_variant_get("fn", "$.$defs", "map<string,variant>"))
-    p = e.select(F.variant_get("fn", "$.name", "string").alias("tool"),
-                 F.explode(props).alias("param", "spec"), required.alias("req"), defs.alias("defs"))
-    ref = F.try_variant_get("spec", "$.$ref", "string")
-    resolved = F.coalesce(F.element_at(F.col("defs"), F.element_at(F.split(ref, "/"), -1)), F.col("spec"))
+    p = e.select(F.variant_get("fn", "$.name", "string").alias("tool"), F.explode(props).alias("param", "spec"),
+                 required.alias("req"))
+    # A property may give its type and values in the options of ``anyOf``.
+    options = F.concat(F.array(F.col("spec")), F.coalesce(F.try_variant_get("spec", "$.anyOf", "array<variant>"),
+                                                          F.array().cast("array<variant>")))
+
+    def first(path: str, kind: str):
+        found = F.transform(options, lambda o: F.try_variant_get(o, path, kind))
+        return F.get(F.filter(found, lambda v: v.isNotNull() & (v != F.lit("null")) if kind == "string" else v.isNotNull()), F.lit(0))
+
     return p.select(
-        "tool", "param",
-        F.try_variant_get(resolved, "$.type", "string").alias("type"),
-        F.try_variant_get(resolved, "$.enum", "array<string>").alias("enum"),
+        "tool", "param", first("$.type", "string").alias("type"), first("$.enum", "array<string>").alias("enum"),
         F.when(F.col("req").isNull(), F.lit(True))
          .otherwise(F.array_contains(F.col("req"), F.col("param"))).alias("required"),
     )
@@ -80,16 +115,18 @@ def tool_params_dim(docs: DataFrame) -> DataFrame:
 
 def vllm_tools(docs: DataFrame) -> DataFrame:
     """O-25: the catalogue as one JSON array of ``{type: function, function:
-    {name, description, parameters}}`` (one row; attach by broadcast)."""
+    {name, description, parameters: {type, properties, required}}}`` (one row);
+    ``required`` defaults to every property."""
     e = _entries(docs)
+    props = F.coalesce(F.try_variant_get("fn", "$.parameters.properties", "variant"), F.try_variant_get("fn", "$.properties", "variant"))
+    names = F.map_keys(F.try_variant_get(props, "$", "map<string,variant>"))
+    required = F.coalesce(F.try_variant_get("fn", "$.parameters.required", "array<string>"),
+                          F.try_variant_get("fn", "$.required", "array<string>"), names)
     item = F.struct(
         F.lit("function").alias("type"),
         F.struct(F.variant_get("fn", "$.name", "string").alias("name"),
                  F.coalesce(F.try_variant_get("fn", "$.description", "string"), F.lit(DEFAULT_DESCRIPTION)).alias("description"),
-                 F.coalesce(F.try_variant_get("fn", "$.parameters", "variant"),
-                            F.parse_json(F.to_json(F.struct(
-                                F.lit("object").alias("type"),
-                                F.try_variant_get("fn", "$.properties", "variant").alias("properties"))))).alias("parameters"),
+                 F.struct(F.lit("object").alias("type"), props.alias("properties"), required.alias("required")).alias("parameters"),
                  ).alias("function"))
     return e.agg(F.to_json(F.collect_list(item)).alias("tools_json"))
 

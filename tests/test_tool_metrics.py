@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from scorecraft.functions.arguments import flatten_arguments, simplify_filter_keys
+from scorecraft.functions.arguments import flatten_arguments, simplify_calls, simplify_filter_keys
 from scorecraft.operators import tool_metrics as T
-from scorecraft.sources.catalog import catalog_documents, tool_params_dim, tools_dim
+from scorecraft.sources.catalog import catalog_documents, tool_params_dim, tools_dim, vllm_tools
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -36,6 +36,31 @@ def test_catalog_layouts(spark):
     assert ("line", "metric", True) in p and ("pie", "data_source", True) in p and len(p) == 5
 
 
+def test_references_and_request_tools(spark):
+    doc = {"name": "t", "$defs": {"A": {"anyOf": [{"$ref": "#/$defs/B"}, {"type": "null"}]}, "B": {"type": "string", "enum": ["x", "y"]},
+                                  "C": {"type": "object", "properties": {"again": {"$ref": "#/$defs/C"}}}},
+           "parameters": {"properties": {"p": {"$ref": "#/$defs/A"}, "q": {"type": "array", "items": {"$ref": "#/$defs/B"}},
+                                         "r": {"$ref": "#/$defs/C"}, "s": {"$ref": "#/$defs/none"}}}}
+    docs = catalog_documents(spark, text=json.dumps([doc]))
+    got = {r.param: (r.type, r.enum, r.required) for r in tool_params_dim(docs).collect()}
+    assert got["p"] == ("string", ["x", "y"], True) and got["r"][0] == "object" and got["s"] == (None, None, True)
+    tool = json.loads(vllm_tools(docs).collect()[0].tools_json)[0]["function"]
+    assert tool["description"] == "" and set(tool["parameters"]["required"]) == {"p", "q", "r", "s"}
+    assert tool["parameters"]["type"] == "object"
+    assert tool["parameters"]["properties"]["q"]["items"] == {"type": "string", "enum": ["x", "y"]}
+
+
+def test_calls_in_the_simplified_layout(spark):
+    calls = [{"name": "t", "arguments": {"data_source": {"filter": {"payees": ["p"], "x": 1}, "source": "s"}, "l": [{"filter": {"categories": [1]}}]}},
+             {"name": "u", "arguments": '{"filter": {"categories": ["c"]}}'}]
+    df = spark.createDataFrame([(json.dumps(calls),), ("{bad",), (None,)], "tool_calls string")
+    got = [r[0] for r in df.select(simplify_calls("tool_calls")).collect()]
+    first = json.loads(got[0])
+    assert first[0]["arguments"] == {"filter_payees": ["p"], "source": "s", "l": [{"filter_categories": [1]}]}
+    assert json.loads(first[1]["arguments"]) == {"filter_categories": ["c"]}
+    assert got[1:] == ["{bad", None]
+
+
 def test_flatten_semantics(spark):
     c = spark.createDataFrame([(1, '{"a": {"b": 1, "title": "x", "c": {}}, "l": ["X", 1], "s": "S", "n": null, '
                                    '"t": true, "title": "y"}')], "record_id long, arguments string")
