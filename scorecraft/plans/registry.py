@@ -37,6 +37,7 @@ def _load_all() -> None:
         text_plans,
         tool_plans,
         records_plans,
+        results_plans,
     )
 
 
