@@ -9,8 +9,8 @@ cluster operator for the data) is kept as is by AQE.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def shuffle_partitions(df: DataFrame) -> int:
@@ -22,8 +22,8 @@ def by_key(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(shuffle_partitions(df), *cols)
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Mark an intermediate read by several branches of one plan: computed
-    once, kept in memory with spill to disk; lost blocks are recomputed from
-    lineage, so executor loss only costs time."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def bounded_broadcast(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A broadcast hint for a dimension that has at most ``most_rows`` rows, which is
+    counted first (no further than the bound); a larger one is joined as Spark
+    sees fit."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorecraft.functions.partitioning import bounded_broadcast
+
 # Fixed metric lists and directions (values that must match the reference's
 # analysis output).
 TOOL_POSITIVE_METRICS = ["when2call", "schema_reliability_raw", "schema_reliability_processed",
@@ -119,7 +121,7 @@ def metric_dim(spark, positive: list[str], negative: list[str]) -> DataFrame:
 def metric_direction_report(means: DataFrame, dim: DataFrame) -> DataFrame:
     """O-87/O-89: per model the metrics in their fixed order with direction
     (a metric-sized dimension, broadcast)."""
-    return means.join(F.broadcast(dim), "metric").select("model", "metric", "direction", "ord", "mean")
+    return means.join(bounded_broadcast(dim), "metric").select("model", "metric", "direction", "ord", "mean")
 
 
 def negative_axis_max(means: DataFrame, negative: list[str]) -> DataFrame:

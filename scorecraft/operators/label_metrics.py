@@ -27,12 +27,17 @@ def guardrail_contexts(rows: DataFrame, system_prompt: str, prompt_col: str = "p
     return rows.withColumn("context", ctx)
 
 
-def split_valid(df: DataFrame, output_col: str = "output", valid_labels=VALID_LABELS):
-    """O-53: (valid rows, discarded rows); valid iff the normalised output is a
-    known label.  ``predicted_label`` holds the normalised output."""
+def tag_valid(df: DataFrame, output_col: str = "output", valid_labels=VALID_LABELS) -> DataFrame:
+    """Rows with ``predicted_label`` (the normalised output) and ``is_valid`` (it is
+    a known label), in one scan."""
     labels = [v.lower() for v in valid_labels]
-    tagged = (df.withColumn("predicted_label", norm_label(F.col(output_col)))
-              .withColumn("is_valid", F.coalesce(F.col("predicted_label").isin(labels), F.lit(False))))
+    return (df.withColumn("predicted_label", norm_label(F.col(output_col)))
+            .withColumn("is_valid", F.coalesce(F.col("predicted_label").isin(labels), F.lit(False))))
+
+
+def split_valid(df: DataFrame, output_col: str = "output", valid_labels=VALID_LABELS):
+    """O-53: (valid rows, discarded rows) of ``tag_valid``."""
+    tagged = tag_valid(df, output_col, valid_labels)
     return tagged.filter("is_valid"), tagged.filter(~F.col("is_valid"))
 
 

@@ -13,7 +13,7 @@ windows and the aggregations on (record_id, ...) then reuse that
 partitioning.  ``tool_scores_wide`` flattens the arguments once and shares the
 leaf table between the variable and exact-match metrics.  A record holds the
 calls of one model answer (bounded by the answer length), so no key is hot;
-the two catalogue tables are the only broadcasts.
+the two catalogue tables are the only broadcasts, their size checked.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import IGNORED_PARAMS, flatten_arguments, values_match
-from scorecraft.functions.partitioning import by_key
+from scorecraft.functions.partitioning import bounded_broadcast, by_key
 from scorecraft.functions.text import py_strip
 
 CALL_KEEP = ["record_id", "side", "ordinal", "name", "rank", "is_last"]
@@ -81,7 +81,7 @@ def tool_pickup(items: DataFrame, calls: DataFrame, tools: DataFrame) -> DataFra
              .groupBy("record_id", "name")
              .agg(F.count_if(F.col("side") == "gt").alias("n_g"),
                   F.count_if(F.col("side") == "pred").alias("n_p")))
-    cat = F.broadcast(tools.select("name", F.lit(True).alias("in_a")).distinct())
+    cat = bounded_broadcast(tools.select("name", F.lit(True).alias("in_a")).distinct())
     names = names.join(cat, "name", "left")
     in_g, in_p, in_a = F.col("n_g") > 0, F.col("n_p") > 0, F.col("in_a").isNotNull()
     per = names.groupBy("record_id").agg(
@@ -118,7 +118,7 @@ def variable_metrics(items: DataFrame, calls: DataFrame, params: DataFrame,
     g_names = last.filter(F.col("side") == "gt").select("record_id", "name")
     p_names = last.filter(F.col("side") == "pred").select("record_id", "name")
     both = g_names.join(p_names, ["record_id", "name"])
-    valid = F.broadcast(params.filter(~F.col("param").isin(*IGNORED_PARAMS))
+    valid = bounded_broadcast(params.filter(~F.col("param").isin(*IGNORED_PARAMS))
                         .select(F.col("tool").alias("name"), F.col("param").alias("base_key"),
                                 F.lit(True).alias("valid")).distinct())
     pk = (p.join(both, ["record_id", "name"], "left_semi")
@@ -251,8 +251,8 @@ def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, pa
     A record holds one model answer, so the gathered group is bounded by the
     answer size.  Exchanges: the calls and the items, once each."""
     prepared = prepare_calls(calls)
-    cat = F.broadcast(tools.select("name", F.lit(True).alias("in_cat")).distinct())
-    valid = F.broadcast(params.filter(~F.col("param").isin(*IGNORED_PARAMS))
+    cat = bounded_broadcast(tools.select("name", F.lit(True).alias("in_cat")).distinct())
+    valid = bounded_broadcast(params.filter(~F.col("param").isin(*IGNORED_PARAMS))
                         .select(F.col("tool").alias("name"), F.col("param").alias("base_key"),
                                 F.lit(True).alias("valid")).distinct())
     rows = flatten_arguments(prepared.join(cat, "name", "left"), CALL_KEEP + ["in_cat"], call_rows=True)

@@ -59,8 +59,7 @@ def guardrail_load_project(spark, sf_dir):
 
 @register("guardrail_valid_split", oracle=_BASE + "SELECT sample_id, predicted_label, is_valid FROM t")
 def guardrail_valid_split(spark, sf_dir):
-    v, d = L.split_valid(rows(spark, sf_dir))
-    return v.unionByName(d).select("sample_id", "predicted_label", "is_valid")
+    return L.tag_valid(rows(spark, sf_dir)).select("sample_id", "predicted_label", "is_valid")
 
 
 @register("guardrail_item_correct", oracle=_BASE + """
@@ -72,8 +71,7 @@ def guardrail_item_correct(spark, sf_dir):
 @register("guardrail_metrics", oracle=_BASE + _metrics_sql("").replace(
     "SELECT n AS num_samples", "SELECT n AS num_samples, (SELECT count(*) FROM t WHERE NOT is_valid) AS n_discarded"))
 def guardrail_metrics(spark, sf_dir):
-    v, d = L.split_valid(rows(spark, sf_dir))
-    tagged = v.unionByName(d).withColumnRenamed("prompt_label", "ground_truth_label")
+    tagged = L.tag_valid(rows(spark, sf_dir)).withColumnRenamed("prompt_label", "ground_truth_label")
     return L.classification_metrics(tagged, valid_col="is_valid").select(
         "num_samples", "n_discarded", "accuracy", "precision", "recall", "f1",
         "true_positives", "false_positives", "true_negatives", "false_negatives")

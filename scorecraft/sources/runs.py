@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorecraft.functions.partitioning import bounded_broadcast
+
 BENCHMARKS = ("tool_calling", "guardrailing", "content")
 RESULTS_FILE = "per_item_results.parquet"
 
@@ -71,5 +73,6 @@ def latest_run_per_model(df: DataFrame, include_timestamp: bool = False) -> Data
     With ``include_timestamp`` every run stays, keyed ``<run_ts>_<model>``."""
     if include_timestamp:
         return df.withColumn("model", F.concat_ws("_", "run_ts", "model"))
+    # Over ``scan_runs`` both columns come from the paths, so this reads no score column.
     latest = df.groupBy("model").agg(F.max("run_ts").alias("run_ts"))
-    return df.join(latest, ["model", "run_ts"], "left_semi")
+    return df.join(bounded_broadcast(latest), ["model", "run_ts"], "left_semi")
