@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lower_ascii, mix, per_row, runs, salts, windows
 from scorecraft.llm.components import components
-from scorecraft.llm.storage import cut, hold
+from scorecraft.llm.storage import cut, hold, let_go
 from scorecraft.llm.stored import NO_ID, stored_texts, unpacked
 
 WORDS = 3
@@ -382,7 +382,7 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
         sets = hold(_sets(stored, words, near, seed))
         if sets.filter("short").isEmpty():                   # else the parts of another seed
             break
-        sets.unpersist()
+        let_go(sets)
         seed += 1
     classes = hold(sets.filter("n > 0").groupBy("key1", "key2", "n").agg(F.min("k").alias("rep")))
     parts = sets.select(F.col("key1").alias("a"), F.explode("sigs").alias("sig"))
@@ -392,7 +392,7 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
     inside = (classes.join(regions.withColumnRenamed("node", "key1"), "key1")
               .groupBy(F.col("rep").alias("k")).agg(F.min("component").cast("string").alias("region"), F.max("n").alias("n")))
     members = hold(stored.join(inside, "k").select("region", "k", "n", "z"))
-    links = components(_region_links(members, words, near, most_docs, most_shingles))
+    links = cut(components(_region_links(members, words, near, most_docs, most_shingles)))
     of_rep = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
     out = sets.select("k", "n", "key1", "key2").join(
         of_rep.select("key1", "key2", "n", F.coalesce("component", "rep").alias("c")), ["key1", "key2", "n"], "left")

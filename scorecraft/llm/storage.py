@@ -1,40 +1,56 @@
-"""Cutting lineage through the cluster's shared checkpoint folder."""
+"""Intermediate results: kept for several readers, or written to the cluster's
+shared checkpoint folder so that what follows has a short plan and lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ready(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; only where it is unset
+def ready(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; only where that is unset
     (tests on one machine) a scratch folder is made."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-checkpoint-")
-    sc.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, so that a lost executor costs a
-    re-read instead of the whole history."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written as a table in the shared folder and read back: a lost executor
+    costs a re-read instead of the whole history."""
+    path = f"{ready(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((df.sparkSession, path))
+    return df.sparkSession.read.parquet(path)
 
 
 _held: list[DataFrame] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def hold(df: DataFrame) -> DataFrame:
     """``df`` kept for several readers, in memory with spill to disk; lost parts are
-    computed again.  ``release`` gives back all that is held."""
+    computed again."""
     _held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
     return _held[-1]
 
 
+def let_go(*frames: DataFrame) -> None:
+    """Give back frames of ``hold`` that nothing reads any more."""
+    for df in frames:
+        _held[:] = [h for h in _held if h is not df]
+        df.unpersist()
+
+
 def release() -> None:
-    while _held:
-        _held.pop().unpersist()
+    """Give back all that is held and the tables of ``cut``; results that were not
+    written before need them."""
+    let_go(*list(_held))
+    while _written:
+        spark, path = _written.pop()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

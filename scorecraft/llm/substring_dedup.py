@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import BASE, U64, Powers, covered, mix
-from scorecraft.llm.storage import hold
+from scorecraft.llm.storage import cut, hold, let_go
 from scorecraft.llm.stored import NO_ID, stored_texts, unpacked
 
 LENGTH = 400
@@ -136,18 +136,23 @@ def _narrower(stored: DataFrame, open_rows: DataFrame, step: int) -> DataFrame:
 
 
 def _resolve(rows: DataFrame, last: bool):
-    """(settled rows, rows to split further) of one level."""
+    """(settled rows, rows to split further) of one level, both written down so that
+    the next level starts from a table."""
     rows = hold(rows)
     shared = rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
     several = rows.join(shared, "core")
     if last:
-        return several.select("k", "at"), None
+        settled = cut(several.select("k", "at"))
+        let_go(rows)
+        return settled, None
     several = hold(several)
     classes = hold(several.groupBy("core", "full")
                    .agg(F.count("*").alias("n"), F.min(F.struct("k", "at")).alias("one")))
-    settled = several.join(classes.filter("n > 1").select("core", "full"), ["core", "full"]).select("k", "at")
+    settled = cut(several.join(classes.filter("n > 1").select("core", "full"), ["core", "full"]).select("k", "at"))
     mixed = classes.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core")
-    return settled, classes.join(mixed, "core").select("one.k", "one.at")
+    open_rows = cut(classes.join(mixed, "core").select("one.k", "one.at"))
+    let_go(rows, several, classes)
+    return settled, open_rows
 
 
 def repeats(docs: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
