@@ -40,6 +40,15 @@ def test_normalise_outputs(spark):
     assert batch[3] == "unsafe" and batch[2] == ' {"content": "hi"}'
 
 
+def test_online_bodies(spark):
+    ctx = spark.createDataFrame([("r", [("user", "q")])], "record_id string, context array<struct<role:string,content:string>>")
+    schema, tools = json.dumps({"type": "object"}), json.dumps([{"type": "function"}])
+    with_schema = json.loads(X.online_bodies(ctx, "m", answer_schema=schema, tools_json=tools, backend="b").collect()[0].body)
+    assert with_schema["structured_outputs"] == {"json": {"type": "object"}, "backend": "b"} and "tools" not in with_schema
+    with_tools = json.loads(X.online_bodies(ctx, "m", stop=["x"], tools_json=tools).collect()[0].body)
+    assert with_tools["tool_choice"] == "auto" and with_tools["stop"] == ["x"] and "structured_outputs" not in with_tools
+
+
 def test_structured_requests(spark):
     ctx = spark.createDataFrame([("r1", [("user", "q")])], "record_id string, context array<struct<role:string,content:string>>")
     line = json.loads(X.structured_requests(ctx, "m", ["safe", "unsafe"]).collect()[0].request)
