@@ -33,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
     state = None
     while True:
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now)), instead_of=now)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
             break

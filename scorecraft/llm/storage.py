@@ -19,17 +19,27 @@ def ready(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+_held: list[DataFrame] = []
+_written: list[tuple[DataFrame, str]] = []
+
+
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: a lost executor
-    costs a re-read instead of the whole history."""
+    costs a re-read instead of the whole history.  The table ``instead_of``, from
+    an earlier ``cut``, is deleted then."""
     path = f"{ready(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
-    return df.sparkSession.read.parquet(path)
+    if instead_of is not None:
+        _delete(instead_of)
+    _written.append((df.sparkSession.read.parquet(path), path))
+    return _written[-1][0]
 
 
-_held: list[DataFrame] = []
-_written: list[tuple[SparkSession, str]] = []
+def _delete(table: DataFrame) -> None:
+    for frame, path in [w for w in _written if w[0] is table]:
+        _written[:] = [w for w in _written if w[0] is not frame]
+        place = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def hold(df: DataFrame) -> DataFrame:
@@ -50,7 +60,5 @@ def release() -> None:
     """Give back all that is held and the tables of ``cut``; results that were not
     written before need them."""
     let_go(*list(_held))
-    while _written:
-        spark, path = _written.pop()
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for table, _ in list(_written):
+        _delete(table)
