@@ -41,6 +41,7 @@ from scorecraft.llm.storage import cut, hold, let_go
 from scorecraft.llm.stored import NO_ID, stored_texts, unpacked
 
 WORDS = 3
+SMALL = 40                    # shingles up to which a set is indexed by single shingles
 NEAR = 90                     # linked: 100 * intersection >= NEAR * union
 REGION_DOCS, REGION_SHINGLES = 16_384, 6_000_000
 CELL = 512                    # documents of a cell that are compared directly
@@ -75,8 +76,9 @@ def shingle_sets(data, off, powers: Powers, words: int = WORDS):
 
 
 def size_classes(near: int, most: int = 1 << 40) -> np.ndarray:
-    """First sizes of the size classes, growing by half; sets too small to differ have none."""
-    first = [-(-near // (100 - near))]
+    """First sizes of the size classes: the small sets up to ``SMALL``, then classes that
+    grow by half; sets too small to differ have none."""
+    first = [-(-near // (100 - near)), SMALL + 1]
     while first[-1] < most:
         first.append(first[-1] * 3 // 2 + 1)
     return np.array(first, np.int64)
@@ -97,8 +99,17 @@ def signatures(h, off, near: int, seed: int):
             docs = np.flatnonzero(own == c) if at == c else np.flatnonzero((own == c) & (size * near <= top * 100))
             if len(docs) == 0:
                 continue
-            parts = (top * (100 - near) // near) * 13 // 10 + 5
+            parts = (top * (100 - near) // near) * 13 // 10 + 8
             i = np.repeat(np.arange(len(docs)), size[docs])
+            if at == 0:
+                # Small sets: of the shingles in hash order, linked sets share one among the first
+                # size - ceil(size * near / 100) + 1 of each.
+                first = size[docs] - -(-size[docs] * near // 100) + 1
+                nth = np.arange(len(i)) - np.repeat(np.cumsum(size[docs]) - size[docs], size[docs])
+                keep = nth < first[i]
+                sig_out.append(mix(h[(off[docs][i] + nth)[keep]] ^ salts(1, 53)[0]))
+                doc_out.append(docs[i[keep]])
+                continue
             x = h[np.repeat(off[docs] - (np.cumsum(size[docs]) - size[docs]), size[docs]) + np.arange(len(i))]
             salt = U64((seed * 1009 + at) * int(BASE) % (1 << 64))
             part = ((mix(x ^ salt) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
