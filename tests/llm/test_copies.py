@@ -60,21 +60,23 @@ def test_region_cells_by_brute_force():
     assert (roots == comp).all()
 
 
-def test_pigeonhole_meets_every_linked_pair():
-    """Linked sets share a signature, whatever the sizes and seed."""
+@pytest.mark.parametrize("near", [80, 90])
+def test_linked_sets_share_a_signature(near):
+    """Whatever the sizes and the seed, small sets included."""
     rng = np.random.default_rng(9)
-    for trial in range(60):
-        n = int(rng.integers(9, 400))
-        a = np.unique(rng.integers(0, 1 << 60, n)).astype(np.uint64)
-        drop = int(len(a) * 0.1 * rng.random())
-        b = a[drop:] if trial % 2 else np.unique(np.r_[a, rng.integers(0, 1 << 60, drop).astype(np.uint64)])
+    pairs = 0
+    for trial in range(800):
+        a = np.unique(rng.integers(0, 1 << 60, int(rng.integers(4, 150)))).astype(np.uint64)
+        kept = a[rng.random(len(a)) > 0.2 * rng.random()]
+        new = rng.integers(0, 1 << 60, int(rng.integers(0, len(a) // 5 + 1)) if trial % 2 else 0).astype(np.uint64)
+        b = np.unique(np.r_[kept, new])
         both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if 100 * both < 90 * union:
+        if 100 * both < near * union or both == union:
             continue
-        sig, off, short = J.signatures(np.r_[a, b], np.r_[0, len(a), len(a) + len(b)], 90, trial)
-        assert not short
-        if len(a) != len(b) or (a != b).any():
-            assert len(np.intersect1d(sig[: off[1]], sig[off[1]:])) >= 1
+        pairs += 1
+        sig, off, short = J.signatures(np.r_[a, b], np.r_[0, len(a), len(a) + len(b)], near, trial % 5)
+        assert not short and len(np.intersect1d(sig[: off[1]], sig[off[1]:])) >= 1
+    assert pairs > 100
 
 
 def test_null_ids_repeats_and_clashing_columns(spark):
