@@ -191,12 +191,26 @@ def intersections(a: list, b: list):
     return out
 
 
-def distances(a: list, b: list):
+def distances(a: list, b: list, size_a=None, size_b=None):
+    """(distances, intersection sizes, union sizes); the sizes of the sets are given
+    where the arrays hold only what sets share."""
+    size_a, size_b = (np.array([len(s) for s in x]) if n is None else n for x, n in ((a, size_a), (b, size_b)))
     both = intersections(a, b).astype(float)
-    union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - both
+    union = size_a[:, None] + size_b[None, :] - both
     return 1 - both / np.maximum(union, 1), both, union
 
 
+def shared_parts(sets: list) -> list:
+    """The sets without the elements that one set alone holds."""
+    if not sets:
+        return []
+    size = np.array([len(s) for s in sets])
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = count[which] > 1
+    owner = np.repeat(np.arange(len(sets)), size)[keep]
+    return np.split(which[keep].astype(np.int64), np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
+
+
 class Union:
     """Disjoint sets over 0..n-1; the smallest member is the root."""
 
@@ -222,12 +236,12 @@ class Union:
             up = nxt
 
 
-def _link(sets, union: Union, a, b, near: int) -> None:
+def _link(sets, size, union: Union, a, b, near: int) -> None:
     """Join all linked pairs between index arrays ``a`` and ``b``."""
     roots = union.roots()
     if len(np.unique(roots[np.r_[a, b]])) == 1:
         return                                               # nothing left to learn
-    _, both, total = distances([sets[i] for i in a], [sets[i] for i in b])
+    _, both, total = distances([sets[i] for i in a], [sets[i] for i in b], size[a], size[b])
     i, j = np.nonzero(100 * both >= near * total)
     ra, rb = roots[a[i]], roots[b[j]]
     pairs = np.unique(np.c_[np.minimum(ra, rb), np.maximum(ra, rb)], axis=0)
@@ -237,35 +251,37 @@ def _link(sets, union: Union, a, b, near: int) -> None:
 
 def join_region(sets: list, near: int = NEAR, cell: int = CELL):
     """Root of every set's component within one region of bounded size."""
-    n = len(sets)
+    n, size = len(sets), np.array([len(s) for s in sets])
     union = Union(n)
+    sets = shared_parts(sets)                                # unrelated documents shrink to next to nothing
     if n <= cell:
-        _link(sets, union, np.arange(n), np.arange(n), near)
+        _link(sets, size, union, np.arange(n), np.arange(n), near)
         return union.roots()
     r = 1 - near / 100 + 1e-9
     # Pivots far from each other first, so that cells are tight.
     count = min(64, -(-n // (cell // 2)))
     pivots, far = [0], None
     for _ in range(count):
-        d = distances(sets, [sets[pivots[-1]]])[0][:, 0]
+        d = distances(sets, [sets[pivots[-1]]], size, size[pivots[-1:]])[0][:, 0]
         far = d if far is None else np.minimum(far, d)
         if far.max() == 0 or len(pivots) == count:
             break
         pivots.append(int(far.argmax()))
-    to = np.concatenate([distances(sets[i: i + 1024], [sets[p] for p in pivots])[0] for i in range(0, n, 1024)])
+    to = np.concatenate([distances(sets[i: i + 1024], [sets[p] for p in pivots], size[i: i + 1024], size[pivots])[0]
+                         for i in range(0, n, 1024)])
     home = to.argmin(axis=1)
     cells = [c[i: i + cell] for p in range(len(pivots)) for c in [np.flatnonzero(home == p)] for i in range(0, len(c), cell)]
     cells = [c for c in cells if len(c)]
     centre = [int(home[c[0]]) for c in cells]
     radius = [float(to[c, p].max()) for c, p in zip(cells, centre)]
     for x in range(len(cells)):
-        _link(sets, union, cells[x], cells[x], near)
+        _link(sets, size, union, cells[x], cells[x], near)
     for x in range(len(cells)):
         for y in range(x + 1, len(cells)):
             a = cells[x][to[cells[x], centre[y]] <= radius[y] + r]
             b = cells[y][to[cells[y], centre[x]] <= radius[x] + r]
             if len(a) and len(b):
-                _link(sets, union, a, b, near)
+                _link(sets, size, union, a, b, near)
     return union.roots()
 
 
