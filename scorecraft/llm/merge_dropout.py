@@ -4,14 +4,20 @@ The vocabulary is that of a public byte-fallback BPE model (its pieces and their
 scores); nothing is trained.  A text is written with U+2581 for spaces and cut
 into units at places that no piece can cross.  Per unit the candidate merges
 wait in an agenda (best score first, then leftmost).  A candidate that is taken
-out is skipped when a keyed hash of (seed, variant, unit, place, piece) falls
-below the dropout rate, otherwise the two symbols merge and new neighbours
-join the agenda.  The variant of a document is a keyed hash of its id, so
-documents are segmented differently from each other but every run repeats
-itself exactly; rate 0 gives the model's own segmentation.  A slice's distinct
-units are worked on together, one step of every agenda at a time (``_agendas``);
-long units and those with byte pieces use a heap (``unit``).  Both take the same
-steps.  Characters outside
+out is skipped when a keyed hash of (seed, doc_id, unit, place of the unit in the
+document, place, piece) falls below the dropout rate, otherwise the two symbols
+merge and new neighbours join the agenda.  So every occurrence of a unit has
+coins of its own, but every run repeats itself exactly; rate 0 gives the model's
+own segmentation.
+
+An agenda only depends on the coins of the candidates it meets.  A slice's
+distinct units are first worked on without coins; an occurrence that skips none
+of the candidates met there has that segmentation.  The others are grouped by
+unit and skipped candidates, one of each group runs its agenda with its own
+coins, and those that agree with it on every candidate met share the result;
+what is left is grouped anew.  Agendas of a round advance together, one
+step at a time (``_agendas``); long units and those with byte pieces use a heap
+(``unit``).  Both take the same steps.  Characters outside
 the vocabulary, and literal U+2581, become byte pieces, so decoding restores
 every text.
 
@@ -27,14 +33,13 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from scorecraft.llm.batches import U64, Powers, byte_class, mix, slices
+from scorecraft.llm.batches import BASE, U64, Powers, byte_class, mix, per_row, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 17
-VARIANTS = 8                  # keyed segmentations of one unit over all documents
 SLICE = 4 << 20
-CHUNK = 1 << 15               # units whose agendas advance together
+CHUNK = 1 << 15               # units whose agendas advance together, or whose coins are thrown together
 LONG = 48                     # characters beyond which a unit uses the heap
 SPACE = "\u2581"
 NEVER = np.int32(1 << 30)     # rank of a pair that does not merge
@@ -70,6 +75,15 @@ def vocabulary(model: str = MODEL) -> dict:
             "keys": np.array([m[0] for m in merges], np.int64), "merged": np.array([m[1] for m in merges], np.int32)}
 
 
+def by_unit(parts, n: int, kind):
+    """Values given as (unit of each, values), in the order of units: (flat values,
+    start of each unit, size of each unit)."""
+    unit = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    flat = np.concatenate([p[1] for p in parts]).astype(kind) if parts else np.zeros(0, kind)
+    count = per_row(unit, n)
+    return flat[np.argsort(unit, kind="stable")], np.cumsum(count) - count, count
+
+
 class Coder:
     """Encoder and decoder for one task."""
 
@@ -89,22 +103,27 @@ class Coder:
             if len(n) == 1:
                 self.symbol_of[ord(" " if n == SPACE else n)] = i
 
-    def variants(self, doc_ids) -> np.ndarray:
-        """Variant of each document, from a keyed hash of its id."""
+    def documents(self, doc_ids) -> np.ndarray:
+        """Keyed hash of each document's id."""
         h = np.array([hash(i) if i is not None else -1 for i in doc_ids], np.int64).view(U64)
-        return (mix(mix(h + U64(self.seed)) ^ U64(self.seed)) % U64(VARIANTS)).astype(np.int64)
+        return mix(mix(h + U64(self.seed)) ^ U64(self.seed))
+
+    def keys_of(self, unit_hash, document, place):
+        """Keys that decide all merges of a unit at a byte place of a document."""
+        return mix(unit_hash ^ mix(document + np.asarray(place).astype(U64) * BASE))
 
-    def keys_of(self, unit_hash, variant):
-        """Keys that decide all merges of a unit in a variant."""
-        return mix(unit_hash ^ mix((variant + 1 + self.seed * VARIANTS).astype(U64)))
+    @staticmethod
+    def candidate(at, piece):
+        """Name of a candidate within its unit, not 0: place of the first character, piece."""
+        return mix(((np.asarray(at).astype(U64) + U64(1)) << U64(32)) | np.asarray(piece).astype(U64))
 
-    def dropped(self, key, at, piece):
-        """Keyed coin of candidates: unit key, place of the first character, piece."""
-        h = mix(key ^ mix((np.asarray(at).astype(U64) << U64(32)) | np.asarray(piece).astype(U64)))
-        return (h >> U64(32)) < self.limit
+    def dropped(self, key, candidate):
+        """Keyed coin of candidates."""
+        return (mix(key ^ candidate) >> U64(32)) < self.limit
 
-    def unit(self, text: str, key) -> list[int]:
-        """Piece ids of one unit, by an agenda kept as a heap."""
+    def unit(self, text: str, key, met: list | None = None) -> list[int]:
+        """Piece ids of one unit, by an agenda kept as a heap; without coins if ``key``
+        is None.  The candidates met are added to ``met``."""
         chars = [SPACE if c == " " else "" if c == SPACE else c for c in text]
         symbols = [self.index.get(c, -1) for c in chars]
         n, agenda, width = len(symbols), [], len(self.names)
@@ -117,7 +136,12 @@ class Coder:
             wanted = np.array([symbols[i] * width + symbols[after[i]] for i in pairs], np.int64)
             at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
             piece = self.merged[at]
-            ok = (self.keys[at] == wanted) & ~self.dropped(np.full(len(pairs), key, U64), np.array(pairs), piece)
+            ok = self.keys[at] == wanted
+            names = self.candidate(np.array(pairs), piece)
+            if met is not None:
+                met.append(names[ok])
+            if key is not None:
+                ok &= ~self.dropped(np.full(len(pairs), key, U64), names)
             for i, p, good in zip(pairs, piece.tolist(), ok.tolist()):
                 if good:
                     heapq.heappush(agenda, (int(self.rank[p]), i, after[i], p, symbols[i], symbols[after[i]]))
@@ -141,32 +165,37 @@ class Coder:
             i = after[i]
         return out
 
-    def _pairs(self, key, left, right, at):
-        """(rank, piece) of candidate pairs; ``NEVER`` where nothing merges or the coin says skip."""
+    def _pairs(self, key, left, right, at, rows, met):
+        """(rank, piece) of candidate pairs; ``NEVER`` where nothing merges or the coin says
+        skip.  (rows, candidates) are added to ``met``."""
         wanted = left.astype(np.int64) * len(self.names) + right
         hit = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
         piece = self.merged[hit]
         ok = (left >= 0) & (right >= 0) & (self.keys[hit] == wanted)
         rank = np.full(wanted.shape, NEVER, np.int32)
-        at, key = np.broadcast_to(at, wanted.shape)[ok], np.broadcast_to(key, wanted.shape)[ok]
-        rank[ok] = np.where(self.dropped(key, at, piece[ok]), NEVER, self.rank[piece[ok]])
+        names = self.candidate(at[ok], piece[ok])
+        rows = np.broadcast_to(rows, wanted.shape)[ok]
+        met.append((rows, names))
+        rank[ok] = self.rank[piece[ok]]
+        if key is not None:
+            rank[ok] = np.where(self.dropped(key[rows], names), NEVER, rank[ok])
         return rank, piece
 
-    def _agendas(self, symbols, key):
+    def _agendas(self, symbols, key, met):
         """Final symbols (units x places, -1 after the end) of units without byte
         pieces; in every step each unit makes its best open merge."""
         n, width = symbols.shape
         done = symbols.copy()
         rows = np.arange(n)
         s, at = symbols, np.tile(np.arange(width, dtype=np.int32), (n, 1))
-        rank, piece = self._pairs(key[:, None], s[:, :-1], s[:, 1:], at[:, :-1])
+        rank, piece = self._pairs(key, s[:, :-1], s[:, 1:], at[:, :-1], rows[:, None], met)
         while len(rows):
             best = rank.argmin(axis=1)
             me = np.arange(len(rows))
             go = rank[me, best] < NEVER
             done[rows[~go], : s.shape[1]] = s[~go]
             done[rows[~go], s.shape[1]:] = -1
-            rows, s, at, rank, piece, key, best = (x[go] for x in (rows, s, at, rank, piece, key, best))
+            rows, s, at, rank, piece, best = (x[go] for x in (rows, s, at, rank, piece, best))
             if not len(rows):
                 break
             me = np.arange(len(rows))
@@ -183,18 +212,24 @@ class Coder:
             for side in (best - 1, best):
                 ok = np.flatnonzero((side >= 0) & (side < wide - 2))
                 c = side[ok]
-                rank[ok, c], piece[ok, c] = self._pairs(key[ok], s[ok, c], s[ok, c + 1], at[ok, c])
+                rank[ok, c], piece[ok, c] = self._pairs(key, s[ok, c], s[ok, c + 1], at[ok, c], rows[ok], met)
         return done
 
     def _pieces_of(self, symbols, first, size, texts_of, key):
-        """Pieces of distinct units, given as character ranges of a symbol stream:
-        (flat ids, start of each unit, size of each unit)."""
+        """Pieces of units, given as character ranges of a symbol stream, and the
+        candidates met: for each (flat values, start of each unit, size of each
+        unit).  ``key`` is None for the segmentation without coins."""
         strange = np.r_[0, np.cumsum(symbols < 0)]
         slow = np.flatnonzero((size > LONG) | (strange[first + size] > strange[first]))
-        by_heap = {i: self.unit(texts_of(i), key[i]) for i in slow.tolist()}
         quick = np.ones(len(first), bool)
         quick[slow] = False
-        parts, count = [], np.zeros(len(first), np.int64)
+        parts, met = [], []
+        for i in slow.tolist():
+            seen: list = []
+            ids = self.unit(texts_of(i), None if key is None else key[i], seen)
+            parts.append((np.full(len(ids), i), np.array(ids, np.int32)))
+            names = np.concatenate(seen) if seen else np.zeros(0, U64)
+            met.append((np.full(len(names), i), names))
         width_of = -(-size // 3) * 3
         for width in np.unique(width_of[quick]).tolist():
             members = np.flatnonzero(quick & (width_of == width))
@@ -203,19 +238,27 @@ class Coder:
                 place = np.arange(width)[None, :]
                 inside = place < size[m][:, None]
                 matrix = np.where(inside, symbols[np.minimum(first[m][:, None] + place, len(symbols) - 1)], -1)
-                out = self._agendas(matrix, key[m])
-                there = out >= 0
-                count[m] = there.sum(axis=1)
-                parts.append((m, self.ids[out[there]]))
-        for i, ids in by_heap.items():
-            count[i] = len(ids)
-            parts.append((np.array([i]), np.array(ids, np.int32)))
-        start = np.cumsum(count) - count
-        flat = np.empty(int(count.sum()), np.int32)
-        for m, ids in parts:
-            n = count[m]
-            flat[np.repeat(start[m] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-        return flat, start, count
+                seen = []
+                out = self._agendas(matrix, None if key is None else key[m], seen)
+                row, col = np.nonzero(out >= 0)
+                parts.append((m[row], self.ids[out[row, col]]))
+                met += [(m[r], names) for r, names in seen]
+        return by_unit(parts, len(first), np.int32), by_unit(met, len(first), U64)
+
+    def _coins(self, key, unit, met):
+        """Sum of the names of the candidates that each occurrence skips, out of those
+        met by its unit."""
+        names, begin, count = met
+        out = np.zeros(len(key), U64)
+        for lo in range(0, len(key), CHUNK):
+            u = unit[lo: lo + CHUNK]
+            n = count[u]
+            total = np.cumsum(n)
+            name = names[np.repeat(begin[u] - (total - n), n) + np.arange(int(total[-1]))]
+            skipped = np.where(self.dropped(np.repeat(key[lo: lo + CHUNK], n), name), name, U64(0))
+            sums = np.r_[U64(0), np.cumsum(skipped)]
+            out[lo: lo + CHUNK] = sums[total] - sums[total - n]
+        return out
 
     def encode_slice(self, data, off, doc_ids):
         """(piece ids, offsets per document) of a slice of texts."""
@@ -229,18 +272,38 @@ class Coder:
         start = np.flatnonzero(first)
         end = np.r_[start[1:], len(data)]
         doc = np.searchsorted(off, start, side="right") - 1
-        key = self.keys_of(self.powers.spans(self.powers.prefix(data), start, end), self.variants(doc_ids)[doc])
-        distinct, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        unit_hash = self.powers.spans(self.powers.prefix(data), start, end)
+        key = self.keys_of(unit_hash, self.documents(doc_ids)[doc], start - off[doc])
         text = data.tobytes().decode()
         symbols = self.symbol_of[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
         chars = np.cumsum((data & 0xC0) != 0x80)             # characters up to each byte
-        c_first = chars[start[sample]] - 1
-        c_size = chars[end[sample] - 1] - c_first
-        flat, begin, count = self._pieces_of(
-            symbols, c_first, c_size, lambda i: text[c_first[i]: c_first[i] + c_size[i]], distinct)
-        size = count[which]
+        c_first = chars[start] - 1
+        c_size = chars[end - 1] - c_first
+
+        def pieces(of, keys):
+            a, n = c_first[of], c_size[of]
+            return self._pieces_of(symbols, a, n, lambda i: text[a[i]: a[i] + n[i]], keys)
+
+        # Rounds: each occurrence belongs to a group, one of which is segmented.
+        _, sample, group = np.unique(unit_hash, return_index=True, return_inverse=True)
+        found, met = pieces(sample, None)
+        flats, begin, size = [found[0]], found[1][group], found[2][group]
+        open_, skipped, made = np.arange(len(start)), np.zeros(len(sample), U64), len(found[0])
+        while self.limit:
+            own = self._coins(key[open_], group, met)
+            other = own != skipped[group]
+            open_, own, group = open_[other], own[other], group[other]
+            if not len(open_):
+                break
+            _, sample, group = np.unique(mix(own ^ mix(group.astype(U64) * BASE)), return_index=True, return_inverse=True)
+            found, met = pieces(open_[sample], key[open_[sample]])
+            skipped = self._coins(key[open_[sample]], np.arange(len(sample)), met)
+            begin[open_], size[open_] = found[1][group] + made, found[2][group]
+            flats.append(found[0])
+            made += len(found[0])
+        flat = np.concatenate(flats)
         total = np.cumsum(size)
-        ids = flat[np.repeat(begin[which] - (total - size), size) + np.arange(int(total[-1]))]
+        ids = flat[np.repeat(begin - (total - size), size) + np.arange(int(total[-1]))]
         return ids, np.r_[0, np.cumsum(np.bincount(doc, weights=size, minlength=n_docs).astype(np.int64))]
 
     def same_text(self, ids, bounds, data, off):
@@ -262,11 +325,12 @@ class Coder:
     def encode_by_heap(self, text: str, doc_id) -> list[int]:
         """The same by the heap alone, unit for unit."""
         out: list[int] = []
-        variant = self.variants([doc_id])
+        document, place = self.documents([doc_id]), 0
         for u in self.units.findall(text):
             data = np.frombuffer(u.encode(), np.uint8)
             whole = self.powers.spans(self.powers.prefix(data), np.array([0]), np.array([len(data)]))
-            out += self.unit(u, self.keys_of(whole, variant)[0])
+            out += self.unit(u, self.keys_of(whole, document, place)[0])
+            place += len(data)
         return out
 
     def decode(self, ids) -> str:

@@ -95,6 +95,21 @@ def test_pieces_both_ways_and_model():
     assert M.Coder(vocab, 1.0).encode("abc", 0) == [vocab["ids"][vocab["names"].index(c)] for c in "abc"]
 
 
+def test_every_occurrence_has_its_own_coins():
+    vocab = M.vocabulary()
+    coder, word = M.Coder(vocab, 0.2), " internationalization"
+    whole = coder.encode(word * 400, 3)
+    assert whole == coder.encode_by_heap(word * 400, 3) and coder.decode(whole) == word * 400
+    cuts, piece = set(), []
+    for i in whole:                                          # the document's pieces, word by word
+        if piece and vocab["values"][i].startswith(b" "):
+            cuts.add(tuple(piece))
+            piece = []
+        piece.append(i)
+    assert len(cuts) > 12
+    assert len({tuple(coder.encode(word, i)) for i in range(400)}) > 12
+
+
 def test_pieces_of_a_table(spark):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*ODD, None])], "doc_id int, text string, pieces string")
     rows = {r.doc_id: r for r in M.with_pieces(docs).collect()}
