@@ -8,7 +8,7 @@ with spill to disk and is recomputed where an executor is lost.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import SLICE_BYTES, text_bytes
@@ -17,11 +17,17 @@ from scorecraft.llm.storage import hold
 NO_ID = (1 << 63) - 1         # stands for a null id; the largest, so it never names a group of others
 
 
-def stored_texts(docs: DataFrame, *carried: str) -> DataFrame:
-    """(k, mark, z, carried...): id (``NO_ID`` for null), 16 bits of the text's hash,
-    the compressed text (null is empty) and the named columns."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
-                        F.pmod(F.xxhash64("text"), F.lit(1 << 16)).alias("mark"), "text", *carried)
+def row_key() -> Column:
+    """Key of a row: 64-bit hash of id and text.  Equal rows share it; rows without an id
+    do not, unless their texts are equal."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def stored_texts(docs: DataFrame, *carried: str, key: Column | None = None) -> DataFrame:
+    """(k, mark, z, carried...): id (``NO_ID`` for null) or ``key``, 16 bits of another
+    hash of the text, the compressed text (null is empty) and the named columns."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) if key is None else key
+    keyed = docs.select(key.alias("k"), F.pmod(F.hash("text"), F.lit(1 << 16)).cast("long").alias("mark"), "text", *carried)
 
     def run(batches):
         import pyarrow as pa

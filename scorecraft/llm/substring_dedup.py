@@ -24,7 +24,8 @@ third of all documents share costs one combined row per task and a join that
 is split at run time.  Names are 64-bit hashes of content.
 
 Null texts are empty.  Matches never cross documents.  Repeated rows are copies
-of each other; rows that share an id but not the text are separate documents.
+of each other; rows that share an id (or have none) but not the text are separate
+documents: rows are keyed by 80 bits of hashes of id and text.
 An empty table gives no rows.  ``doc_id`` is an integer or null.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import BASE, U64, Powers, covered, mix
 from scorecraft.llm.storage import cut, hold, let_go
-from scorecraft.llm.stored import NO_ID, stored_texts, unpacked
+from scorecraft.llm.stored import row_key, stored_texts, unpacked
 
 LENGTH = 400
 RANGE = 128                   # windows a sample can own; a power of two
@@ -157,7 +158,7 @@ def _resolve(rows: DataFrame, last: bool):
 
 def repeats(docs: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
     """(stored texts, removal ranges (k, at)) of all documents."""
-    stored = stored_texts(docs, *carried)
+    stored = stored_texts(docs, *carried, key=row_key())
     rows, settled = _level0(stored), None
     for step in (*STEPS, None):
         done, open_rows = _resolve(rows, last=step is None)
@@ -205,14 +206,13 @@ def remove(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for rows, data, off in unpacked(batch):
-                k = rows.column("k").to_numpy()
                 starts, ends, kept = zip(*_kept(rows, data, off))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, mask=k == NO_ID), pa.array(np.diff(off)), pa.array(starts, pa.list_(pa.int64())),
+                    [rows.column("long_id_"), pa.array(np.diff(off)), pa.array(starts, pa.list_(pa.int64())),
                      pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.binary())],
                     ["doc_id", "n_bytes", "span_start", "span_end", "kept"])
 
-    return _joined(docs).mapInArrow(
+    return _joined(docs.withColumn("long_id_", F.col("doc_id").cast("long")), "long_id_").mapInArrow(
         run, "doc_id long, n_bytes long, span_start array<long>, span_end array<long>, kept binary")
 
 
@@ -220,7 +220,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text and ``n_chars`` set anew.
     A character of which only some bytes remain goes too; null texts stay null."""
     carried = [c for c in docs.columns if c not in ("doc_id", "text")]
-    flagged = docs.withColumn("null_text_", F.col("text").isNull())
+    flagged = docs.withColumn("null_text_", F.col("text").isNull()).withColumn("long_id_", F.col("doc_id").cast("long"))
     names, spark_schema = docs.columns, docs.schema
 
     def run(batches):
@@ -228,18 +228,17 @@ def clean(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for rows, data, off in unpacked(batch):
-                k = rows.column("k").to_numpy()
                 null = np.asarray(rows.column("null_text_"))
                 texts = [None if gone else t.decode("utf-8", "ignore")
                          for gone, (_, _, t) in zip(null.tolist(), _kept(rows, data, off))]
-                made = {"doc_id": pa.array(k, mask=k == NO_ID), "text": pa.array(texts, pa.string())}
+                made = {"doc_id": rows.column("long_id_"), "text": pa.array(texts, pa.string())}
                 if "n_chars" in names:
                     made["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else rows.column(c) for c in names], names)
 
     kind = {"doc_id": "long", "n_chars": "long"}
     out = ", ".join(f"`{f.name}` {kind.get(f.name, f.dataType.simpleString())}" for f in spark_schema)
-    return _joined(flagged, *carried, "null_text_").mapInArrow(run, out)
+    return _joined(flagged, *carried, "null_text_", "long_id_").mapInArrow(run, out)
 
 
 def digest(removed: DataFrame) -> DataFrame:

@@ -122,6 +122,20 @@ def test_rows_that_share_an_id(spark):
     assert S.remove(df.limit(0)).count() == 0
 
 
+def test_many_texts_without_an_id(spark):
+    """More of them than 16 bits of hash can tell apart."""
+    random.seed(4)
+
+    def rnd(n):
+        return "".join(random.choice("abcdef") for _ in range(n))
+
+    passage = rnd(430)
+    texts = [rnd(random.randint(0, 60)) + passage[random.randint(0, 20):] + rnd(random.randint(0, 30)) for _ in range(1500)]
+    df = spark.createDataFrame([(None if i % 8 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(tuple(r)[1:] for r in S.digest(S.remove(df)).collect())
+    assert got == sorted(S.brute_force([t.encode() for t in texts]))
+
+
 def test_cleaned_texts(spark):
     random.seed(2)
     a = "".join(random.choice("abcdef") for _ in range(500))
