@@ -9,9 +9,12 @@ words of an item; a shorter item whole) are searched backward at once, their
 occurrences are located by walking to the next sampled position, and the
 removal spans of a document are merged.
 
-The benchmark is searched in blocks of at most ``BLOCK_BYTES`` of text, each
-sent to the tasks, so what is broadcast has a fixed bound; with several blocks
-the spans of a document are merged by one grouping.
+The benchmark is searched in blocks of at most ``BLOCK_BYTES`` of text (or one
+item).  Tasks derive the search sets of the blocks, one row each of a table in
+the checkpoint folder.  With several blocks the documents are written there too,
+under a key per row; one block after the other is sent to the tasks, its hits
+are written and the broadcast is given back, and the spans of a row are merged
+by one grouping.
 
 Null and empty texts and items have no words and so no windows.  Equal windows
 of several items count for each item; items or documents that repeat are
@@ -26,7 +29,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecraft.llm.batches import ALNUM, U64, Powers, lower_ascii, per_row, runs, slices, windows
+from scorecraft.llm.batches import ALNUM, U64, Powers, lower_ascii, mix, per_row, runs, salts, slices, windows
+from scorecraft.llm.storage import cut
 
 WORDS = 10
 SAMPLE = 8
@@ -124,15 +128,14 @@ class FMIndex:
         self.position = order[self.sampled]
         self.n = len(seq)
 
-    def search(self, patterns, lengths):
-        """Row intervals [lo, hi) of patterns, stored right-aligned in a matrix."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        width = patterns.shape[1]
-        for j in range(width - 1, -1, -1):
-            live = np.flatnonzero((width - j <= lengths) & (hi > lo))
+    def search(self, words, first, lengths):
+        """Row intervals [lo, hi) of patterns, given as ranges of ``words``."""
+        lo, hi = np.zeros(len(first), np.int64), np.full(len(first), self.n, np.int64)
+        for j in range(1, int(lengths.max()) + 1):
+            live = np.flatnonzero((j <= lengths) & (hi > lo))
             if len(live) == 0:
                 continue
-            c = patterns[live, j]
+            c = words[first[live] + lengths[live] - j].astype(np.int64)
             a, b = self.bwt.rank(c, lo[live], hi[live])
             lo[live], hi[live] = self.first[c] + a, self.first[c] + b
         return lo, np.maximum(hi, lo)
@@ -159,28 +162,31 @@ def split_words(data, off, powers: Powers):
     return powers.spans(powers.prefix(data), start, end), start, end, doc
 
 
-def patterns_of(items: list[tuple[str, str]], width: int = WORDS) -> dict:
-    """Plain-data search set of benchmark items (item id, text): vocabulary
-    (sorted word hashes), patterns as word numbers, and the items of each."""
+def patterns_of(names: list[str], texts: list[bytes], width: int = WORDS) -> dict:
+    """Plain-data search set of benchmark items: vocabulary (sorted word hashes), the
+    items' words by number, distinct patterns as places in them, and the items of
+    each pattern."""
     powers = Powers()
-    texts = [(t or "").encode() for _, t in items]
     data = np.frombuffer(b"".join(texts), np.uint8)
     off = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
     word, _, _, doc = split_words(data, off, powers)
     vocabulary, number = np.unique(word, return_inverse=True)
-    count = per_row(doc, len(items))
+    count = per_row(doc, len(texts))
+    h, first = windows(word, doc, width, 59)
     begin = np.cumsum(count) - count
-    found: dict[tuple, set[int]] = {}
-    for i, n in enumerate(count.tolist()):
-        w = number[begin[i]: begin[i] + n].tolist()
-        for j in range(max(1, n - width + 1) if n else 0):
-            found.setdefault(tuple(w[j: j + width]), set()).add(i)
-    keys = sorted(found)
-    matrix = np.zeros((len(keys), width), np.int64)
-    for k, p in enumerate(keys):
-        matrix[k, width - len(p):] = np.array(p) + 1
-    return {"vocabulary": vocabulary, "patterns": matrix, "lengths": np.array([len(p) for p in keys], np.int64),
-            "owners": [sorted(found[p]) for p in keys], "names": [str(i) for i, _ in items]}
+    short = np.flatnonzero((count > 0) & (count < width))    # an item of few words is one pattern
+    one = np.zeros(len(short), U64)
+    for j, salt in enumerate(salts(width, 61)[: width - 1]):
+        there = count[short] > j
+        one[there] += word[begin[short][there] + j] * salt
+    h = np.r_[h, mix(one + count[short].astype(U64))]
+    first = np.r_[first, begin[short]]
+    length = np.minimum(count[doc[first]], width)
+    _, sample, which = np.unique(h, return_index=True, return_inverse=True)
+    owners = np.unique(np.c_[which, doc[first]], axis=0)     # an item owns a pattern once
+    return {"vocabulary": vocabulary, "words": (number + 1).astype(np.int32), "first": first[sample], "lengths": length[sample],
+            "owner_at": np.r_[0, np.cumsum(per_row(owners[:, 0], len(sample)))], "owners": owners[:, 1].astype(np.int32),
+            "names": names}
 
 
 def search_slice(search: dict, data, off, powers: Powers):
@@ -202,21 +208,21 @@ def search_slice(search: dict, data, off, powers: Powers):
     source = np.full(len(seq), -1, np.int64)
     source[place] = np.arange(len(word))
     seq, source = seq[keep], source[keep]
-    if seq[-1] != END or not seq.any() or not len(search["patterns"]):
+    if seq[-1] != END or not seq.any() or not len(search["first"]):
         z = np.zeros(0, np.int64)
         return n_words, begin, (z, z, z), (z, z), (start, end)
     bits = int(len(vocabulary)).bit_length()
     index = FMIndex(seq, bits)
-    lo, hi = index.search(search["patterns"], search["lengths"])
+    lo, hi = index.search(search["words"], search["first"], search["lengths"])
     found = np.flatnonzero(hi > lo)
     times = (hi - lo)[found]
     pattern = np.repeat(found, times)
     rows = np.repeat(lo[found] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
     first = source[index.locate(rows)] if len(rows) else rows
     length = search["lengths"][pattern]
-    owners = search["owners"]
-    many = np.array([len(owners[p]) for p in pattern.tolist()], np.int64)
-    item = np.array([i for p in pattern.tolist() for i in owners[p]], np.int64)
+    owner_at = search["owner_at"]
+    many = owner_at[pattern + 1] - owner_at[pattern]
+    item = search["owners"][np.repeat(owner_at[pattern] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
     hits = np.unique(np.c_[np.repeat(doc[first], many), item], axis=0) if len(rows) else np.zeros((0, 2), np.int64)
     return n_words, begin, (doc[first], first, first + length), (hits[:, 0], hits[:, 1]), (start, end)
 
@@ -252,9 +258,10 @@ def _byte_spans(search: dict, data, off, powers: Powers) -> list[list[tuple[int,
     return out
 
 
-def _search_block(docs: DataFrame, search: dict) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(search)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _search_block(docs: DataFrame, shared, only_hits: bool = False) -> DataFrame:
+    """(columns of ``docs`` but the text, n_words, spans as arrays, items) of one broadcast block."""
+    kept = docs.drop("text")
+    names = kept.columns
 
     def run(batches):
         import pyarrow as pa
@@ -264,46 +271,89 @@ def _search_block(docs: DataFrame, search: dict) -> DataFrame:
             for rows, data, off, _ in slices(batch):
                 n = len(off) - 1
                 n_words, owner, words, places, (hit_doc, item) = _merged_spans(s, data, off, powers)
-                bounds = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))].astype(np.int32)
+                spans = np.bincount(owner, minlength=n)
+                bounds = np.r_[0, np.cumsum(spans)].astype(np.int32)
                 named = pa.array([s["names"][i] for i in item.tolist()], pa.string())
                 item_bounds = np.r_[0, np.cumsum(np.bincount(hit_doc, minlength=n))].astype(np.int32)
                 where = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.astype(np.int64)))
                          for x in (*words, *places)]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(n_words), *where,
+                out = pa.RecordBatch.from_arrays(
+                    [*(rows.column(c) for c in names), pa.array(n_words), *where,
                      pa.ListArray.from_arrays(pa.array(item_bounds), named)],
-                    ["doc_id", "n_words", "first_word", "end_word", "first_byte", "end_byte", "items"])
+                    [*names, "n_words", "first_word", "end_word", "first_byte", "end_byte", "items"])
+                yield out.filter(pa.array(spans > 0)) if only_hits else out
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_words long, first_word array<long>, end_word array<long>, "
-             "first_byte array<long>, end_byte array<long>, items array<string>")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema]
+    return docs.select(*names, "text").mapInArrow(
+        run, ", ".join([*kinds, "n_words long, first_word array<long>, end_word array<long>, "
+                                "first_byte array<long>, end_byte array<long>, items array<string>"]))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """The benchmark in blocks of at most ``block_bytes`` of text (or one item)."""
-    block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text").toLocalIterator():
-        n = len((r.text or "").encode())
-        if block and size + n > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r.i, r.text))
-        size += n
-    yield block
+def _blocks(benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, search) of blocks of at most ``block_bytes`` of text (or one item), derived
+    in tasks and written down; a small benchmark is one block."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Tasks fill their blocks on their own, so there are only as many tasks as whole blocks.
+    items = items.repartition(max(1, min(int(total // block_bytes), benchmark.sparkSession.sparkContext.defaultParallelism)))
 
+    def run(batches):
+        import pickle
 
-def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: ``n_words``, ``spans`` (array of first/end word and byte, merged) and
-    ``items`` (sorted ids of the benchmark items with occurring windows)."""
-    parts = [_search_block(docs, patterns_of(block)) for block in _blocks(benchmark, block_bytes)]
+        import pyarrow as pa
+
+        names, texts, size = [], [], 0
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(patterns_of(names, texts))], pa.binary())], ["search"])
+
+        for batch in batches:
+            for name, text in zip(batch.column("i").to_pylist(), batch.column("text").to_pylist()):
+                raw = (text or "").encode()
+                if names and size + len(raw) > block_bytes:
+                    yield block()
+                    names, texts, size = [], [], 0
+                names.append(str(name))
+                texts.append(raw)
+                size += len(raw)
+        if names:
+            yield block()
+
+    made = items.mapInArrow(run, "search binary")
+    return cut(made.select(F.monotonically_increasing_id().alias("block"), "search"))
+
+
+def _sent(blocks: DataFrame, names: list[int]):
+    """The blocks one by one, each broadcast; before the next, the last one is given back."""
+    import pickle
+
+    for name in names:
+        row = blocks.filter(F.col("block") == name).select("search").first()
+        shared = blocks.sparkSession.sparkContext.broadcast(pickle.loads(row["search"]))
+        yield shared
+        shared.destroy()
+
+
+def _names(blocks: DataFrame) -> list[int]:
+    return [r["block"] for r in blocks.select("block").orderBy("block").collect()]
+
+
+def _one_block(blocks: DataFrame, names: list[int], spark):
+    """Broadcast of the only block, or of an empty search set."""
+    import pickle
+
+    search = pickle.loads(blocks.select("search").first()["search"]) if names else patterns_of([], [])
+    return spark.sparkContext.broadcast(search)
+
+
+def _find_by_key(keyed: DataFrame, blocks: DataFrame, names: list[int]) -> DataFrame:
+    """(row_key_, spans, items) of the rows of ``keyed`` (row_key_, text) that a block hits."""
     span = F.arrays_zip("first_word", "end_word", "first_byte", "end_byte")
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", span.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list(span)).alias("s"),
-                                        F.flatten(F.collect_list("items")).alias("items"))
+    every = None
+    for shared in _sent(blocks, names):
+        part = cut(_search_block(keyed, shared, only_hits=True).select("row_key_", span.alias("s"), "items"))
+        every = part if every is None else every.unionByName(part)
+    every = every.groupBy("row_key_").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("items")).alias("items"))
     kind = every.schema["s"].dataType.simpleString()
     joined = F.aggregate(
         F.array_sort("s"), F.expr(f"cast(array() as {kind})"),
@@ -314,7 +364,26 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
                                    F.element_at(done, -1)["first_byte"].alias("first_byte"),
                                    F.greatest(F.element_at(done, -1)["end_byte"], x["end_byte"]).alias("end_byte")))))
         .otherwise(F.concat(done, F.array(x))))
-    return every.select("doc_id", "n_words", joined.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    return every.select("row_key_", joined.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row: ``doc_id``, ``n_words``, ``spans`` (array of first/end word and byte, merged)
+    and ``items`` (sorted ids of the benchmark items with occurring windows)."""
+    blocks = _blocks(benchmark, block_bytes)
+    names = _names(blocks)
+    docs = docs.select("doc_id", "text")
+    if len(names) <= 1:
+        span = F.arrays_zip("first_word", "end_word", "first_byte", "end_byte")
+        return _search_block(docs, _one_block(blocks, names, docs.sparkSession)).select(
+            "doc_id", "n_words", span.alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    keyed = cut(docs.withColumn("row_key_", F.monotonically_increasing_id()))
+    found = _find_by_key(keyed.select("row_key_", "text"), blocks, names)
+    # An empty search set counts the words of all rows.
+    counted = _search_block(keyed, docs.sparkSession.sparkContext.broadcast(patterns_of([], []))).select("row_key_", "doc_id", "n_words")
+    none = [F.expr(f"cast(array() as {found.schema[c].dataType.simpleString()})") for c in ("spans", "items")]
+    return counted.join(found, "row_key_", "left").select(
+        "doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -328,16 +397,17 @@ def digest(found: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the contaminated spans cut out of the text and ``n_chars`` set
     anew; rows without a hit, null texts among them, are left as they are.  With
-    several benchmark blocks the spans are found first and joined by id."""
-    blocks = list(_blocks(benchmark, block_bytes))
+    several benchmark blocks the spans are found first and joined by a key per row."""
+    blocks = _blocks(benchmark, block_bytes)
+    keys = _names(blocks)
     names = docs.columns
-    searched = docs.withColumn("spans_", F.lit(None).cast("array<struct<first_byte:bigint,end_byte:bigint>>"))
-    if len(blocks) > 1:
-        found = find(docs, benchmark, block_bytes).filter(F.size("spans") > 0).select(
-            F.col("doc_id").alias("found_id_"),
-            F.transform("spans", lambda s: F.struct(s["first_byte"].alias("first_byte"), s["end_byte"].alias("end_byte"))).alias("spans_"))
-        searched = docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id_")), "left").drop("found_id_")
-    shared = docs.sparkSession.sparkContext.broadcast(patterns_of(blocks[0]) if len(blocks) == 1 else None)
+    if len(keys) > 1:
+        keyed = cut(docs.withColumn("row_key_", F.monotonically_increasing_id()))
+        found = _find_by_key(keyed.select("row_key_", "text"), blocks, keys).select("row_key_", F.transform(
+            "spans", lambda s: F.struct(s["first_byte"].alias("first_byte"), s["end_byte"].alias("end_byte"))).alias("spans_"))
+        searched, shared = keyed.join(found, "row_key_", "left"), docs.sparkSession.sparkContext.broadcast(None)
+    else:
+        searched, shared = docs, _one_block(blocks, keys, docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

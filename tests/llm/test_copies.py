@@ -187,6 +187,19 @@ def test_decontamination_by_hand(spark, seed, block_bytes):
     assert D.digest(D.find(df, bench.limit(0))).filter("contaminated").count() == 0
 
 
+def test_rows_of_one_id_against_several_blocks(spark):
+    """Rows that share an id, or have none, are treated one by one whatever the number of blocks."""
+    item, other = " ".join(f"w{i}" for i in range(12)), " ".join(f"v{i}" for i in range(11))
+    rows = [(1, "é " * 9 + item + " end"), (1, "ö" * 40), (1, None), (None, other + " x"), (None, "é" * 50), (None, "plain words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other), (3, "w3 " + other)], "item_id int, text string")
+    one, many = ([sorted(map(str, f(df, bench, size).collect())) for f in (D.find, D.clean)] for size in (D.BLOCK_BYTES, 1))
+    assert one == many and len(one[0]) == len(rows)
+    texts = [t for _, t in rows]
+    texts[0], texts[3] = "é " * 9 + " end", " x"
+    assert sorted(str(r.text) for r in D.clean(df, bench, 1).collect()) == sorted(map(str, texts))
+
+
 def test_queries_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
