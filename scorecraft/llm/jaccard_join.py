@@ -3,7 +3,8 @@
 The Jaccard distance d = 1 - J is a metric, and documents link when
 d <= r = 1 - ``NEAR``/100.  The join goes from coarse regions to fine ones:
 
-1. Equal sets are one class; its smallest id stands for it.
+1. Equal sets are one class; the row with the smallest key (of id and text) stands
+   for it, whatever other texts its id has.
 2. Size windows.  Against the set of all shingles as pivot the triangle
    inequality bounds the sizes of linked sets (each at least ``NEAR`` % of the
    other), so sets fall into size classes, and those near a border are
@@ -22,10 +23,12 @@ d <= r = 1 - ``NEAR``/100.  The join goes from coarse regions to fine ones:
    Regions beyond ``REGION_DOCS`` or ``REGION_SHINGLES`` are split by pivots on
    Spark first, boundary documents being replicated, again and again; cells
    that do not shrink are joined in blocks, pair by pair.
-5. Links of regions that were split meet in connected components.
+5. Links of regions that were split meet in connected components of classes.  Only
+   then come ids: classes of one id are united, and the smallest id names them.
 
 Null texts and texts without words have an empty set and link with nothing.
-Rows that share an id (or have none) count as one document for linking.  Shingles and sets
+Rows that share an id count as one document for linking.  Rows without an id get the
+smallest component of any of them, but unite no others.  Shingles and sets
 are compared by 64- and 128-bit hashes.  ``doc_id`` is an integer or null.
 """
 
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lower_ascii, mix, per_row, runs, salts, windows
 from scorecraft.llm.components import components
 from scorecraft.llm.storage import cut, hold, let_go
-from scorecraft.llm.stored import NO_ID, stored_texts, unpacked
+from scorecraft.llm.stored import NO_ID, row_key, stored_texts, unpacked
 
 WORDS = 3
 SMALL = 40                    # shingles up to which a set is indexed by single shingles
@@ -134,7 +137,7 @@ def signatures(h, off, near: int, seed: int):
 
 
 def _sets(stored: DataFrame, words: int, near: int, seed: int) -> DataFrame:
-    """Per row of the stored texts (k, n, key1, key2, sigs, near, short): ``key1`` names
+    """Per row of the stored texts (k, id, n, key1, key2, sigs, near, short): ``key1`` names
     the set in the graph of shared parts, ``near`` are sets of the same slice that
     hold a part of this one, ``sigs`` its other parts."""
     def run(batches):
@@ -159,12 +162,12 @@ def _sets(stored: DataFrame, words: int, near: int, seed: int) -> DataFrame:
                     offsets = np.r_[0, np.cumsum(per_row(doc[keep], len(n)))].astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[keep])))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("k"), pa.array(n), *[pa.array(x.view(np.int64)) for x in keys],
+                    [rows.column("k"), rows.column("id"), pa.array(n), *[pa.array(x.view(np.int64)) for x in keys],
                      *lists, pa.array(np.full(len(n), short))],
-                    ["k", "n", "key1", "key2", "sigs", "near", "short"])
+                    ["k", "id", "n", "key1", "key2", "sigs", "near", "short"])
 
-    return stored.select("k", "z").mapInArrow(
-        run, "k long, n long, key1 long, key2 long, sigs array<long>, near array<long>, short boolean")
+    return stored.select("k", "id", "z").mapInArrow(
+        run, "k long, id long, n long, key1 long, key2 long, sigs array<long>, near array<long>, short boolean")
 
 
 def intersections(a: list, b: list):
@@ -403,7 +406,8 @@ def _region_links(members: DataFrame, words: int, near: int, most_docs: int, mos
 def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int = REGION_DOCS,
          most_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    stored = stored_texts(docs)
+    ids = docs.select("text", "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    stored = stored_texts(ids, "id", key=row_key())
     seed = 0
     while True:
         sets = hold(_sets(stored, words, near, seed))
@@ -411,23 +415,39 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
             break
         let_go(sets)
         seed += 1
-    classes = hold(sets.filter("n > 0").groupBy("key1", "key2", "n").agg(F.min("k").alias("rep")))
+    keys = ["key1", "key2", "n"]
+    classes = hold(sets.filter("n > 0").groupBy(*keys).agg(F.min("k").alias("rep"), F.min("id").alias("low")))
     parts = sets.select(F.col("key1").alias("a"), F.explode("sigs").alias("sig"))
     met = parts.withColumn("b", F.min("a").over(Window.partitionBy("sig"))).select("a", "b")
     edges = met.unionByName(sets.select(F.col("key1").alias("a"), F.explode(F.array_distinct("near")).alias("b")))
     regions = components(edges.filter("a <> b"))
     inside = (classes.join(regions.withColumnRenamed("node", "key1"), "key1")
-              .groupBy(F.col("rep").alias("k")).agg(F.min("component").cast("string").alias("region"), F.max("n").alias("n")))
-    members = hold(stored.join(inside, "k").select("region", "k", "n", "z"))
+              .select(F.col("rep").alias("k"), F.col("component").cast("string").alias("region"), "n"))
+    members = hold(stored.join(inside, "k").select("region", "k", "n", "z").dropDuplicates(["k"]))  # one text per class
     links = cut(components(_region_links(members, words, near, most_docs, most_shingles)))
-    of_rep = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
-    out = sets.select("k", "n", "key1", "key2").join(
-        of_rep.select("key1", "key2", "n", F.coalesce("component", "rep").alias("c")), ["key1", "key2", "n"], "left")
-    by_id = out.groupBy("k").agg(F.min("c").alias("component_id"))  # rows of one id are one document
-    same = out.select("k", "n").join(by_id, "k")
+    linked = (classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
+              .select(*keys, "low", F.coalesce("component", "rep").alias("c")))
+    linked = _united(sets, linked, keys)
+    lead = linked.groupBy("c").agg(F.min("low").alias("lead"))
+    out = sets.select("id", *keys).join(linked.join(lead, "c").select(*keys, "lead"), keys, "left")
+    by_id = out.groupBy("id").agg(F.min("lead").alias("component_id"))  # rows of one id are one document
+    same = out.select("id", "n").join(by_id, "id")
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return same.select(back("k").alias("doc_id"), F.col("n").alias("n_shingles"),
-                       F.coalesce(back("component_id"), back("k")).alias("component_id"))
+    return same.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                       F.coalesce(back("component_id"), back("id")).alias("component_id"))
+
+
+def _united(sets: DataFrame, linked: DataFrame, keys: list[str]) -> DataFrame:
+    """``linked`` (keys, low, c) with the components of all classes of one id united."""
+    own, key = sets.filter((F.col("n") > 0) & (F.col("id") != NO_ID)).select("id", *keys), F.struct(*keys)
+    several = cut(own.groupBy("id").agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select("id"))
+    if several.isEmpty():
+        return linked
+    held = own.join(several, "id").join(linked.select(*keys, "c"), keys).select("id", F.col("c").alias("a"))
+    met = held.join(held.groupBy("id").agg(F.min("a").alias("b")), "id").select("a", "b")
+    joined = components(met)
+    return (linked.join(joined.withColumnRenamed("node", "c"), "c", "left")
+            .select(*keys, "low", F.coalesce("component", "c").alias("c")))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:

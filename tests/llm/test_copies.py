@@ -91,6 +91,25 @@ def test_null_ids_repeats_and_clashing_columns(spark):
     assert J.link(df.limit(0)).count() == 0
 
 
+def test_ids_with_several_texts_lose_no_link(spark):
+    def near(name):
+        t = " ".join(f"{name}{i}" for i in range(60))
+        return t, t + " end"
+
+    (a, a2), (b, b2), (c, c2) = near("a"), near("b"), near("c")
+    rows = [(5, a), (5, b), (20, b), (30, b2), (40, a2), (None, c), (None, "no " + b), (50, c2), (60, c2 + " x"), (70, "alone here now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in J.link(df).collect() if r.doc_id is not None))
+    assert got == [(5, 5), (5, 5), (20, 5), (30, 5), (40, 5), (50, 50), (60, 50), (70, 70)]
+    # Classes of rows without an id alone meet in their own regions.
+    nulls = spark.createDataFrame([(None, a), (None, b), (None, c), (1, a2), (2, b2), (3, c2)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id) for r in J.link(nulls).collect()) == [(0, 1)] * 3 + [(1, 1), (2, 2), (3, 3)]
+    # Links that only a shared class can show: 20 and 30 are near, id 5 has both texts' class first.
+    rows = [(5, a), (5, b), (4, a2), (20, b), (30, b2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in J.link(df).collect()) == [(4, 4), (5, 4), (5, 4), (20, 4), (30, 4)]
+
+
 def pasted(seed: int) -> list[str]:
     random.seed(seed)
 
