@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorecraft.llm import (decontamination, jaccard_join, langid, merge_dropout, oracles, quality_rules, sharding,
-                            site_quality, substring_dedup, token_counts, toxicity)
+from scorecraft.llm import (decontamination, hard_negatives, jaccard_join, langid, line_dedup, merge_dropout, oracles,
+                            quality_rules, sharding, site_quality, spelling, substring_dedup, token_counts, toxicity)
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -69,11 +69,27 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove(_table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.quantised(_table(spark, sf_dir, "embeddings"), moved)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_quality_rules, op3_token_counts, op4_quality_classifier,
-        op5_benchmark_decontamination, op6_jaccard_join, op7_merge_dropout, op8_toxicity, op9_sharding, op10_substring_dedup)}
+        op5_benchmark_decontamination, op6_jaccard_join, op7_merge_dropout, op8_toxicity, op9_sharding, op10_substring_dedup,
+        op11_hard_negatives, op12_line_dedup, op13_spelling_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": oracles.OP5, "op6_jaccard_join": oracles.OP6}
+    return {"op5_benchmark_decontamination": oracles.OP5, "op6_jaccard_join": oracles.OP6,
+            "op11_hard_negatives": oracles.OP11, "op12_line_dedup": oracles.OP12}
