@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorecraft.llm.hot import join_counted
 from scorecraft.llm.storage import cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return (both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return (join_counted(both, low, ["a"], 2 * n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,10 +32,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge to another node; component
     is the smallest node reachable.  Loops and repeated edges are harmless."""
     now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
-    state = None
+    state, n = None, now.count()
     while True:
-        now = cut(_small_star(_large_star(now)), instead_of=now)
+        now = cut(_small_star(_large_star(now, n)), instead_of=now)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        n = found[0]
         if tuple(found) == state:
             break
         state = tuple(found)

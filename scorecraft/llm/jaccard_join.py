@@ -21,8 +21,9 @@ d <= r = 1 - ``NEAR``/100.  The join goes from coarse regions to fine ones:
    (a document can have a partner in a cell of pivot q and radius R only if
    its distance to q is at most R + r); there all similarities are exact counts.
    Regions beyond ``REGION_DOCS`` or ``REGION_SHINGLES`` are split by pivots on
-   Spark first, boundary documents being replicated, again and again; cells
-   that do not shrink are joined in blocks, pair by pair.
+   Spark first, boundary documents being replicated, again and again for as long as the
+   cells shrink (``SHRUNK``, ``SPREAD``); a region that pivots do not separate is joined in
+   blocks, pair by pair.
 5. Links of regions that were split meet in connected components of classes.  Only
    then come ids: classes of one id are united, and the smallest id names them.
 
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lower_ascii, mix, per_row, runs, salts, windows
 from scorecraft.llm.components import components
+from scorecraft.llm.hot import join_counted
 from scorecraft.llm.storage import cut, hold, let_go
 from scorecraft.llm.stored import NO_ID, row_key, stored_texts, unpacked
 
@@ -49,7 +51,7 @@ NEAR = 90                     # linked: 100 * intersection >= NEAR * union
 REGION_DOCS, REGION_SHINGLES = 16_384, 6_000_000
 CELL = 512                    # documents of a cell that are compared directly
 PIVOTS = 16                   # of a region that is split on Spark
-ROUNDS = 2
+SHRUNK, SPREAD = 0.75, 4       # a split counts if no cell holds more than this share, all cells no more than this many times
 
 
 def shingle_sets(data, off, powers: Powers, words: int = WORDS):
@@ -337,8 +339,10 @@ def _voronoi(members: DataFrame, seed: int, words: int, near: int) -> DataFrame:
     """Members of large regions dealt to the cells of sampled pivots.  A member goes
     to its nearest pivot and, as a visitor, to all within d + 2r: nothing nearer
     than r to it can be at home elsewhere."""
-    order = F.xxhash64(F.lit(seed), "k")
-    pivots = (members.withColumn("i", F.row_number().over(Window.partitionBy("region").orderBy(order, "k")))
+    # About twice as many candidates as pivots, by a hash, and the first of them.
+    order = F.pmod(F.xxhash64(F.lit(seed), "k"), F.lit(1 << 40))
+    pivots = (members.filter(order * F.col("docs") < F.lit(2.0 * PIVOTS * (1 << 40)))
+              .withColumn("i", F.row_number().over(Window.partitionBy("region").orderBy(order, "k")))
               .filter(F.col("i") <= PIVOTS).groupBy("region").agg(F.collect_list("z").alias("pivots")))
     reach = 2 * (1 - near / 100) + 1e-9
 
@@ -386,7 +390,7 @@ def _blocks(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
 
 def _region_links(members: DataFrame, words: int, near: int, most_docs: int, most_shingles: int) -> DataFrame:
     """Edges of all regions (region string, k, n, z), large ones split first."""
-    found, seed, parents = None, 0, None
+    found, seed = None, 0
     while True:
         sizes = members.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
         large = cut(sizes.filter((F.col("docs") > most_docs) | (F.col("shingles") > most_shingles)))
@@ -397,15 +401,24 @@ def _region_links(members: DataFrame, words: int, near: int, most_docs: int, mos
         links = _local_links(small, words, near)
         found = links if found is None else found.unionByName(links)
         members = members.join(large, "region")
-        if seed == ROUNDS:
-            return found.unionByName(_local_links(_blocks(members, large, most_docs), words, near))
-        members = hold(_voronoi(members, seed, words, near).drop("parent"))
+        cells = hold(_voronoi(members, seed, words, near))
+        held = cells.groupBy("parent", "region").agg(F.count("*").alias("c")).groupBy("parent").agg(
+            F.max("c").alias("most"), F.sum("c").alias("all"))
+        split = cut(held.join(large.withColumnRenamed("region", "parent"), "parent")
+                    .filter((F.col("most") <= SHRUNK * F.col("docs")) & (F.col("all") <= SPREAD * F.col("docs"))).select("parent"))
+        stuck = members.join(split.withColumnRenamed("parent", "region"), "region", "left_anti").drop("docs", "shingles")
+        found = found.unionByName(_local_links(_blocks(stuck, large, most_docs), words, near))
+        members = cells.join(split, "parent", "left_semi").drop("parent")
         seed += 1
 
 
-def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int = REGION_DOCS,
-         most_shingles: int = REGION_SHINGLES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+KEYS = ["key1", "key2", "n"]   # of a set
+
+
+def linked_sets(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int = REGION_DOCS,
+                most_shingles: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """(sets: a row per row of ``docs`` with k, id and the keys of its set; classes: a row per
+    set that is not empty with its smallest id ``low`` and its component ``c`` by links alone)."""
     ids = docs.select("text", "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
     stored = stored_texts(ids, "id", key=row_key())
     seed = 0
@@ -415,10 +428,10 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
             break
         let_go(sets)
         seed += 1
-    keys = ["key1", "key2", "n"]
-    classes = hold(sets.filter("n > 0").groupBy(*keys).agg(F.min("k").alias("rep"), F.min("id").alias("low")))
+    classes = hold(sets.filter("n > 0").groupBy(*KEYS).agg(F.min("k").alias("rep"), F.min("id").alias("low")))
     parts = sets.select(F.col("key1").alias("a"), F.explode("sigs").alias("sig"))
-    met = parts.withColumn("b", F.min("a").over(Window.partitionBy("sig"))).select("a", "b")
+    first = hold(parts.groupBy("sig").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1"))
+    met = join_counted(parts, first, ["sig"], first.agg(F.sum("n")).first()[0] or 0).select("a", "b")
     edges = met.unionByName(sets.select(F.col("key1").alias("a"), F.explode(F.array_distinct("near")).alias("b")))
     regions = components(edges.filter("a <> b"))
     inside = (classes.join(regions.withColumnRenamed("node", "key1"), "key1")
@@ -426,7 +439,15 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
     members = hold(stored.join(inside, "k").select("region", "k", "n", "z").dropDuplicates(["k"]))  # one text per class
     links = cut(components(_region_links(members, words, near, most_docs, most_shingles)))
     linked = (classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
-              .select(*keys, "low", F.coalesce("component", "rep").alias("c")))
+              .select(*KEYS, "low", F.coalesce("component", "rep").alias("c")))
+    return sets, linked
+
+
+def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int = REGION_DOCS,
+         most_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    keys = KEYS
+    sets, linked = linked_sets(docs, words, near, most_docs, most_shingles)
     linked = _united(sets, linked, keys)
     lead = linked.groupBy("c").agg(F.min("low").alias("lead"))
     out = sets.select("id", *keys).join(linked.join(lead, "c").select(*keys, "lead"), keys, "left")
@@ -451,15 +472,21 @@ def _united(sets: DataFrame, linked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
-    """``docs`` without the documents that a smaller id is linked to; of rows that share
-    an id one stays.  Rows without an id cannot be told apart by it and stay."""
-    found = link(docs, words, near)
-    lead = found.filter(F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id")))
-    ids = hold(lead.groupBy(F.col("doc_id").alias("keep_id_")).agg(F.count("*").alias("rows_")))
-    match = docs["doc_id"].eqNullSafe(F.col("keep_id_"))
-    once = docs.join(ids.filter("rows_ = 1 OR keep_id_ IS NULL"), match, "left_semi")
-    again = docs.join(ids.filter("rows_ > 1 AND keep_id_ IS NOT NULL"), match, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    """``docs`` with one row of each component of linked texts: that of the smallest id, among
+    rows of one id that of the smallest hash of the text, among rows equal in both the first
+    by a hash of all columns.  Texts that link with nothing all stay, also if they share
+    an id.  Rows without an id cannot be told apart by it and stay."""
+    sets, linked = linked_sets(docs, words, near)
+    rows = hold(sets.filter(F.col("id") != NO_ID).join(linked.select(*KEYS, "c"), KEYS, "left").select("k", "id", "c"))
+    lead = rows.groupBy(F.coalesce("c", "k").alias("c")).agg(F.min(F.struct("id", "k")).alias("one")).select("one.k")
+    times = hold(rows.join(lead, "k", "left_semi").groupBy(F.col("k").alias("keep_k_")).agg(F.count("*").alias("rows_")))
+    named = docs.filter("doc_id IS NOT NULL").withColumn("row_k_", row_key())
+    match = F.col("row_k_") == F.col("keep_k_")
+    once = named.join(times.filter("rows_ = 1"), match, "left_semi").drop("row_k_")
+    again = named.join(times.filter("rows_ > 1"), match, "left_semi")
+    whole = F.struct(*docs.columns)
+    first = again.groupBy("row_k_").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row_")).select("row_.*")
+    return docs.filter("doc_id IS NULL").unionByName(once).unionByName(first)
 
 
 def brute_force(texts: dict[int, str | None], words: int = WORDS, near: int = NEAR) -> dict[int, tuple]:
