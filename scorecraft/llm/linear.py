@@ -64,11 +64,14 @@ class Features:
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, columns: list[str], longest: int = 20_000) -> DataFrame:
     """At most ``most`` labelled rows (doc_id, text, *columns): the first by the
-    hash of the id among the documents of at most ``longest`` characters."""
+    hash of the id among the documents of at most ``longest`` characters; of rows that
+    share an id the one with the smallest hash of the text."""
     known = labels.select("doc_id", *columns).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c in columns])
-    short = docs.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id")
-    ids = (short.join(known, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    short = docs.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text")
+    ids = (short.select("doc_id").distinct().join(known, "doc_id")
+           .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most))
+    return (short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", *columns)
+            .agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
 
 def featurise(rows: DataFrame, features: Features, columns: list[str], extra=None, least: int = 3) -> tuple:

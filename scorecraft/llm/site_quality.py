@@ -60,8 +60,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000) -> tuple:
     return (model.w * model.scale).astype(np.float32), model.v, a, a * model.b + b, float(y.mean())
 
 
-def document_evidence(docs: DataFrame, model: tuple, host: str, path: str) -> DataFrame:
-    """(doc_id, host, path, p_doc, ratio) per document."""
+def document_evidence(docs: DataFrame, model: tuple, host: str, path: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, host, path, p_doc, ratio) per document, with the ``carried`` columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -79,12 +79,13 @@ def document_evidence(docs: DataFrame, model: tuple, host: str, path: str) -> Da
                     z = np.where(np.diff(off) > 0, z, np.log(prior / (1 - prior)))
                     p, ratio = linear.sigmoid(z), z - np.log(prior / (1 - prior))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("host"), rows.column("path"), pa.array(p), pa.array(ratio)],
-                    ["doc_id", "host", "path", "p_doc", "ratio"])
+                    [rows.column("doc_id"), rows.column("host"), rows.column("path"), pa.array(p), pa.array(ratio),
+                     *[rows.column(c) for c in carried]], ["doc_id", "host", "path", "p_doc", "ratio", *carried])
 
     sites = docs.select("doc_id", F.to_json(F.struct(F.col(host))).alias("host"),
-                        F.to_json(F.struct(F.col(host), F.col(path))).alias("path"), "text")
-    return sites.mapInArrow(run, f"doc_id {kind}, host string, path string, p_doc double, ratio double")
+                        F.to_json(F.struct(F.col(host), F.col(path))).alias("path"), "text", *carried)
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return sites.mapInArrow(run, f"doc_id {kind}, host string, path string, p_doc double, ratio double{more}")
 
 
 def prior_of(good: float, n: int, k: int, s2: float, n2: float) -> tuple[float, float]:
@@ -97,7 +98,7 @@ def prior_of(good: float, n: int, k: int, s2: float, n2: float) -> tuple[float,
     return rate, min(max(strength, SMALLEST_STRENGTH), LARGEST_STRENGTH)
 
 
-def posteriors(evidence: DataFrame, labels: DataFrame) -> DataFrame:
+def posteriors(evidence: DataFrame, labels: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Evidence rows with the site counts and the posterior of good quality."""
     known = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = (evidence.join(known, "doc_id", "left")
@@ -117,12 +118,13 @@ def posteriors(evidence: DataFrame, labels: DataFrame) -> DataFrame:
     sure = F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = F.log(sure / (1 - sure)) + F.col("ratio")
     return (out.withColumn("site_rate", path_rate).withColumn("posterior", 1 / (1 + F.exp(-logit)))
-            .select("doc_id", "p_doc", "host_n", "path_n", "site_rate", "posterior"))
+            .select("doc_id", "p_doc", "host_n", "path_n", "site_rate", "posterior", *carried))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang",
-             max_rows: int = 2_000, keep_at: float = KEEP_AT) -> DataFrame:
-    """(doc_id, p_doc, host_n, path_n, site_rate, posterior, kept) per document."""
+             max_rows: int = 2_000, keep_at: float = KEEP_AT, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, p_doc, host_n, path_n, site_rate, posterior, kept) per document, with the
+    ``carried`` columns."""
     model = fit(docs, labels, max_rows)
-    out = posteriors(hold(document_evidence(docs, model, host, path)), labels)
+    out = posteriors(hold(document_evidence(docs, model, host, path, carried)), labels, carried)
     return out.withColumn("kept", F.col("posterior") >= keep_at)
