@@ -31,6 +31,7 @@ import heapq
 import re
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 
 from scorecraft.llm.batches import BASE, U64, Powers, byte_class, mix, per_row, slices
@@ -84,6 +85,13 @@ def by_unit(parts, n: int, kind):
     return flat[np.argsort(unit, kind="stable")], np.cumsum(count) - count, count
 
 
+def number_of(doc_id) -> int:
+    """64 bits that stand for an id: an integer modulo 2**64, the hash of another id's text."""
+    if doc_id is None:
+        return (1 << 64) - 1
+    return doc_id % (1 << 64) if isinstance(doc_id, int) else xxhash.xxh3_64_intdigest(str(doc_id))
+
+
 class Coder:
     """Encoder and decoder for one task."""
 
@@ -105,7 +113,7 @@ class Coder:
 
     def documents(self, doc_ids) -> np.ndarray:
         """Keyed hash of each document's id."""
-        h = np.array([hash(i) if i is not None else -1 for i in doc_ids], np.int64).view(U64)
+        h = np.array([number_of(i) for i in doc_ids], U64)
         return mix(mix(h + U64(self.seed)) ^ U64(self.seed))
 
     def keys_of(self, unit_hash, document, place):
