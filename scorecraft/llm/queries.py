@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorecraft.llm import (decontamination, hard_negatives, jaccard_join, langid, line_dedup, merge_dropout, oracles,
-                            quality_rules, sharding, site_quality, spelling, substring_dedup, token_counts, toxicity)
+                            quality_rules, sharding, site_quality, spelling, storage, substring_dedup, token_counts,
+                            toxicity)
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -38,16 +39,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return storage.settled(lambda: site_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    return decontamination.digest(decontamination.find(docs, benchmark))
+    return storage.settled(lambda: decontamination.digest(decontamination.find(docs, benchmark)))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link(_table(spark, sf_dir, "documents"))
+    return storage.settled(lambda: jaccard_join.link(_table(spark, sf_dir, "documents")))
 
 
 def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,21 +67,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(substring_dedup.remove(_table(spark, sf_dir, "documents")))
+    return storage.settled(lambda: substring_dedup.digest(substring_dedup.remove(_table(spark, sf_dir, "documents"))))
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.quantised(_table(spark, sf_dir, "embeddings"), moved)
-    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+    return storage.settled(lambda: hard_negatives.mine(rows, F.col("id") % 100 == 0))
 
 
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.dedup(_table(spark, sf_dir, "documents")))
+    return storage.settled(lambda: line_dedup.digest(line_dedup.dedup(_table(spark, sf_dir, "documents"))))
 
 
 def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.group(_table(spark, sf_dir, "documents"))
+    return storage.settled(lambda: spelling.group(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

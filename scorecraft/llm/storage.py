@@ -5,17 +5,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ready(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a scratch folder is made."""
+    """The folder named in ``spark.checkpoint.dir``; only where that is unset and all runs
+    on one machine (tests) a scratch folder is made."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="llm-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="llm-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -35,11 +39,27 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     return _written[-1][0]
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _delete(table: DataFrame) -> None:
     for frame, path in [w for w in _written if w[0] is table]:
         _written[:] = [w for w in _written if w[0] is not frame]
-        place = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        drop_folder(frame.sparkSession, path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` written as a table in the shared folder; all that was held and
+    written for it is given back.  The table stands until ``release``."""
+    before_held, before_written = list(_held), list(_written)
+    out = cut(make())
+    let_go(*[h for h in _held if not any(h is b for b in before_held)])
+    for table, _ in list(_written):
+        if table is not out and not any(table is t for t, _ in before_written):
+            _delete(table)
+    return out
 
 
 def hold(df: DataFrame) -> DataFrame:
