@@ -187,7 +187,8 @@ def exact_match(items: DataFrame, calls: DataFrame, leaves: DataFrame | None = N
 def tool_scores_wide(items: DataFrame, calls: DataFrame, tools: DataFrame, params: DataFrame,
                      metrics: list[str] | None = None) -> DataFrame:
     """O-68: all tool metrics in one wide row per record.  ``metrics`` (names
-    from ``METRICS``) selects columns; unknown names raise.
+    from ``METRICS``) selects columns; unknown names raise.  The predicted calls come
+    among ``calls`` or, nested, in the items' ``pred_tools``.
 
     Computed by :func:`tool_scores_onepass` (one shuffle of the calls, one
     flattening, per-record evaluation); the per-metric operators above give
@@ -199,6 +200,8 @@ def tool_scores_wide(items: DataFrame, calls: DataFrame, tools: DataFrame, param
     if any(m.startswith("variable_") or m == "exact_match" for m in wanted):
         out = tool_scores_onepass(items, calls, tools, params)
     else:
+        if "pred_tools" in items.columns:
+            calls = scoring_rows(items, calls).filter("side <> 'item'").drop("item")
         # No argument-level metric requested: no flattening at all.
         keep = [c for c in ("record_id", "gt_type", "pred_type", "raw_text", "raw_ok") if c in items.columns]
         it = by_key(items.select(*keep), "record_id")
@@ -226,120 +229,121 @@ def bucket_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("gt_type").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def _b(c):
-    """Boolean lambda results: NULL reads as false."""
-    return F.coalesce(c, F.lit(False))
-
-
 def _leaf_match(g, p):
-    """O-67 on gathered leaves whose class (text | num | null | other) and
-    lower-cased text were computed once per row before the gather."""
-    return _b(F.when((g["cls"] == "null") | (p["cls"] == "null"), (g["cls"] == "null") & (p["cls"] == "null"))
-              .when((g["cls"] == "text") & (p["cls"] == "text"), g["ls"] == p["ls"])
-              .when((g["cls"] == "num") & (p["cls"] == "num"), F.abs(g["n"] - p["n"]) < F.lit(1e-9))
-              .otherwise(F.lit(False)))
+    """O-67 on leaves whose class (text | num | null | other) and lower-cased text were
+    computed once per row."""
+    return F.coalesce(
+        F.when((g["cls"] == "null") | (p["cls"] == "null"), (g["cls"] == "null") & (p["cls"] == "null"))
+        .when((g["cls"] == "text") & (p["cls"] == "text"), g["ls"] == p["ls"])
+        .when((g["cls"] == "num") & (p["cls"] == "num"), F.abs(g["n"] - p["n"]) < F.lit(1e-9))
+        .otherwise(F.lit(False)), F.lit(False))
+
+
+ITEM_COLUMNS = ["gt_type", "pred_type", "raw_text", "raw_ok"]
+
+
+def _item_struct(items: DataFrame):
+    kinds = {"raw_ok": "boolean"}
+    return F.struct(*[(F.col(c) if c in items.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in ITEM_COLUMNS])
+
+
+def scoring_rows(items: DataFrame, calls: DataFrame) -> DataFrame:
+    """Items and calls as one stream: a row per call and one row (side ``item``) per item.
+    Where items carry their predicted calls (``pred_tools``), each is read once."""
+    none = F.lit(None).cast("string")
+    item = _item_struct(items)
+    call = F.struct(F.lit("item").alias("side"), F.lit(-1).alias("ordinal"), none.alias("name"), none.alias("arguments"), item.alias("item"))
+    if "pred_tools" in items.columns:
+        tools = F.coalesce("pred_tools", F.array().cast(items.schema["pred_tools"].dataType))
+        empty = F.lit(None).cast(items.select(item.alias("i")).schema["i"].dataType)
+        made = F.transform(tools, lambda c, i: F.struct(F.lit("pred").alias("side"), i.alias("ordinal"), c["name"].alias("name"),
+                                                        c["arguments"].alias("arguments"), empty.alias("item")))
+        rows = items.select("record_id", F.inline(F.concat(F.array(call), made)))
+    else:
+        rows = items.select("record_id", F.inline(F.array(call)))
+    return rows.unionByName(calls.select("record_id", "side", F.col("ordinal").cast("int").alias("ordinal"), "name", "arguments"),
+                            allowMissingColumns=True)
 
 
 def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, params: DataFrame) -> DataFrame:
-    """O-55..O-68 in one pass: the same values as :func:`tool_scores_wide`.
-
-    Calls are hash-partitioned on ``record_id`` once; catalogue flags come
-    from broadcast joins (narrow); arguments are flattened once with a marker
-    row per call; each record's rows are gathered in place (the partitioning
-    already clusters them, so no further shuffle) and every metric is a
-    higher-order-function expression over that record's calls and leaves.
-    A record holds one model answer, so the gathered group is bounded by the
-    answer size.  Exchanges: the calls and the items, once each."""
-    prepared = prepare_calls(calls)
+    """O-55..O-68 in one pass: the same values as the per-metric operators.
+
+    Items and calls are one stream, hash-partitioned on ``record_id`` once; catalogue flags
+    come from broadcast joins and arguments are flattened once, with a marker row per call.
+    Truth and predicted leaves then meet by key: once under the call's name (last call of a
+    name: the variable metrics) and once under its rank (exact match).  All three levels of
+    grouping -- (record, call, key), (record, call), record -- start with ``record_id``, so none
+    shuffles, and the work is linear (sorting aside) in the leaves of a record."""
+    prepared = prepare_calls(scoring_rows(items, calls))
     cat = bounded_broadcast(tools.select("name", F.lit(True).alias("in_cat")).distinct())
     valid = bounded_broadcast(params.filter(~F.col("param").isin(*IGNORED_PARAMS))
                         .select(F.col("tool").alias("name"), F.col("param").alias("base_key"),
                                 F.lit(True).alias("valid")).distinct())
-    rows = flatten_arguments(prepared.join(cat, "name", "left"), CALL_KEEP + ["in_cat"], call_rows=True)
-    rows = rows.join(valid, ["name", "base_key"], "left")
-    rec = rows.groupBy("record_id").agg(F.collect_list(F.struct(
-        F.col("side"), F.col("ordinal"), F.col("name"), F.col("rank"), F.col("is_last"),
-        F.coalesce("in_cat", F.lit(False)).alias("in_cat"), F.col("key"),
-        F.coalesce("valid", F.lit(False)).alias("valid"),
-        F.when(F.col("type_tag").isin("str", "list", "invalid"), "text")
-         .when(F.col("type_tag").isin("num", "bool"), "num")
-         .when(F.col("type_tag") == "null", "null").otherwise("other").alias("cls"),
-        F.lower(F.col("str_val")).alias("ls"), F.col("num_val").alias("n"))).alias("r"))
-
-    # Split each record's rows once into the arrays the metrics read
-    # (higher-order functions are interpreted: evaluate each split once).
-    r = F.col("r")
-    leaf = lambda x: x["key"].isNotNull()
-    split = rec.select(
-        "record_id",
-        F.filter(r, lambda x: x["key"].isNull() & (x["side"] == "gt")).alias("gtc"),
-        F.filter(r, lambda x: x["key"].isNull() & (x["side"] == "pred")).alias("pdc"),
-        F.filter(r, lambda x: leaf(x) & (x["side"] == "gt")).alias("gl"),
-        F.filter(r, lambda x: leaf(x) & (x["side"] == "pred")).alias("pl"))
-    gtc, pdc, gl_all, pl_all = F.col("gtc"), F.col("pdc"), F.col("gl"), F.col("pl")
-    n_gt = F.size(gtc)
-    G = F.array_distinct(F.transform(gtc, lambda x: x["name"]))
-    P = F.array_distinct(F.transform(pdc, lambda x: x["name"]))
-    PA = F.array_distinct(F.transform(F.filter(pdc, lambda x: x["in_cat"]), lambda x: x["name"]))
+    keep = [*CALL_KEEP, "in_cat", "item"]
+    rows = flatten_arguments(prepared.join(cat, "name", "left"), keep, call_rows=True).join(valid, ["name", "base_key"], "left")
+    is_gt, is_pred = F.col("side") == "gt", F.col("side") == "pred"
+    leaf = F.struct(F.coalesce("valid", F.lit(False)).alias("valid"),
+                    F.when(F.col("type_tag").isin("str", "list", "invalid"), "text")
+                    .when(F.col("type_tag").isin("num", "bool"), "num")
+                    .when(F.col("type_tag") == "null", "null").otherwise("other").alias("cls"),
+                    F.lower(F.col("str_val")).alias("ls"), F.col("num_val").alias("n"))
+    # A call's rows under its name (if it is the last of it) and under its rank; an item's row once.
+    by_name = F.struct(F.lit("name").alias("by"), F.col("name").alias("call"))
+    by_rank = F.struct(F.lit("rank").alias("by"), F.col("rank").cast("string").alias("call"))
+    places = (F.when(F.col("side") == "item", F.array(F.struct(F.lit("item").alias("by"), F.lit("").alias("call"))))
+              .when(F.col("is_last"), F.array(by_name, by_rank)).otherwise(F.array(by_rank)))
+    placed = rows.select("record_id", F.explode(places).alias("place"), "key", "side", "name", "in_cat", "item", leaf.alias("leaf"))
+    is_leaf = F.col("key").isNotNull()
+    by_key_ = placed.groupBy("record_id", "place.by", "place.call", "key").agg(
+        F.collect_list(F.when(is_leaf & is_gt, F.col("leaf"))).alias("g"),
+        F.collect_list(F.when(is_leaf & is_pred, F.col("leaf"))).alias("p"),
+        F.max(F.when(~is_leaf & is_gt, F.col("name"))).alias("gt_name"),
+        F.max(F.when(~is_leaf & is_pred, F.col("name"))).alias("pred_name"),
+        F.max(F.coalesce("in_cat", F.lit(False))).alias("in_cat"),
+        F.first("item", ignorenulls=True).alias("item"))
+    g, p = F.col("g"), F.col("p")
+    known = F.filter(p, lambda x: x["valid"])
+    met = F.size(g) > 0
+    # Repeated keys of one call (dotted names that collide) are the only pairs compared here.
+    by_call = by_key_.select(
+        "record_id", "by", "call", "gt_name", "pred_name", "in_cat", "item", F.size(g).alias("n_keys"),
+        F.when(met, F.size(known)).otherwise(0).alias("k"),
+        F.size(F.filter(known, lambda x: F.exists(g, lambda y: _leaf_match(y, x)))).alias("c"),
+        (F.size(p) - F.size(known)).alias("h"),
+        F.when(met, 0).otherwise(F.size(known)).alias("a"),
+        F.size(F.filter(g, lambda y: ~F.exists(p, lambda x: _leaf_match(y, x)))).alias("bad"),
+    ).groupBy("record_id", "by", "call").agg(
+        *[F.sum(x).alias(x) for x in ("n_keys", "k", "c", "h", "a", "bad")],
+        F.max("gt_name").alias("gt_name"), F.max("pred_name").alias("pred_name"), F.max("in_cat").alias("in_cat"),
+        F.first("item", ignorenulls=True).alias("item"))
+    named, ranked = F.col("by") == "name", F.col("by") == "rank"
+    in_gt, in_pred = F.col("gt_name").isNotNull(), F.col("pred_name").isNotNull()
+    both = named & in_gt & in_pred
+    share = {x: F.sum(F.when(both, F.try_divide(F.col(x).cast("double"), F.col("n_keys").cast("double")))).alias(x) for x in "kcha"}
+    record = by_call.groupBy("record_id").agg(
+        F.first("item", ignorenulls=True).alias("item"),
+        F.count_if(ranked & in_gt).alias("n_gt"), F.count_if(ranked & in_pred).alias("n_pred"),
+        F.count_if(both).alias("n_both"), F.count_if(named & in_pred & ~F.col("in_cat")).alias("n_unknown"),
+        F.count_if(named & in_pred & F.col("in_cat") & ~in_gt).alias("n_more"),
+        F.count_if(both & (F.col("n_keys") == 0)).alias("undefined"), *share.values(),
+        F.count_if(ranked & ((F.col("bad") > 0) | ~F.coalesce(F.col("gt_name") == F.col("pred_name"), F.lit(False)))).alias("unequal"))
+    out = record.filter("item IS NOT NULL").select("record_id", "item.*", "*").drop("item")
+    n_gt = F.col("n_gt").cast("double")
 
     def rate(n):
-        return F.try_divide(n.cast("double"), n_gt.cast("double"))
-
-    # variable metrics: per tool in G∩P, the last call per name on each side
-    def tool_counts(t):
-        gl = F.filter(gl_all, lambda x: x["is_last"] & (x["name"] == t))
-        pl = F.filter(pl_all, lambda x: x["is_last"] & (x["name"] == t))
-        flags = F.transform(pl, lambda p: F.struct(
-            p["valid"].alias("v"),
-            _b(F.exists(gl, lambda g: g["key"] == p["key"])).alias("in_gt"),
-            _b(F.exists(gl, lambda g: (g["key"] == p["key"]) & _leaf_match(g, p))).alias("ok")))
-        nk = F.size(gl).cast("double")
-
-        def count(pred):
-            return F.try_divide(F.size(F.filter(flags, pred)).cast("double"), nk)
-        return F.struct(count(lambda f: f["v"] & f["in_gt"]).alias("k"),
-                        count(lambda f: f["v"] & f["ok"]).alias("c"),
-                        count(lambda f: ~f["v"]).alias("h"),
-                        count(lambda f: f["v"] & ~f["in_gt"]).alias("a"))
-
-    # exact match: equal counts; calls paired by stable rank
-    def rank_ok(k):
-        gn = F.filter(gtc, lambda x: x["rank"] == k)[0]["name"]
-        pn = F.filter(pdc, lambda x: x["rank"] == k)[0]["name"]
-        gl = F.filter(gl_all, lambda x: x["rank"] == k)
-        pl = F.filter(pl_all, lambda x: x["rank"] == k)
-        keys_ok = F.forall(gl, lambda g: _b(F.exists(pl, lambda p: (p["key"] == g["key"]) & _leaf_match(g, p))))
-        return _b(gn == pn) & _b(keys_ok)
-
-    staged = split.select(
-        "record_id",
-        rate(F.size(F.array_intersect(G, P))).alias("score_tool_pick_up_rate"),
-        rate(F.size(F.array_except(P, PA))).alias("score_tool_hallucination_rate"),
-        rate(F.size(F.array_except(PA, G))).alias("score_tool_additional_rate"),
-        n_gt.alias("n_gt"),
-        F.transform(F.array_intersect(G, P), tool_counts).alias("per_tool"),
-        F.when((n_gt == F.size(pdc))
-               & _b(F.forall(F.sequence(F.lit(1), F.greatest(n_gt, F.lit(1))), lambda k: (n_gt == 0) | rank_ok(k))),
-               1.0).otherwise(0.0).alias("score_exact_match"))
-    per_tool = F.col("per_tool")
-    undefined = _b(F.exists(per_tool, lambda x: x["k"].isNull()))
-
-    def var_rate(f):
-        total = F.aggregate(per_tool, F.lit(0.0), lambda acc, x: acc + F.coalesce(x[f], F.lit(0.0)))
-        return F.when(~undefined, F.try_divide(total, F.col("n_gt").cast("double")))
-
-    scores = staged.select(
-        "record_id", "score_tool_pick_up_rate", "score_tool_hallucination_rate", "score_tool_additional_rate",
-        var_rate("k").alias("score_variable_pickup_rate"), var_rate("c").alias("score_variable_correct_rate"),
-        var_rate("h").alias("score_variable_hallucination_rate"), var_rate("a").alias("score_variable_additional_rate"),
-        "score_exact_match")
-    keep = [c for c in ("record_id", "gt_type", "pred_type", "raw_text", "raw_ok") if c in items.columns]
-    it = by_key(items.select(*keep), "record_id")
+        return F.try_divide(n.cast("double"), n_gt)
+
+    def var_rate(x):
+        return F.when(F.col("undefined") == 0, rate(F.coalesce(F.col(x), F.lit(0.0))))
+
+    exact = (F.col("n_gt") == F.col("n_pred")) & (F.col("unequal") == 0)
+    scores = {"tool_pick_up_rate": rate(F.col("n_both")), "tool_hallucination_rate": rate(F.col("n_unknown")),
+              "tool_additional_rate": rate(F.col("n_more")), "variable_pickup_rate": var_rate("k"),
+              "variable_correct_rate": var_rate("c"), "variable_hallucination_rate": var_rate("h"),
+              "variable_additional_rate": var_rate("a"), "exact_match": F.when(exact, 1.0).otherwise(0.0)}
     both_tool = (F.col("gt_type") == "tool") & (F.col("pred_type") == "tool")
-    tool_cols = [c for c in scores.columns if c != "record_id"]
-    out = it.join(scores, "record_id", "left")
     return out.select("record_id", "gt_type", "pred_type", *_item_score_columns(out.columns),
-                      *[F.when(both_tool, F.col(c)).alias(c) for c in tool_cols])
+                      *[F.when(both_tool, v).alias(f"score_{m}") for m, v in scores.items()])
 
 
 def _item_score_columns(columns: list[str]) -> list:

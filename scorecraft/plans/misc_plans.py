@@ -166,7 +166,6 @@ def tool_eval_end_to_end(spark, sf_dir):
     metrics, one wide row per record."""
     gt = tool_plans.calls(spark, sf_dir).filter(F.col("side") == "gt")
     parsed = P.parse_outputs(parse_plans.text_responses(spark, sf_dir), "json")
-    items = parsed.select("record_id", F.lit("tool").alias("gt_type"), "pred_type", "raw_text", "raw_ok")
-    calls = gt.unionByName(P.calls_from_parsed(parsed))
+    items = parsed.select("record_id", F.lit("tool").alias("gt_type"), "pred_type", "raw_text", "raw_ok", "pred_tools")
     tools, params = fixture_catalog(spark)
-    return T.tool_scores_wide(items, calls, tools, params)
+    return T.tool_scores_wide(items, gt, tools, params)
