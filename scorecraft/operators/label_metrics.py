@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.text import norm_label, py_strip
-from scorecraft.functions.windows import top_n_per_group
+from scorecraft.functions.windows import first_n_per_group
 
 VALID_LABELS = ("safe", "unsafe")
 
@@ -156,9 +156,7 @@ def balanced_subset(df: DataFrame, label_col: str, id_col: str, n: int = 100, se
     quota = counts.select(
         label_col,
         F.floor(F.least(F.lit(n), F.min("_cnt").over(every) * F.count(F.lit(1)).over(every))
-                / F.count(F.lit(1)).over(every)).cast("int").alias("_quota"))
-    ranked = top_n_per_group(df.withColumn("_key", key), [label_col], [F.col("_key")], n, "_rank")
-    # One row per label; AQE turns this into a broadcast after measuring it.
-    return (ranked.join(quota, label_col)
-            .filter(F.col("_rank") <= F.col("_quota"))
-            .drop("_quota", "_rank"))
+                / F.count(F.lit(1)).over(every)).cast("long").alias("quota"))
+    keyed = df.withColumn("_key", key).select("_key", *df.columns)
+    place = F.conv(F.substring("_key", 1, 15), 16, 10).cast("long")              # the first 60 bits
+    return first_n_per_group(keyed, [label_col], place, quota, n).drop("_key")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecraft.functions.windows import running_max_blocked, top_n_per_group
+from scorecraft.functions.windows import first_n_per_group, running_max_blocked
 
 SAMPLE = ["category", "conv_id"]
 CATEGORIES = ("complete", "incomplete", "nlp")
@@ -36,7 +36,8 @@ def head_per_category(turns: DataFrame, n: int) -> DataFrame:
     if n is None or n <= 0:
         return turns
     samples = turns.select(*SAMPLE).distinct()
-    first = top_n_per_group(samples, ["category"], [F.col("conv_id")], n).select(*SAMPLE)
+    quotas = samples.groupBy("category").agg(F.lit(n).cast("long").alias("quota"))
+    first = first_n_per_group(samples, ["category"], F.col("conv_id"), quotas, n).select(*SAMPLE)
     return turns.join(first, SAMPLE, "left_semi")
 
 
@@ -119,27 +120,36 @@ def text_ground_truth(records: DataFrame) -> DataFrame:
     return records.filter(F.col("gt_content").isNotNull())
 
 
+BLOCK = 16_384                # turns of a sample that are gathered together
+
+
 def materialise_context(records: DataFrame, turns: DataFrame, system_text: str | None = None,
-                        template_has_tool_token: bool = False) -> DataFrame:
+                        template_has_tool_token: bool = False, block: int = BLOCK) -> DataFrame:
     """O-15 context + O-18 system turn: ``ARRAY<STRUCT<role, content>>`` per record.
 
-    Each record fans out to the positions ``0..trigger_turn`` and meets its turn
-    through an equi-join on (sample, position) -- a unique key, so the join is
-    free of skew; only the final per-record gather groups, and a group is one
-    record's own context.
-    """
+    A sample's turns are gathered once per (sample, block of ``block`` turns), and its
+    records likewise; the two meet on that key, and each record cuts the block's array at
+    its turn, so a turn's text is moved once however many records read it.  Only samples
+    longer than a block need more: their later blocks are given the earlier ones whole, once
+    per block and not per record."""
     rw = rewrite_turns(turns, template_has_tool_token).select(*SAMPLE, "turn_idx", "role", "content")
-    fan = records.select("record_id", *SAMPLE,
-                         F.explode(F.sequence(F.lit(0), F.col("trigger_turn"))).alias("turn_idx"))
-    ctx = (fan.join(rw, [*SAMPLE, "turn_idx"])
-           .groupBy("record_id")
-           .agg(F.sort_array(F.collect_list(F.struct("turn_idx", "role", "content"))).alias("_c"))
-           .select("record_id",
-                   F.transform("_c", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("context")))
+    at = [*SAMPLE, "block"]
+    blocks = (rw.withColumn("block", F.floor(F.col("turn_idx") / block)).groupBy(*at)
+              .agg(F.sort_array(F.collect_list(F.struct("turn_idx", "role", "content"))).alias("turns")))
+    readers = (records.select("record_id", *SAMPLE, "trigger_turn", F.floor(F.col("trigger_turn") / block).alias("block"))
+               .groupBy(*at).agg(F.collect_list(F.struct("record_id", "trigger_turn")).alias("readers")))
+    late = readers.filter("block > 0").select(*SAMPLE, F.col("block").alias("late"))
+    whole = blocks.withColumnRenamed("block", "early")
+    before = (late.join(whole, SAMPLE).filter("early < late").groupBy(*SAMPLE, F.col("late").alias("block"))
+              .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("early", "turns"))), lambda b: b["turns"])).alias("before")))
+    met = readers.join(blocks, at).join(before, at, "left")
+    each = met.select("turns", "before", F.explode("readers").alias("r")).select(
+        "r.record_id", F.coalesce("before", F.array().cast(blocks.schema["turns"].dataType)).alias("before"),
+        F.filter("turns", lambda t: t["turn_idx"] <= F.col("r.trigger_turn")).alias("own"))
+    context = F.transform(F.concat("before", "own"), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
     if system_text is not None:
-        sys_turn = F.array(F.struct(F.lit("system").alias("role"), F.lit(system_text).alias("content")))
-        ctx = ctx.withColumn("context", F.concat(sys_turn, F.col("context")))
-    return ctx
+        context = F.concat(F.array(F.struct(F.lit("system").alias("role"), F.lit(system_text).alias("content"))), context)
+    return each.select("record_id", context.alias("context"))
 
 
 def system_message(sections: list[str]) -> str:
