@@ -171,6 +171,39 @@ def response_lines(lines: DataFrame, line: str = "line", order: str = "line_no")
             .select("record_id", "a.content", "a.tool_calls", "a.error"))
 
 
+def answer_lines(lines: DataFrame, requests: DataFrame, line: str = "line", order: str = "line_no",
+                 key: str = "record_id") -> DataFrame:
+    """O-26/O-28/O-31: every batch answer line with what becomes of it: ``(order, custom_id,
+    status, content, tool_calls, error, text)``.  ``status`` is ``unreadable`` (no JSON object;
+    ``text`` holds the line), ``no_id``, ``orphan`` (no request has its id), ``outdated`` (a later
+    line answers the same request) or ``good``: at most one per request, so a join by key
+    neither loses nor multiplies requests.  ``order`` must be unique, such as file and line."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "damaged"}
+    m = F.from_json(F.col(line), RESPONSE_LINE + ", damaged string", options)
+    message = F.get(F.col("m.response.body.choices"), F.lit(0))["message"]
+    object_ = F.trim(F.col("text")).startswith("{") & F.col("m.damaged").isNull() & F.col("m").isNotNull()
+    rows = lines.select(F.col(order), F.col(line).alias("text"), m.alias("m")).select(
+        order, F.coalesce(object_, F.lit(False)).alias("readable"), "text", F.col("m.custom_id").alias("custom_id"),
+        message["content"].alias("content"), message["tool_calls"].alias("tool_calls"), F.col("m.error").alias("error"))
+    read = ["custom_id", "content", "tool_calls", "error"]           # of a damaged line nothing is trusted
+    rows = rows.withColumns({c: F.when(F.col("readable"), F.col(c)) for c in read})
+    usable = rows.filter("readable AND custom_id IS NOT NULL")
+    asked = requests.select(F.col(key).cast("string").alias("custom_id")).distinct().withColumn("_asked", F.lit(True))
+    newest = usable.groupBy("custom_id").agg(F.max(order).alias("_newest"))
+    known = usable.join(newest.join(asked, "custom_id", "left"), "custom_id").withColumn(
+        "status", F.when(F.col("_asked").isNull(), "orphan").when(F.col(order) < F.col("_newest"), "outdated").otherwise("good"))
+    rest = rows.filter("NOT (readable AND custom_id IS NOT NULL)").withColumn(
+        "status", F.when(F.col("readable"), "no_id").otherwise("unreadable"))
+    columns = [order, "custom_id", "status", "content", "tool_calls", "error"]
+    lost = F.when(F.col("status") == "unreadable", F.col("text")).alias("text")
+    return known.select(*columns, lost).unionByName(rest.select(*columns, lost))
+
+
+def good_answers(answers: DataFrame) -> DataFrame:
+    """The lines of ``answer_lines`` that answer a request, as ``ingest_responses`` reads them."""
+    return answers.filter("status = 'good'").select(F.col("custom_id").alias("record_id"), "content", "tool_calls", "error")
+
+
 def ingest_responses(records: DataFrame, lines: DataFrame) -> DataFrame:
     """O-26/O-27: response lines ``(record_id, content, tool_calls)`` meet
     their requests by key (not position).  A line with any named function

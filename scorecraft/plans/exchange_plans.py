@@ -100,3 +100,21 @@ def inference_requests(spark, sf_dir):
                       F.get_json_object(j, "$.body.messages[0].content").alias("system_content"),
                       F.get_json_object(j, "$.body.max_tokens").cast("int").alias("max_tokens"),
                       F.get_json_object(j, "$.body.model").alias("model"))
+
+
+@register("judge_lines_scored", oracle="""
+WITH j AS (SELECT concat(cast(conv_id AS VARCHAR), ':', cast(turn AS VARCHAR)) AS record_id, metric, output_type,
+                  CASE WHEN (conv_id + turn + m) % 7 IN (0, 1) THEN NULL ELSE length(text) % 8 END AS n
+           FROM conversations CROSS JOIN (VALUES ('content_similarity', 'score_1_5', 0), ('content_politeness', 'binary', 1)) x(metric, output_type, m)
+           WHERE role = 'assistant')
+SELECT record_id, metric, output_type,
+       CAST(CASE WHEN output_type = 'binary' THEN CASE WHEN coalesce(n, 0) > 0.5 THEN 1 ELSE 0 END
+                 ELSE CASE WHEN n IS NULL THEN 3 ELSE greatest(1, least(5, n)) END END AS DOUBLE) AS score
+FROM j""")
+def judge_lines_scored(spark, sf_dir):
+    """O-31, O-32: judge requests scored from a batch file whose lines may be damaged, outdated
+    or unknown; the numbers come from the turns' texts."""
+    asked = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(t).alias("output_type"))
+                      for m, t in (("content_similarity", "score_1_5"), ("content_politeness", "binary"))])
+    requests = fixture(spark, sf_dir, "answer_requests").select("record_id", F.inline(asked))
+    return X.judge_scores_from_lines(requests, fixture(spark, sf_dir, "judge_lines"))

@@ -168,7 +168,51 @@ from {conversations} c join {conversations} n on n.conv_id = c.conv_id and n.tur
 where c.role = 'user' and n.role = 'assistant'
 """
 
+# Batch answer lines (O-26): each assistant turn answers the request ``conv_id:turn`` with its
+# text.  Some lines are cut off, some name an unknown request or none, and some requests are
+# answered twice, the later line being the turn's text.
+_JSON_TEXT = "replace(replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), chr(9), concat(chr(92), 't'))"
+ANSWER_LINES = """
+with a as (select conv_id, turn, (conv_id + turn) % 7 as kind, concat(cast(conv_id as string), ':', cast(turn as string)) as id,
+                  concat('"response":{"status_code":200,"body":{"choices":[{"message":{"role":"assistant","content":"', """ + _JSON_TEXT + """, '"}}]}}}') as body
+           from {conversations} where role = 'assistant')
+select conv_id * 100000 + turn * 2 + 1 as line_no,
+       case kind when 0 then concat('{"custom_id":"', id, '",', substr(body, 1, length(body) - 9))
+                 when 1 then concat('{"custom_id":"x', id, '",', body)
+                 when 3 then concat('{', body)
+                 else concat('{"custom_id":"', id, '",', body) end as line
+from a
+union all
+select conv_id * 100000 + turn * 2 as line_no, concat('{"custom_id":"', id, '",', replace(body, '"content":"', '"content":"draft ')) as line
+from a where kind = 2
+"""
+
+# The requests that those lines answer.
+ANSWER_REQUESTS = """
+select concat(cast(conv_id as string), ':', cast(turn as string)) as record_id, conv_id, turn, text
+from {conversations} where role = 'assistant'
+"""
+
+# Judge answer lines (O-31): per assistant turn and metric a number taken from the turn's text.
+JUDGE_LINES = """
+with a as (select concat(cast(conv_id as string), ':', cast(turn as string), '|', metric) as id, conv_id, turn, m, (conv_id + turn + m) % 7 as kind,
+                  cast(length(text) % 8 as string) as number
+           from {conversations} cross join (select 'content_similarity' as metric, 0 as m union all select 'content_politeness' as metric, 1 as m) x
+           where role = 'assistant')
+select conv_id * 100000 + turn * 4 + m * 2 + 1 as line_no,
+       concat(case kind when 0 then '' else '{' end, '"custom_id":"', case kind when 1 then 'x' else '' end, id,
+              '","response":{"body":{"choices":[{"message":{"content":" ', number, ' "}}]}}}') as line
+from a
+union all
+select conv_id * 100000 + turn * 4 + m * 2 as line_no,
+       concat('{"custom_id":"', id, '","response":{"body":{"choices":[{"message":{"content":"5"}}]}}}') as line
+from a where kind = 2
+"""
+
 FIXTURES = {
+    "judge_lines": JUDGE_LINES,
+    "answer_lines": ANSWER_LINES,
+    "answer_requests": ANSWER_REQUESTS,
     "filter_args": FILTER_ARGS,
     "legacy_pairs": LEGACY_PAIRS,
     "freight_calls": FREIGHT_CALLS,

@@ -200,3 +200,29 @@ def alignment_report(spark, sf_dir):
     records = fixture(spark, sf_dir, "tool_calls").select("record_id")
     lines = fixture(spark, sf_dir, "raw_outputs").filter(F.col("error").isNull()).select("record_id")
     return T.alignment_report(records, lines)
+
+
+@register("answer_lines_quarantine", oracle="WITH l AS (" + fixture_sql("answer_lines") + """)
+, q AS (SELECT conv_id * 100000 + turn * 2 + 1 AS no, (conv_id + turn) % 7 AS kind, concat(cast(conv_id AS VARCHAR), ':', cast(turn AS VARCHAR)) AS id, text
+        FROM conversations WHERE role = 'assistant')
+, x AS (SELECT no AS line_no, id, text, kind, false AS early FROM q UNION ALL SELECT no - 1, id, concat('draft ', text), kind, true FROM q WHERE kind = 2)
+SELECT x.line_no, CASE WHEN kind IN (0, 3) THEN NULL WHEN kind = 1 THEN concat('x', id) ELSE id END AS custom_id,
+       CASE WHEN kind = 0 THEN 'unreadable' WHEN kind = 1 THEN 'orphan' WHEN kind = 3 THEN 'no_id' WHEN early THEN 'outdated' ELSE 'good' END AS status,
+       CASE WHEN kind <> 0 THEN x.text END AS content, CASE WHEN kind = 0 THEN l.line END AS text
+FROM x JOIN l USING (line_no)""")
+def answer_lines_quarantine(spark, sf_dir):
+    """O-26, O-28: what becomes of every batch answer line; the contents are table text."""
+    found = P.answer_lines(fixture(spark, sf_dir, "answer_lines"), fixture(spark, sf_dir, "answer_requests"))
+    return found.select("line_no", "custom_id", "status", "content", "text")
+
+
+@register("answers_by_request", oracle="""
+SELECT concat(cast(conv_id AS VARCHAR), ':', cast(turn AS VARCHAR)) AS record_id,
+       CASE WHEN (conv_id + turn) % 7 IN (0, 1, 3) THEN 'empty' ELSE 'content' END AS output_kind,
+       CASE WHEN (conv_id + turn) % 7 NOT IN (0, 1, 3) THEN text END AS content
+FROM conversations WHERE role = 'assistant'""")
+def answers_by_request(spark, sf_dir):
+    """O-26, O-27: each request with the answer of its one good line; no request is lost or doubled."""
+    requests = fixture(spark, sf_dir, "answer_requests")
+    good = P.good_answers(P.answer_lines(fixture(spark, sf_dir, "answer_lines"), requests))
+    return P.ingest_responses(requests.select("record_id"), good).select("record_id", "output_kind", "content")

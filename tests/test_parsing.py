@@ -98,3 +98,27 @@ def test_spark_stage(spark):
     assert got[7].raw_ok is True
     with pytest.raises(ValueError):
         P.parse_outputs(df, "xml")
+
+
+def test_answer_lines_by_status(spark):
+    """Unreadable, id-less, orphaned, outdated and good lines; each request answered at most once."""
+    from scorecraft.operators import exchange as X
+
+    def line(i, text):
+        return '{"custom_id":"%s","response":{"body":{"choices":[{"message":{"content":"%s"}}]}}}' % (i, text)
+
+    lines = [(1, line("a", "old")), (2, line("a", "new")), (3, line("zz", "?")), (4, line("b", "b")[:-3]), (5, "[1]"), (6, ""),
+             (7, None), (8, "not json"), (9, '{"response":null}'), (10, '{"custom_id":"c","error":"late"}'), (11, "  " + line("b", "kept"))]
+    df = spark.createDataFrame(lines, "line_no int, line string")
+    requests = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("d",)], "record_id string")
+    found = {r.line_no: r for r in P.answer_lines(df, requests).collect()}
+    assert {n: r.status for n, r in found.items()} == {
+        1: "outdated", 2: "good", 3: "orphan", 4: "unreadable", 5: "unreadable", 6: "unreadable", 7: "unreadable", 8: "unreadable",
+        9: "no_id", 10: "good", 11: "good"}
+    assert found[4].text == lines[3][1] and found[4].custom_id is None and found[2].text is None and found[10].error == "late"
+    out = P.ingest_responses(requests.distinct(), P.good_answers(P.answer_lines(df, requests))).collect()
+    assert sorted((r.record_id, r.output_kind, r.content) for r in out)[0] == ("a", "content", "new") and len(out) == 4
+    assert P.answer_lines(df.limit(0), requests).count() == 0
+    judged = spark.createDataFrame([("a", "m", "binary"), ("b", "m", "score_1_5")], "record_id string, metric string, output_type string")
+    answers = spark.createDataFrame([(1, line("a|m", "1")), (2, line("a|m", "0")), (3, line("b|m", "4")), (4, line("b|m", "4")[:-1])], "line_no int, line string")
+    assert sorted(map(tuple, X.judge_scores_from_lines(judged, answers).collect())) == [("a", "m", "binary", 0.0), ("b", "m", "score_1_5", 4.0)]
