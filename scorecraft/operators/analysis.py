@@ -124,6 +124,19 @@ def metric_direction_report(means: DataFrame, dim: DataFrame) -> DataFrame:
     return means.join(bounded_broadcast(dim), "metric").select("model", "metric", "direction", "ord", "mean")
 
 
+def chart_feed(means: DataFrame, dim: DataFrame) -> DataFrame:
+    """O-86/O-89: what a comparison chart of the models shows: per model the metrics of ``dim``
+    in their fixed order, with direction, mean and the normalised value."""
+    return (normalised_metrics(means).join(bounded_broadcast(dim), "metric")
+            .select("model", "metric", "direction", "ord", "mean", "normalised"))
+
+
+def model_positions(df: DataFrame) -> DataFrame:
+    """O-90 as a column: each (run_ts, model) with its place, from 0, in ``order_models``."""
+    runs = df.select("run_ts", "model").distinct()               # a row per run and model
+    return runs.withColumn("position", F.row_number().over(Window.orderBy("run_ts", "model")) - 1)
+
+
 def negative_axis_max(means: DataFrame, negative: list[str]) -> DataFrame:
     """O-88: axis bound for lower-is-better metrics: x = largest model mean;
     0 -> 0.1; below 0.1 round 1.1x up on a 0.02 grid, else on a 0.05 grid."""

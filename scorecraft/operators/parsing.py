@@ -26,6 +26,7 @@ from scorecraft.functions.arguments import is_json
 from scorecraft.functions.output_parser import KNOWN_TOOL_NAMES, clean_text, parse_text, tools_json
 from scorecraft.functions.partitioning import by_key
 from scorecraft.functions.text import py_strip
+from scorecraft.functions.windows import top_n_per_group
 
 PARSERS = ("json", "pythonic")
 TOOLS_TYPE = "array<struct<name:string,arguments:string>>"
@@ -150,6 +151,19 @@ def parse_report(parsed: DataFrame, group_cols: list[str]) -> DataFrame:
         F.avg(F.col("pred_error").isNotNull().cast("double")).alias("error_share"))
 
 
+def parse_failures(parsed: DataFrame, group_cols: list[str], n: int = 5, seed: int = 0) -> DataFrame:
+    """O-46: the rows that a look at bad answers starts from: of every (group, strategy) the
+    ``n`` error rows of smallest ``md5(record_id|seed)``, with their place (``rank``), error
+    and whole raw text.  The choice depends on ids alone, so a repeated run shows the same
+    rows.  Rows are ranked in two stages, the last over at most ``n`` rows a bucket; the texts
+    are carried only by rows that Spark's group limit leaves."""
+    key = F.md5(F.concat_ws("|", F.col("record_id").cast("string"), F.lit(str(seed))))
+    bad = (parsed.filter(F.col("pred_error").isNotNull())
+           .select(*group_cols, "parse_strategy", "record_id", "pred_error", "raw_text").withColumn("_key", key))
+    order = [F.col("_key"), F.col("record_id"), F.col("pred_error"), F.col("raw_text")]
+    return top_n_per_group(bad, [*group_cols, "parse_strategy"], order, n, "rank").drop("_key")
+
+
 _MESSAGE = ("struct<role:string,content:string,tool_calls:array<struct<type:string,"
             "function:struct<name:string,arguments:string>>>>")
 RESPONSE_LINE = (f"custom_id string, error string, "

@@ -26,6 +26,11 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
+def sql_of(name: str) -> str:
+    """The oracle SQL of a plan whose module is imported already."""
+    return _ORACLE[name]
+
+
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from scorecraft.plans import (  # noqa: F401
@@ -38,6 +43,7 @@ def _load_all() -> None:
         tool_plans,
         records_plans,
         results_plans,
+        files_plans,
     )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Settings every job here relies on.  AQE coalesces small shuffles and splits
@@ -34,3 +37,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that ``spark.checkpoint.dir`` names; only where that
+    is unset and all runs on one machine (tests) it is a scratch folder there."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="scorecraft-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
