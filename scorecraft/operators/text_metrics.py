@@ -4,16 +4,16 @@ Pairs arrive as ``(record_id, reference_text, prediction_text)``.
 - Levenshtein distance: Spark's built-in ``levenshtein`` (code points).
 - Levenshtein ratio and ROUGE-L need LCS lengths: one Arrow UDF pass
   computes the character and the token LCS of each pair (exact, whole text).
-- ROUGE-1 is relational: tokens are exploded, counted per (record, side,
-  token), the two sides joined and ``least`` summed.  All stages key on
-  ``record_id`` first so they share one hash partitioning.
-- The greedy embedding match (matching core of BERTScore) compares token
-  vectors in blocks of at most ``block`` reference tokens per row, so a very
-  long record is split instead of gathered into one row.
+- ROUGE-1 is relational: tokens are exploded and counted per (record, token) and
+  side before the shuffle, then ``least`` is summed.
+- The greedy embedding match (matching core of BERTScore) multiplies blocks of at
+  most ``block`` token positions a side, each pair of blocks by a task of its own, so a
+  very long record is spread instead of gathered.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,20 +68,14 @@ def lcs_scores(pairs: DataFrame) -> DataFrame:
 
 
 def rouge1(pairs: DataFrame) -> DataFrame:
-    """ROUGE-1 F1: clipped unigram overlap (multiset, not set)."""
-    sides = F.array(F.struct(F.lit("ref").alias("side"), rouge_tokens(F.col("reference_text")).alias("toks")),
-                    F.struct(F.lit("pred").alias("side"), rouge_tokens(F.col("prediction_text")).alias("toks")))
-    long = (pairs.select("record_id", F.inline(sides))
-            .select("record_id", "side", F.explode("toks").alias("token")))
-    long = by_key(long, "record_id")
-    counts = long.groupBy("record_id", "side", "token").agg(F.count(F.lit(1)).alias("c"))
-    ref = counts.filter(F.col("side") == "ref").select("record_id", "token", F.col("c").alias("rc"))
-    pred = counts.filter(F.col("side") == "pred").select("record_id", "token", F.col("c").alias("pc"))
-    per = (ref.join(pred, ["record_id", "token"], "full_outer")
-           .groupBy("record_id")
-           .agg(F.sum(F.least(F.coalesce("rc", F.lit(0)), F.coalesce("pc", F.lit(0)))).alias("overlap"),
-                F.sum(F.coalesce("rc", F.lit(0))).alias("n_ref"),
-                F.sum(F.coalesce("pc", F.lit(0))).alias("n_pred")))
+    """ROUGE-1 F1: clipped unigram overlap (multiset, not set).  A text's equal tokens are
+    counted where the text is read, so one row per different token is shuffled."""
+    sides = F.array(F.struct(F.lit(True).alias("ref"), rouge_tokens(F.col("reference_text")).alias("toks")),
+                    F.struct(F.lit(False).alias("ref"), rouge_tokens(F.col("prediction_text")).alias("toks")))
+    counts = (pairs.select("record_id", F.inline(sides)).select("record_id", "ref", F.explode("toks").alias("token"))
+              .groupBy("record_id", "token").agg(F.count_if("ref").alias("rc"), F.count_if(~F.col("ref")).alias("pc")))
+    per = counts.groupBy("record_id").agg(F.sum(F.least("rc", "pc")).alias("overlap"), F.sum("rc").alias("n_ref"),
+                                          F.sum("pc").alias("n_pred"))
     out = pairs.select("record_id").join(per, "record_id", "left")
     ov = F.coalesce("overlap", F.lit(0)).cast("double")
     p = ov / F.greatest(F.coalesce("n_pred", F.lit(0)), F.lit(1))
@@ -92,34 +86,81 @@ def rouge1(pairs: DataFrame) -> DataFrame:
 def _unit(vec: Column) -> Column:
     v = F.transform(vec, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.try_divide(x, norm))          # a zero vector matches nothing
+    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))   # a zero vector matches nothing
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+def _matrix(vectors) -> np.ndarray:
+    """An Arrow list column as the rows of a matrix, short ones filled up with zeros."""
+    ends = vectors.offsets.to_numpy()
+    width = np.diff(ends)
+    out = np.zeros((len(width), width.max(initial=0)))
+    out[np.arange(out.shape[1]) < width[:, None]] = vectors.values.to_numpy(zero_copy_only=False)[ends[0]: ends[-1]]
+    return out
 
 
-def _directional(src: DataFrame, dst: DataFrame, block: int) -> DataFrame:
-    """Per record: mean over ``src`` tokens of the best cosine to ``dst``."""
-    blocks = (dst.withColumn("blk", F.floor(F.col("pos") / block))
-              .groupBy("record_id", "blk").agg(F.collect_list("u").alias("us")))
-    best = (src.join(blocks, "record_id")
-            .select("record_id", "pos", F.array_max(F.transform("us", lambda d: _dot(d, F.col("u")))).alias("m"))
-            .groupBy("record_id", "pos").agg(F.max("m").alias("m")))
-    return best.groupBy("record_id").agg(F.avg("m").alias("s"))
+def _best_in_pairs(table):
+    """Per token of whole block pairs (rows of a pair adjacent, predictions first) its best
+    cosine to the other side of the pair."""
+    import pyarrow as pa
+
+    ids = np.array(table.column("record_id").to_pylist(), dtype=object)
+    blocks = np.stack([table.column(c).to_numpy() for c in ("pred_block", "ref_block")])
+    ref = table.column("side").to_numpy(zero_copy_only=False) == "ref"
+    vectors = _matrix(table.column("u").combine_chunks())
+    new = np.flatnonzero((ids[1:] != ids[:-1]) | (blocks[:, 1:] != blocks[:, :-1]).any(axis=0)) + 1
+    best = np.empty(len(ids))
+    for lo, hi in zip([0, *new], [*new, len(ids)]):
+        mid = lo + int((~ref[lo:hi]).sum())
+        cosines = vectors[lo:mid] @ vectors[mid:hi].T
+        best[lo:mid], best[mid:hi] = cosines.max(axis=1), cosines.max(axis=0)
+    return table.select(["record_id", "side", "pos"]).append_column("m", pa.array(best))
+
+
+def _best_cosines(batches):
+    """Matrix products of the block pairs of a sorted stream; the rows of a pair that goes on
+    in the next batch, at most two blocks, wait for it."""
+    import pyarrow as pa
+
+    waiting = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if waiting is None else pa.concat_tables([waiting, table])
+        ids = np.array(table.column("record_id").to_pylist(), dtype=object)
+        blocks = np.stack([table.column(c).to_numpy() for c in ("pred_block", "ref_block")])
+        last = np.flatnonzero((ids != ids[-1]) | (blocks != blocks[:, -1:]).any(axis=0)) if len(ids) else []
+        whole = int(last[-1]) + 1 if len(last) else 0
+        waiting = table.slice(whole)
+        if whole:
+            yield from _best_in_pairs(table.slice(0, whole)).to_batches()
+    if waiting is not None and len(waiting):
+        yield from _best_in_pairs(waiting).to_batches()
 
 
 def greedy_embedding_match(token_vecs: DataFrame, block: int = 256) -> DataFrame:
     """O-73: precision = mean over predicted tokens of the max cosine to any
     reference token; recall symmetric; F1 harmonic.  Input
-    ``(record_id, side 'ref'|'pred', pos, vec)``."""
-    v = token_vecs.select("record_id", "side", "pos", _unit(F.col("vec")).alias("u"))
-    ref, pred = v.filter(F.col("side") == "ref"), v.filter(F.col("side") == "pred")
-    p = _directional(pred, ref, block).withColumnRenamed("s", "score_bert_precision")
-    r = _directional(ref, pred, block).withColumnRenamed("s", "score_bert_recall")
+    ``(record_id, side 'ref'|'pred', pos, vec)``; tokens without a vector do not count.
+
+    Both sides are cut into blocks of ``block`` positions.  Every pair of a record's blocks is
+    a key of its own, so a long record spreads over tasks, and one matrix product per pair
+    serves both directions; the maxima over pairs are merged by aggregation."""
+    v = token_vecs.filter("vec IS NOT NULL").select("record_id", "side", "pos", _unit(F.col("vec")).alias("u"),
+                                                     F.coalesce(F.floor(F.col("pos") / block), F.lit(-1)).alias("block"))
+    sides = v.filter("side IN ('ref', 'pred')")
+    held = sides.groupBy("record_id").agg(*[F.collect_set(F.when(F.col("side") == s, F.col("block"))).alias(s) for s in ("pred", "ref")])
+    is_ref = F.col("side") == "ref"
+    met = (sides.join(held, "record_id").withColumn("other", F.explode(F.when(is_ref, F.col("pred")).otherwise(F.col("ref"))))
+           .select("record_id", "side", "pos", "u", F.when(is_ref, F.col("other")).otherwise(F.col("block")).alias("pred_block"),
+                   F.when(is_ref, F.col("block")).otherwise(F.col("other")).alias("ref_block")))
+    pair = ["record_id", "pred_block", "ref_block"]
+    kinds = {f.name: f.dataType.simpleString() for f in met.schema}
+    best = (by_key(met, *pair).sortWithinPartitions(*pair, "side")
+            .mapInArrow(_best_cosines, f"record_id {kinds['record_id']}, side string, pos {kinds['pos']}, m double")
+            .groupBy("record_id", "side", "pos").agg(F.max("m").alias("m")))
+    means = best.groupBy("record_id").agg(F.avg(F.when(F.col("side") == "pred", F.col("m"))).alias("score_bert_precision"),
+                                          F.avg(F.when(F.col("side") == "ref", F.col("m"))).alias("score_bert_recall"))
     # A record with tokens on one side only has nothing to match: 0.
-    ids = v.select("record_id").distinct()
-    out = ids.join(p, "record_id", "left").join(r, "record_id", "left").na.fill(
+    out = token_vecs.select("record_id").distinct().join(means, "record_id", "left").na.fill(
         0.0, ["score_bert_precision", "score_bert_recall"])
     return out.withColumn("score_bert_f1", _f1(F.col("score_bert_precision"), F.col("score_bert_recall")))
 

@@ -113,3 +113,47 @@ def test_unknown_family_raises(spark):
         X.content_scores(df, ["rouge", "nope"])
     out = X.content_scores(df, ["rouge"]).collect()[0]
     assert out.score_rouge1 == 0.0
+
+
+def test_embedding_match_by_brute_force_over_many_blocks_and_batches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    tokens = {}
+    for record, n_ref, n_pred in (("a", 40, 7), ("b", 1, 1), ("c", 13, 30), ("only ref", 4, 0)):
+        tokens[record] = {"ref": rng.normal(size=(n_ref, 6)), "pred": rng.normal(size=(n_pred, 6))}
+    tokens["a"]["ref"][3] = 0                                    # a zero vector matches nothing
+    rows = [(r, side, i, x.tolist()) for r, t in tokens.items() for side, xs in t.items() for i, x in enumerate(xs)]
+    rows += [("a", "pred", 100, None), ("none", "ref", 0, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(str(r), str(s), int(i), v) for r, s, i, v in rows], "record_id string, side string, pos int, vec array<double>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = {r.record_id: r for block in (4,) for r in X.greedy_embedding_match(df.repartition(5), block).collect()}
+        whole = {r.record_id: r for r in X.greedy_embedding_match(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert set(got) == set(whole) == {*tokens, "none"}
+    for record, t in tokens.items():
+        p = r = 0.0
+        if len(t["pred"]):
+            unit = {k: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1) for k, x in t.items()}
+            cosines = unit["pred"] @ unit["ref"].T
+            p, r = cosines.max(axis=1).mean(), cosines.max(axis=0).mean()
+        for x in (got[record], whole[record]):
+            assert abs(x.score_bert_precision - p) < 1e-12 and abs(x.score_bert_recall - r) < 1e-12
+    assert got["none"].score_bert_f1 == 0.0
+
+
+def test_rouge1_by_counters(spark):
+    from collections import Counter
+
+    pairs = [(0, "la la la", "la la"), (1, "", "x"), (2, "a b c", "c b a d"), (3, None, "a"), (4, "z", "z"), (5, "q", "")]
+    got = {r.record_id: r.score_rouge1 for r in X.rouge1(spark.createDataFrame(
+        pairs, "record_id int, reference_text string, prediction_text string")).collect()}
+    for i, ref, pred in pairs:
+        a, b = Counter((ref or "").split()), Counter((pred or "").split())
+        both = sum((a & b).values())
+        p, r = both / max(1, sum(b.values())), both / max(1, sum(a.values()))
+        assert abs(got[i] - (2 * p * r / (p + r) if p + r else 0.0)) < 1e-12
