@@ -10,12 +10,13 @@ merge and new neighbours join the agenda.  So every occurrence of a unit has
 coins of its own, but every run repeats itself exactly; rate 0 gives the model's
 own segmentation.
 
-An agenda only depends on the coins of the candidates it meets.  A slice's
-distinct units are first worked on without coins; an occurrence that skips none
+An agenda only depends on the coins of the candidates it meets.  Distinct
+units are first worked on without coins; an occurrence that skips none
 of the candidates met there has that segmentation.  The others are grouped by
 unit and skipped candidates, one of each group runs its agenda with its own
 coins, and those that agree with it on every candidate met share the result;
-what is left is grouped anew.  Agendas of a round advance together, one
+what is left is grouped anew.  A task keeps these results for its next slices
+(``Book``).  Agendas of a round advance together, one
 step at a time (``_agendas``); long units and those with byte pieces use a heap
 (``unit``).  Both take the same steps.  Characters outside
 the vocabulary, and literal U+2581, become byte pieces, so decoding restores
@@ -41,6 +42,7 @@ RATE = 0.1
 SEED = 17
 SLICE = 4 << 20
 CHUNK = 1 << 15               # units whose agendas advance together, or whose coins are thrown together
+BOOK = 1 << 23                # candidates that a task's book of segmentations holds between slices (64 MB)
 LONG = 48                     # characters beyond which a unit uses the heap
 SPACE = "\u2581"
 NEVER = np.int32(1 << 30)     # rank of a pair that does not merge
@@ -92,11 +94,113 @@ def number_of(doc_id) -> int:
     return doc_id % (1 << 64) if isinstance(doc_id, int) else xxhash.xxh3_64_intdigest(str(doc_id))
 
 
+class Merges:
+    """Piece made by two symbols: a table of pair keys, each at the first free place from its
+    hash on, with at least four times as many places as pairs."""
+
+    def __init__(self, keys, pieces):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.last = U64(64 - bits), (1 << bits) - 1
+        self.key, self.piece = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = self.key[at] < 0
+            places, first = np.unique(at[free], return_index=True)
+            chosen = np.flatnonzero(free)[first]
+            self.key[places], self.piece[places] = keys[left[chosen]], pieces[left[chosen]]
+            rest = np.ones(len(left), bool)
+            rest[chosen] = False
+            left, at = left[rest], (at[rest] + 1) & self.last
+
+    def _place(self, keys):
+        return ((keys.astype(U64) * BASE) >> self.shift).astype(np.int64)
+
+    def find(self, wanted):
+        """(piece, whether there is one) of pair keys, which are not negative."""
+        at = self._place(wanted)
+        key = self.key[at]
+        piece, ok = self.piece[at], key == wanted
+        i = np.nonzero((key >= 0) & ~ok)
+        while len(i[0]):
+            next_ = (at[i] + 1) & self.last
+            at[i] = next_
+            hit = self.key[next_] == wanted[i]
+            piece[i], ok[i] = self.piece[next_], hit
+            more = (self.key[next_] >= 0) & ~hit
+            i = tuple(x[more] for x in i)
+        return piece, ok
+
+
+class Growing:
+    """An array that is appended to."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1 << 12, kind), 0
+
+    def append(self, values) -> None:
+        if self.n + len(values) > len(self.held):
+            wider = np.zeros(max(2 * len(self.held), self.n + len(values)), self.held.dtype)
+            wider[: self.n] = self.held[: self.n]
+            self.held = wider
+        self.held[self.n: self.n + len(values)] = values
+        self.n += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+class Book:
+    """Segmentations made by a task, for the slices to come.  An entry has the pieces of a
+    unit, the candidates met on the way and the sum of the names of those skipped; it holds for
+    every occurrence whose coins skip just these.  A book beyond ``most`` candidates is begun
+    anew between slices: the pieces stay the same, they are made again."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._begin()
+
+    def _begin(self) -> None:
+        self.states, self.entries = np.zeros(0, U64), np.zeros(0, np.int64)   # sorted by state
+        self.flat, self.names = Growing(np.int32), Growing(U64)
+        self.begin = self.size = self.first = self.count = np.zeros(0, np.int64)
+        self.skipped = np.zeros(0, U64)
+
+    def room(self) -> None:
+        if self.names.n > self.most:
+            self._begin()
+
+    def met(self):
+        return self.names.all(), self.first, self.count
+
+    def find(self, states):
+        """(entry of each of the sorted ``states``, -1 where it has none; places of those)."""
+        if not len(self.states):
+            return np.full(len(states), -1), np.arange(len(states))
+        at = np.minimum(np.searchsorted(self.states, states), len(self.states) - 1)
+        entry = np.where(self.states[at] == states, self.entries[at], -1)
+        return entry, np.flatnonzero(entry < 0)
+
+    def add(self, states, entry, new, made, skipped):
+        """``entry`` with the entries of the new states, which are made of ``_pieces_of``'s result."""
+        (flat, begin, size), (names, first, count) = made
+        entry = entry.copy()
+        entry[new] = len(self.begin) + np.arange(len(new))
+        at = np.searchsorted(self.states, states[new])
+        self.states, self.entries = np.insert(self.states, at, states[new]), np.insert(self.entries, at, entry[new])
+        self.begin, self.size = np.r_[self.begin, begin + self.flat.n], np.r_[self.size, size]
+        self.first, self.count = np.r_[self.first, first + self.names.n], np.r_[self.count, count]
+        self.skipped = np.r_[self.skipped, skipped]
+        self.flat.append(flat)
+        self.names.append(names)
+        return entry
+
+
 class Coder:
     """Encoder and decoder for one task."""
 
-    def __init__(self, vocab: dict, rate: float = RATE, seed: int = SEED):
+    def __init__(self, vocab: dict, rate: float = RATE, seed: int = SEED, book: int = BOOK):
         vars(self).update(vocab)
+        self.book, self.pairs = Book(book), Merges(self.keys, self.merged)
         self.index = {n: i for i, n in enumerate(self.names)}
         self.limit, self.seed, self.powers = U64(int(rate * (1 << 32))), seed, Powers()
         self.units = re.compile(f" *[^ {LONE}]+| +|[{LONE}]")
@@ -142,9 +246,7 @@ class Coder:
             if not pairs:
                 return
             wanted = np.array([symbols[i] * width + symbols[after[i]] for i in pairs], np.int64)
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            piece = self.merged[at]
-            ok = self.keys[at] == wanted
+            piece, ok = self.pairs.find(wanted)
             names = self.candidate(np.array(pairs), piece)
             if met is not None:
                 met.append(names[ok])
@@ -176,13 +278,12 @@ class Coder:
     def _pairs(self, key, left, right, at, rows, met):
         """(rank, piece) of candidate pairs; ``NEVER`` where nothing merges or the coin says
         skip.  (rows, candidates) are added to ``met``."""
-        wanted = left.astype(np.int64) * len(self.names) + right
-        hit = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        piece = self.merged[hit]
-        ok = (left >= 0) & (right >= 0) & (self.keys[hit] == wanted)
-        rank = np.full(wanted.shape, NEVER, np.int32)
+        both = (left >= 0) & (right >= 0)
+        piece, ok = self.pairs.find(np.where(both, left.astype(np.int64) * len(self.names) + right, 0))
+        ok &= both
+        rank = np.full(ok.shape, NEVER, np.int32)
         names = self.candidate(at[ok], piece[ok])
-        rows = np.broadcast_to(rows, wanted.shape)[ok]
+        rows = np.broadcast_to(rows, ok.shape)[ok]
         met.append((rows, names))
         rank[ok] = self.rank[piece[ok]]
         if key is not None:
@@ -199,24 +300,25 @@ class Coder:
         rank, piece = self._pairs(key, s[:, :-1], s[:, 1:], at[:, :-1], rows[:, None], met)
         while len(rows):
             best = rank.argmin(axis=1)
-            me = np.arange(len(rows))
-            go = rank[me, best] < NEVER
+            go = rank[np.arange(len(rows)), best] < NEVER
             done[rows[~go], : s.shape[1]] = s[~go]
             done[rows[~go], s.shape[1]:] = -1
-            rows, s, at, rank, piece, best = (x[go] for x in (rows, s, at, rank, piece, best))
+            me = np.flatnonzero(go)
+            rows, best = rows[me], best[me]
             if not len(rows):
                 break
-            me = np.arange(len(rows))
-            s[me, best] = piece[me, best]
             wide = s.shape[1]
-            take = np.arange(wide - 1)[None, :] + (np.arange(wide - 1)[None, :] > best[:, None])
-            s, at = np.take_along_axis(s, take, 1), np.take_along_axis(at, take, 1)
+            s[me, best] = piece[me, best]
+            place = np.arange(wide - 1)[None, :]
+            take = (me * wide)[:, None] + place + (place > best[:, None])
+            s, at = s.take(take), at.take(take)
             if wide == 2:
                 done[rows, :1], done[rows, 1:] = s, -1
                 break
             # Of the pairs, the merged one goes; its neighbours are looked up again.
-            take = np.arange(wide - 2)[None, :] + (np.arange(wide - 2)[None, :] >= best[:, None])
-            rank, piece = np.take_along_axis(rank, take, 1), np.take_along_axis(piece, take, 1)
+            place = place[:, : wide - 2]
+            take = (me * (wide - 1))[:, None] + place + (place >= best[:, None])
+            rank, piece = rank.take(take), piece.take(take)
             for side in (best - 1, best):
                 ok = np.flatnonzero((side >= 0) & (side < wide - 2))
                 c = side[ok]
@@ -292,24 +394,29 @@ class Coder:
             a, n = c_first[of], c_size[of]
             return self._pieces_of(symbols, a, n, lambda i: text[a[i]: a[i] + n[i]], keys)
 
-        # Rounds: each occurrence belongs to a group, one of which is segmented.
-        _, sample, group = np.unique(unit_hash, return_index=True, return_inverse=True)
-        found, met = pieces(sample, None)
-        flats, begin, size = [found[0]], found[1][group], found[2][group]
-        open_, skipped, made = np.arange(len(start)), np.zeros(len(sample), U64), len(found[0])
-        while self.limit:
-            own = self._coins(key[open_], group, met)
-            other = own != skipped[group]
-            open_, own, group = open_[other], own[other], group[other]
-            if not len(open_):
+        # Rounds: an occurrence's state names an entry of the book; where its coins skip other
+        # candidates than the entry did, its state goes on to an entry that knows these.
+        self.book.room()
+        state, open_ = unit_hash, np.arange(len(start))
+        begin, size = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        plain = True
+        while len(open_):
+            names, sample, group = np.unique(state, return_index=True, return_inverse=True)
+            entry, new = self.book.find(names)
+            if len(new):
+                of = open_[sample[new]]
+                made = pieces(of, None if plain else key[of])
+                skipped = np.zeros(len(new), U64) if plain else self._coins(key[of], np.arange(len(new)), made[1])
+                entry = self.book.add(names, entry, new, made, skipped)
+            entry = entry[group]
+            begin[open_], size[open_] = self.book.begin[entry], self.book.size[entry]
+            if not self.limit:
                 break
-            _, sample, group = np.unique(mix(own ^ mix(group.astype(U64) * BASE)), return_index=True, return_inverse=True)
-            found, met = pieces(open_[sample], key[open_[sample]])
-            skipped = self._coins(key[open_[sample]], np.arange(len(sample)), met)
-            begin[open_], size[open_] = found[1][group] + made, found[2][group]
-            flats.append(found[0])
-            made += len(found[0])
-        flat = np.concatenate(flats)
+            own = self._coins(key[open_], entry, self.book.met())
+            other = own != self.book.skipped[entry]
+            open_, own, state, plain = open_[other], own[other], state[other], False
+            state = mix(own ^ mix(state * BASE))
+        flat = self.book.flat.all()
         total = np.cumsum(size)
         ids = flat[np.repeat(begin - (total - size), size) + np.arange(int(total[-1]))]
         return ids, np.r_[0, np.cumsum(np.bincount(doc, weights=size, minlength=n_docs).astype(np.int64))]

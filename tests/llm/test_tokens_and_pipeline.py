@@ -182,3 +182,32 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             frame.write.parquet(path)
             frame = spark.read.parquet(path)
         assert "pieces" in frame.columns
+
+
+def test_book_of_segmentations_changes_no_piece():
+    import numpy as np
+
+    vocab = M.vocabulary()
+    words = "internationalization banana la the several segmentations of ordinary words \u00e9t\u00e9".split()
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(12)]
+    kept, fresh = M.Coder(vocab, 0.3), M.Coder(vocab, 0.3, book=0)
+    for i, t in enumerate(texts):
+        ids = kept.encode(t, i)
+        assert ids == fresh.encode(t, i) == M.Coder(vocab, 0.3).encode(t, i) and kept.decode(ids) == t
+    assert kept.encode_by_heap(texts[0], 0) == kept.encode(texts[0], 0)
+    assert kept.book.names.n > fresh.book.names.n            # the one remembers, the other began anew
+    assert kept.encode("", 1) == [] and kept.encode(texts[3], 3) == fresh.encode(texts[3], 3)
+
+
+def test_pair_table_finds_each_merge_and_no_other():
+    import numpy as np
+
+    vocab = M.vocabulary()
+    table = M.Merges(vocab["keys"], vocab["merged"])
+    piece, ok = table.find(vocab["keys"])
+    assert ok.all() and (piece == vocab["merged"]).all()
+    others = np.random.default_rng(1).integers(0, len(vocab["names"]) ** 2, 50_000)
+    piece, ok = table.find(others.reshape(100, 500))
+    assert (ok.ravel() == np.isin(others, vocab["keys"])).all()
+    assert not M.Merges(vocab["keys"][:0], vocab["merged"][:0]).find(others)[1].any()
