@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorecraft.functions.arguments import flatten_arguments
+from scorecraft.functions.partitioning import bounded_broadcast
 
 
 def argument_values(calls: DataFrame) -> DataFrame:
@@ -40,10 +41,12 @@ def argument_values(calls: DataFrame) -> DataFrame:
 
 
 def check_values(values: DataFrame, param_enum: DataFrame) -> DataFrame:
-    """Governed values with ``ok`` = allowed by an applicable rule."""
+    """Governed values with ``ok`` = allowed by an applicable rule.  The vocabulary is what is
+    broadcast, by a hint: Spark does not know its size and would else send the values of a
+    compressed table through the driver."""
     applies = F.filter("rules", lambda r: F.forall(
         F.map_entries(r["conditions"]), lambda c: F.coalesce(F.col("context")[c["key"]] == c["value"], F.lit(False))))
-    return (values.join(param_enum, ["tool", "param"]).withColumn("rules", applies).filter(F.size("rules") > 0)
+    return (values.join(bounded_broadcast(param_enum), ["tool", "param"]).withColumn("rules", applies).filter(F.size("rules") > 0)
             .withColumn("ok", F.exists("rules", lambda r: F.coalesce(F.array_contains(r["allowed"], F.col("value")), F.lit(False))))
             .drop("rules", "context"))
 
