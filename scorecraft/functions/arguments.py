@@ -85,19 +85,23 @@ def is_json(texts: pa.Array) -> pa.Array:
 
 
 def flatten_arguments(calls: DataFrame, keep: list[str], args_col: str = "arguments",
-                      partition_by: str | None = None, call_rows: bool = False) -> DataFrame:
+                      partition_by: str | None = None, call_rows: bool = False, gather: str | None = None) -> DataFrame:
     """One row per leaf argument of each call.
 
     ``keep`` columns are carried through.  Output adds ``key, base_key,
     type_tag, str_val, num_val``.  With ``partition_by`` the calls are
     hash-partitioned on that key first, as the consumers aggregate by it.  With
     ``call_rows`` every call also yields one marker row with NULL ``key``, so
-    calls without arguments stay visible downstream.
+    calls without arguments stay visible downstream.  A Python stage gives up the
+    partitioning: with ``gather`` the calls, leaves still nested, are
+    hash-partitioned on that key after it, so that no consumer shuffles leaf rows.
     """
     if partition_by is not None:
         calls = by_key(calls, partition_by)
     # The leaves become a column of their own, so that the UDF runs once per call.
     found = calls.select(*keep, argument_leaves(F.col(args_col)).alias("_leaves"))
+    if gather is not None:
+        found = by_key(found, gather)
     leaves = F.coalesce(F.col("_leaves"), F.array().cast(LEAVES))
     if call_rows:
         marker = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("type_tag"),

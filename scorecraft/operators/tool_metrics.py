@@ -198,7 +198,7 @@ def tool_scores_wide(items: DataFrame, calls: DataFrame, tools: DataFrame, param
     if unknown:
         raise ValueError(f"unknown tool metrics: {unknown}")
     if any(m.startswith("variable_") or m == "exact_match" for m in wanted):
-        out = tool_scores_onepass(items, calls, tools, params)
+        out = tool_scores_onepass(items, calls, tools, params, wanted)
     else:
         if "pred_tools" in items.columns:
             calls = scoring_rows(items, calls).filter("side <> 'item'").drop("item")
@@ -239,12 +239,9 @@ def _leaf_match(g, p):
         .otherwise(F.lit(False)), F.lit(False))
 
 
-ITEM_COLUMNS = ["gt_type", "pred_type", "raw_text", "raw_ok"]
-
-
 def _item_struct(items: DataFrame):
-    kinds = {"raw_ok": "boolean"}
-    return F.struct(*[(F.col(c) if c in items.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in ITEM_COLUMNS])
+    """What the record's row says of itself: types and the scores that follow from the item alone."""
+    return F.struct(*[F.col(c).cast("string").alias(c) for c in ("gt_type", "pred_type")], *_item_score_columns(items.columns))
 
 
 def scoring_rows(items: DataFrame, calls: DataFrame) -> DataFrame:
@@ -265,34 +262,60 @@ def scoring_rows(items: DataFrame, calls: DataFrame) -> DataFrame:
                             allowMissingColumns=True)
 
 
-def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, params: DataFrame) -> DataFrame:
-    """O-55..O-68 in one pass: the same values as the per-metric operators.
-
-    Items and calls are one stream, hash-partitioned on ``record_id`` once; catalogue flags
-    come from broadcast joins and arguments are flattened once, with a marker row per call.
-    Truth and predicted leaves then meet by key: once under the call's name (last call of a
-    name: the variable metrics) and once under its rank (exact match).  All three levels of
-    grouping -- (record, call, key), (record, call), record -- start with ``record_id``, so none
-    shuffles, and the work is linear (sorting aside) in the leaves of a record."""
-    prepared = prepare_calls(scoring_rows(items, calls))
+def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, params: DataFrame,
+                        metrics: list[str] | None = None) -> DataFrame:
+    """O-55..O-68 in one pass: the same values as the per-metric operators.  The scores of
+    ``metrics`` (all by default) hold; others may not.
+
+    Items and calls are one stream, hash-partitioned on ``record_id`` and ranked; only the calls
+    of records with tool calls on both sides, the others having no call scores, are flattened.
+    Catalogue flags come from broadcast joins, each call has a marker row besides its leaves.
+    Python stages lose the partitioning, so calls and their nested leaves are partitioned on
+    ``record_id`` again.  Truth and predicted leaves then meet by key: under the call's name
+    (last call of a name: the variable metrics), under its rank (exact match), or once for
+    both where a side has one call and the names agree.  All three levels of grouping --
+    (record, call, key), (record, call), record -- start with ``record_id``, so none shuffles, and
+    the work is linear (sorting aside) in the leaves of a record."""
+    wanted = METRICS if metrics is None else metrics
+    use_rank = "exact_match" in wanted
+    use_name = any(m.startswith(("tool_", "variable_")) for m in wanted)
+    is_item, is_gt, is_pred = (F.col("side") == x for x in ("item", "gt", "pred"))
+    of_record = Window.partitionBy("record_id")              # in the order of the ranks: no further sort
+    call_name = F.when(~is_item, F.col("name"))
+    prepared = (prepare_calls(scoring_rows(items, calls)).withColumns({
+        "n_gt": F.count_if(is_gt).over(of_record), "n_pred": F.count_if(is_pred).over(of_record),
+        "one_name": F.min(call_name).over(of_record) == F.max(call_name).over(of_record),
+        "scored": F.max((F.col("item.gt_type") == "tool") & (F.col("item.pred_type") == "tool")).over(of_record)})
+        .filter(is_item | F.col("scored"))
+        .withColumn("single", F.col("one_name") & (F.col("n_gt") <= 1) & (F.col("n_pred") <= 1))
+        .withColumn("item", F.when(is_item, F.struct("item.*", "n_gt", "n_pred"))))
     cat = bounded_broadcast(tools.select("name", F.lit(True).alias("in_cat")).distinct())
     valid = bounded_broadcast(params.filter(~F.col("param").isin(*IGNORED_PARAMS))
                         .select(F.col("tool").alias("name"), F.col("param").alias("base_key"),
                                 F.lit(True).alias("valid")).distinct())
-    keep = [*CALL_KEEP, "in_cat", "item"]
-    rows = flatten_arguments(prepared.join(cat, "name", "left"), keep, call_rows=True).join(valid, ["name", "base_key"], "left")
-    is_gt, is_pred = F.col("side") == "gt", F.col("side") == "pred"
+    keep = ["record_id", "side", "name", "rank", "is_last", "single", "in_cat", "item"]
+    rows = flatten_arguments(prepared.join(cat, "name", "left"), keep, call_rows=True, gather="record_id").join(
+        valid, ["name", "base_key"], "left")
     leaf = F.struct(F.coalesce("valid", F.lit(False)).alias("valid"),
                     F.when(F.col("type_tag").isin("str", "list", "invalid"), "text")
                     .when(F.col("type_tag").isin("num", "bool"), "num")
                     .when(F.col("type_tag") == "null", "null").otherwise("other").alias("cls"),
                     F.lower(F.col("str_val")).alias("ls"), F.col("num_val").alias("n"))
+
+    def place(by: str, call):
+        return F.struct(F.lit(by).alias("by"), call.alias("call"))
+
     # A call's rows under its name (if it is the last of it) and under its rank; an item's row once.
-    by_name = F.struct(F.lit("name").alias("by"), F.col("name").alias("call"))
-    by_rank = F.struct(F.lit("rank").alias("by"), F.col("rank").cast("string").alias("call"))
-    places = (F.when(F.col("side") == "item", F.array(F.struct(F.lit("item").alias("by"), F.lit("").alias("call"))))
-              .when(F.col("is_last"), F.array(by_name, by_rank)).otherwise(F.array(by_rank)))
-    placed = rows.select("record_id", F.explode(places).alias("place"), "key", "side", "name", "in_cat", "item", leaf.alias("leaf"))
+    by_name, by_rank = place("name", F.col("name")), place("rank", F.col("rank").cast("string"))
+    item_place = F.array(place("item", F.lit("")))
+    ranks = F.array(by_rank) if use_rank else F.array().cast("array<struct<by:string,call:string>>")
+    places = F.when(is_item, item_place)
+    if use_name and use_rank:
+        places = places.when(F.col("single"), F.array(place("both", F.col("name")))).when(F.col("is_last"), F.array(by_name, by_rank))
+    elif use_name:
+        places = places.when(F.col("is_last"), F.array(by_name))
+    placed = rows.select("record_id", F.explode(places.otherwise(ranks)).alias("place"), "key", "side", "name", "in_cat", "item",
+                         leaf.alias("leaf"))
     is_leaf = F.col("key").isNotNull()
     by_key_ = placed.groupBy("record_id", "place.by", "place.call", "key").agg(
         F.collect_list(F.when(is_leaf & is_gt, F.col("leaf"))).alias("g"),
@@ -316,13 +339,12 @@ def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, pa
         *[F.sum(x).alias(x) for x in ("n_keys", "k", "c", "h", "a", "bad")],
         F.max("gt_name").alias("gt_name"), F.max("pred_name").alias("pred_name"), F.max("in_cat").alias("in_cat"),
         F.first("item", ignorenulls=True).alias("item"))
-    named, ranked = F.col("by") == "name", F.col("by") == "rank"
+    named, ranked = F.col("by").isin("name", "both"), F.col("by").isin("rank", "both")
     in_gt, in_pred = F.col("gt_name").isNotNull(), F.col("pred_name").isNotNull()
     both = named & in_gt & in_pred
     share = {x: F.sum(F.when(both, F.try_divide(F.col(x).cast("double"), F.col("n_keys").cast("double")))).alias(x) for x in "kcha"}
     record = by_call.groupBy("record_id").agg(
         F.first("item", ignorenulls=True).alias("item"),
-        F.count_if(ranked & in_gt).alias("n_gt"), F.count_if(ranked & in_pred).alias("n_pred"),
         F.count_if(both).alias("n_both"), F.count_if(named & in_pred & ~F.col("in_cat")).alias("n_unknown"),
         F.count_if(named & in_pred & F.col("in_cat") & ~in_gt).alias("n_more"),
         F.count_if(both & (F.col("n_keys") == 0)).alias("undefined"), *share.values(),
@@ -342,7 +364,8 @@ def tool_scores_onepass(items: DataFrame, calls: DataFrame, tools: DataFrame, pa
               "variable_correct_rate": var_rate("c"), "variable_hallucination_rate": var_rate("h"),
               "variable_additional_rate": var_rate("a"), "exact_match": F.when(exact, 1.0).otherwise(0.0)}
     both_tool = (F.col("gt_type") == "tool") & (F.col("pred_type") == "tool")
-    return out.select("record_id", "gt_type", "pred_type", *_item_score_columns(out.columns),
+    from_item = [f"score_{m}" for m in ("when2call", "schema_reliability_raw", "schema_reliability_processed")]
+    return out.select("record_id", "gt_type", "pred_type", *from_item,
                       *[F.when(both_tool, v).alias(f"score_{m}") for m, v in scores.items()])
 
 

@@ -184,3 +184,44 @@ def test_onepass_equals_per_metric_operators(spark):
         for r in part.collect():
             for c in part.columns[1:]:
                 assert wide[r.record_id][c] == r[c], (c, r.record_id)
+
+
+def test_calls_meet_after_one_shuffle(spark):
+    """Nothing is dealt by the keys or calls of a record, only by the record."""
+    import re
+    it, calls, tools, params = setup(spark, [(1, "tool", "tool")], [(1, "gt", 0, "pie", "{}")])
+    plan = T.tool_scores_wide(it, calls, tools, params)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(record_id#\d+L?, (\S+?),? ", plan)
+    assert dealt and all(n.rstrip(",)").isdigit() for n in dealt)
+
+
+def test_chosen_metrics_equal_all(spark):
+    """Records with one call a side, several, repeated names, other types, and none at all."""
+    items = [(i, "tool", "tool") for i in range(1, 6)] + [(6, "tool", "nlp"), (7, "nlp", "tool"), (8, "tool", "tool")]
+    one, two = '{"limit":1,"data_source":{"x":"a"}}', '{"limit":2,"odd":true,"data_source":{"x":"A"}}'
+    calls = [(i, "gt", 0, "pie", one) for i in range(1, 8)] + [
+        (1, "pred", 0, "pie", one), (2, "pred", 0, "line", one), (3, "pred", 0, "pie", two), (3, "pred", 1, "pie", one),
+        (4, "pred", 0, "pie", two), (4, "pred", 1, "map", one), (4, "gt", 1, "line", two), (6, "pred", 0, "pie", one)]
+    it, c, tools, params = setup(spark, items, calls)
+    every = {r.record_id: r for r in T.tool_scores_wide(it, c, tools, params).collect()}
+    assert len(every) == 8
+    assert [every[i].score_exact_match for i in range(1, 9)] == [1.0, 0.0, 0.0, 0.0, 0.0, None, None, 1.0]
+    assert [every[i].score_tool_hallucination_rate for i in (1, 4)] == [0.0, 0.5]
+    for part in (T.tool_pickup(it, c, tools), T.variable_metrics(it, c, params), T.exact_match(it, c)):
+        for r in part.collect():
+            assert all(every[r.record_id][k] == r[k] for k in part.columns)
+    for chosen in (["exact_match"], ["variable_pickup_rate", "tool_pick_up_rate"], ["when2call", "variable_correct_rate", "exact_match"]):
+        for r in T.tool_scores_wide(it, c, tools, params, chosen).collect():
+            assert all(every[r.record_id][f"score_{m}"] == r[f"score_{m}"] for m in chosen)
+
+
+def test_vocabulary_is_broadcast_not_the_values(spark):
+    from scorecraft.operators import domain as D
+    from scorecraft.plans.catalogs import FREIGHT_CATALOG
+    from scorecraft.sources.catalog import param_enum_dim
+    calls = spark.range(40).selectExpr("id as record_id", "0 as ordinal", "'quote_freight' as name",
+                                       """concat('{"mode":"', if(id % 4 = 0, 'rail', 'sea'), '"}') as arguments""")
+    found = D.arg_domain_violations(calls, param_enum_dim(catalog_documents(spark, text=FREIGHT_CATALOG)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert [tuple(r) for r in found.collect()] == [("quote_freight", "mode", 40, 10)]
