@@ -39,9 +39,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lower_ascii, mix, per_row, runs, salts, windows
+from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lean, lower_ascii, mix, per_row, runs, salts, windows
 from scorecraft.llm.components import components
-from scorecraft.llm.hot import join_counted
 from scorecraft.llm.storage import cut, hold, let_go
 from scorecraft.llm.stored import NO_ID, row_key, stored_texts, unpacked
 
@@ -49,6 +48,7 @@ WORDS = 3
 SMALL = 40                    # shingles up to which a set is indexed by single shingles
 NEAR = 90                     # linked: 100 * intersection >= NEAR * union
 REGION_DOCS, REGION_SHINGLES = 16_384, 6_000_000
+RANGES = 16                   # of hash values in which a region's sets are compared; a power of two
 CELL = 512                    # documents of a cell that are compared directly
 PIVOTS = 16                   # of a region that is split on Spark
 SHRUNK, SPREAD = 0.75, 4       # a split counts if no cell holds more than this share, all cells no more than this many times
@@ -169,7 +169,7 @@ def _sets(stored: DataFrame, words: int, near: int, seed: int) -> DataFrame:
                     ["k", "id", "n", "key1", "key2", "sigs", "near", "short"])
 
     return stored.select("k", "id", "z").mapInArrow(
-        run, "k long, id long, n long, key1 long, key2 long, sigs array<long>, near array<long>, short boolean")
+        lean(run), "k long, id long, n long, key1 long, key2 long, sigs array<long>, near array<long>, short boolean")
 
 
 def intersections(a: list, b: list):
@@ -206,14 +206,23 @@ def distances(a: list, b: list, size_a=None, size_b=None):
 
 
 def shared_parts(sets: list) -> list:
-    """The sets without the elements that one set alone holds."""
+    """The sets without the elements that one set alone holds.  The hashes are compared in
+    ``RANGES`` ranges of values, one after the other, so that a region needs little more
+    memory than its elements; the new names keep the order of the hashes."""
     if not sets:
         return []
-    size = np.array([len(s) for s in sets])
-    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = count[which] > 1
-    owner = np.repeat(np.arange(len(sets)), size)[keep]
-    return np.split(which[keep].astype(np.int64), np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
+    every, size = np.concatenate(sets), [len(s) for s in sets]
+    name, used = np.full(len(every), -1, np.int32), 0
+    part = (every >> U64(64 - RANGES.bit_length() + 1)).astype(np.uint8)
+    for i in range(RANGES):
+        at = np.flatnonzero(part == i)
+        _, which, count = np.unique(every[at], return_inverse=True, return_counts=True)
+        keep = count[which] > 1
+        name[at[keep]] = which[keep] + used
+        used += len(count)
+    keep = name >= 0
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)[keep]
+    return np.split(name[keep].astype(np.int64), np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
 
 
 class Union:
@@ -332,7 +341,7 @@ def _local_links(members: DataFrame, words: int, near: int) -> DataFrame:
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (members.select("region", "k", "z").repartition(n, "region").sortWithinPartitions("region")
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(lean(run), "a long, b long"))
 
 
 def _voronoi(members: DataFrame, seed: int, words: int, near: int) -> DataFrame:
@@ -375,7 +384,7 @@ def _voronoi(members: DataFrame, seed: int, words: int, near: int) -> DataFrame:
                         ["region", "k", "n", "z", "parent"])
 
     return (members.join(pivots, "region").select("region", "k", "n", "z", "pivots")
-            .mapInArrow(run, "region string, k long, n long, z binary, parent string"))
+            .mapInArrow(lean(run), "region string, k long, n long, z binary, parent string"))
 
 
 def _blocks(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
@@ -430,8 +439,8 @@ def linked_sets(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs
         seed += 1
     classes = hold(sets.filter("n > 0").groupBy(*KEYS).agg(F.min("k").alias("rep"), F.min("id").alias("low")))
     parts = sets.select(F.col("key1").alias("a"), F.explode("sigs").alias("sig"))
-    first = hold(parts.groupBy("sig").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1"))
-    met = join_counted(parts, first, ["sig"], first.agg(F.sum("n")).first()[0] or 0).select("a", "b")
+    # Nearly all parts are alone, so nothing is counted before the shuffle; the parts move once.
+    met = parts.select("a", F.min("a").over(Window.partitionBy("sig")).alias("b"))
     edges = met.unionByName(sets.select(F.col("key1").alias("a"), F.explode(F.array_distinct("near")).alias("b")))
     regions = components(edges.filter("a <> b"))
     inside = (classes.join(regions.withColumnRenamed("node", "key1"), "key1")

@@ -35,7 +35,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from scorecraft.llm.batches import BASE, U64, Powers, byte_class, mix, per_row, slices
+from scorecraft.llm.batches import BASE, U64, Powers, byte_class, lean, mix, per_row, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
@@ -474,7 +474,7 @@ def with_pieces(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: i
                     [*rows.schema.names, "pieces", "n_pieces", "lossless"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*kinds, "pieces array<int>", "n_pieces long", "lossless boolean"]))
+    return docs.mapInArrow(lean(run), ", ".join([*kinds, "pieces array<int>", "n_pieces long", "lossless boolean"]))
 
 
 def encode(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int = SEED) -> DataFrame:
@@ -495,4 +495,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = [None if p is None else coder.decode(p) for p in batch.column("pieces").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "pieces").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "pieces").mapInArrow(lean(run), f"doc_id {kind}, text string")

@@ -228,3 +228,44 @@ def test_queries_by_brute_force(spark):
     assert got == J.brute_force({r.doc_id: r.text for r in docs})
     got = {r.doc_id: tuple(r)[1:] for r in Q.op10_substring_dedup(spark, SF).collect()}
     assert [got[r.doc_id] for r in docs] == S.brute_force([r.text.encode() for r in docs])
+
+
+def test_shared_parts_need_little_more_than_the_sets():
+    import tracemalloc
+
+    import numpy as np
+
+    from scorecraft.llm import jaccard_join
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(pool, 20), rng.integers(0, 1 << 64, 580, dtype=np.uint64)]) for _ in range(700)]
+    tracemalloc.start()
+    parts = jaccard_join.shared_parts(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(map(len, sets))
+    held = [set(s.tolist()) for s in sets]
+    assert (jaccard_join.intersections(parts[:30], parts[30:90])
+            == [[len(a & b) for b in held[30:90]] for a in held[:30]]).all()
+    assert all((np.diff(p) > 0).all() for p in parts)
+
+
+def test_parts_are_shuffled_once(spark):
+    """Near copies still meet, in and across tasks, and no count of the parts goes before."""
+    from scorecraft.llm import jaccard_join
+
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(words[:200] + [f"x{i}"] + words[200:]) for i in range(12)} | {20: " ".join(words[::-1]), 21: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(docs).collect()}
+    assert got == jaccard_join.brute_force(texts)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    from scorecraft.llm import batches
+
+    given = []
+    monkeypatch.setattr(batches, "give_back", lambda: given.append(1))
+    run = batches.lean(lambda rows: (2 * r for r in rows))
+    assert list(run(iter([1, 2]))) == [2, 4] and given == [1]
