@@ -40,7 +40,7 @@ from scorecraft.llm.batches import BASE, U64, Powers, byte_class, lean, mix, per
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE = 0.1
 SEED = 17
-SLICE = 4 << 20
+SLICE = 1 << 20               # bytes of text; a worker holds some dozens of bytes for each
 CHUNK = 1 << 15               # units whose agendas advance together, or whose coins are thrown together
 BOOK = 1 << 23                # candidates that a task's book of segmentations holds between slices (64 MB)
 LONG = 48                     # characters beyond which a unit uses the heap

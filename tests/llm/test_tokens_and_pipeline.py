@@ -211,3 +211,20 @@ def test_pair_table_finds_each_merge_and_no_other():
     piece, ok = table.find(others.reshape(100, 500))
     assert (ok.ravel() == np.isin(others, vocab["keys"])).all()
     assert not M.Merges(vocab["keys"][:0], vocab["merged"][:0]).find(others)[1].any()
+
+
+def test_pieces_do_not_depend_on_slices():
+    """Slices are small, as a worker's memory follows them, and cut nothing."""
+    import numpy as np
+
+    from scorecraft.llm import batches, merge_dropout
+
+    assert merge_dropout.SLICE <= batches.SLICE_BYTES
+    texts = [f"number {i} of the repeated words, words and words {i % 3}".encode() for i in range(40)]
+    off = np.r_[0, np.cumsum([len(t) for t in texts])]
+    data, ids = np.frombuffer(b"".join(texts), np.uint8), list(range(40))
+    vocab = merge_dropout.vocabulary(merge_dropout.MODEL)
+    whole, bounds = merge_dropout.Coder(vocab).encode_slice(data, off, ids)
+    coder = merge_dropout.Coder(vocab)
+    parts = [coder.encode_slice(data[off[i]: off[i + 8]], off[i: i + 9] - off[i], ids[i: i + 8])[0] for i in range(0, 40, 8)]
+    assert np.concatenate(parts).tolist() == whole.tolist() and len(bounds) == 41
