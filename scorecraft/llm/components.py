@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct())
     state, n = None, now.count()
     while True:
-        now = cut(_small_star(_large_star(now, n)), instead_of=now)
+        large = cut(_large_star(now, n), instead_of=now)         # read three times by the small star's plan
+        now = cut(_small_star(large), instead_of=large)
         found = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         n = found[0]
         if tuple(found) == state:

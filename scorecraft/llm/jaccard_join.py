@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lean, lower_ascii, mix, per_row, runs, salts, windows
 from scorecraft.llm.components import components
-from scorecraft.llm.storage import cut, hold, let_go
+from scorecraft.llm.storage import cut, hold, let_go, settled
 from scorecraft.llm.stored import NO_ID, row_key, stored_texts, unpacked
 
 WORDS = 3
@@ -437,7 +437,7 @@ def linked_sets(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs
             break
         let_go(sets)
         seed += 1
-    classes = hold(sets.filter("n > 0").groupBy(*KEYS).agg(F.min("k").alias("rep"), F.min("id").alias("low")))
+    classes = cut(sets.filter("n > 0").groupBy(*KEYS).agg(F.min("k").alias("rep"), F.min("id").alias("low")))
     parts = sets.select(F.col("key1").alias("a"), F.explode("sigs").alias("sig"))
     # Nearly all parts are alone, so nothing is counted before the shuffle; the parts move once.
     met = parts.select("a", F.min("a").over(Window.partitionBy("sig")).alias("b"))
@@ -480,15 +480,20 @@ def _united(sets: DataFrame, linked: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, "low", F.coalesce("component", "c").alias("c")))
 
 
+def _kept_rows(docs: DataFrame, words: int, near: int) -> DataFrame:
+    """Keys of the rows that ``one_of_each`` keeps, and how many rows have each."""
+    sets, linked = linked_sets(docs, words, near)
+    rows = hold(sets.filter(F.col("id") != NO_ID).join(linked.select(*KEYS, "c"), KEYS, "left").select("k", "id", "c"))
+    lead = rows.groupBy(F.coalesce("c", "k").alias("c")).agg(F.min(F.struct("id", "k")).alias("one")).select("one.k")
+    return rows.join(lead, "k", "left_semi").groupBy(F.col("k").alias("keep_k_")).agg(F.count("*").alias("rows_"))
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
     """``docs`` with one row of each component of linked texts: that of the smallest id, among
     rows of one id that of the smallest hash of the text, among rows equal in both the first
     by a hash of all columns.  Texts that link with nothing all stay, also if they share
     an id.  Rows without an id cannot be told apart by it and stay."""
-    sets, linked = linked_sets(docs, words, near)
-    rows = hold(sets.filter(F.col("id") != NO_ID).join(linked.select(*KEYS, "c"), KEYS, "left").select("k", "id", "c"))
-    lead = rows.groupBy(F.coalesce("c", "k").alias("c")).agg(F.min(F.struct("id", "k")).alias("one")).select("one.k")
-    times = hold(rows.join(lead, "k", "left_semi").groupBy(F.col("k").alias("keep_k_")).agg(F.count("*").alias("rows_")))
+    times = settled(lambda: _kept_rows(docs, words, near))   # the last join has a short plan and needs nothing that was held
     named = docs.filter("doc_id IS NOT NULL").withColumn("row_k_", row_key())
     match = F.col("row_k_") == F.col("keep_k_")
     once = named.join(times.filter("rows_ = 1"), match, "left_semi").drop("row_k_")

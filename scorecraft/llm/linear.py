@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorecraft.llm.batches import SPACED, U64, Powers, lower_ascii, runs, slices, windows
+from scorecraft.llm.batches import SPACED, U64, Powers, give_back, lower_ascii, runs, slices, windows
 
 
 class Features:
@@ -113,8 +113,12 @@ def featurise(rows: DataFrame, features: Features, columns: list[str], extra=Non
     flat = {c: got[c].combine_chunks() for c in ("bucket", "value")}
     starts = np.r_[0, np.cumsum(np.asarray(flat["bucket"].value_lengths(), np.int64))].astype(np.int64)
     more = np.array(got["extra"].to_pylist(), float) if len(got) else np.zeros((0, 0))
+    labels = {c: got[c].to_numpy() for c in columns}
+    del got
     rows = often((starts, flat["bucket"].flatten().to_numpy(), flat["value"].flatten().to_numpy()), features.size, least)
-    return *rows, {c: got[c].to_numpy() for c in columns}, more
+    del flat
+    give_back()                                              # Arrow's part, before training needs its own
+    return *rows, labels, more
 
 
 def often(rows, size: int, least: int):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorecraft.llm import linear
-from scorecraft.llm.batches import Powers, slices
+from scorecraft.llm.batches import Powers, give_back, slices
 from scorecraft.llm.quality_rules import base_signals
 from scorecraft.llm.storage import hold
 
@@ -126,5 +126,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     """(doc_id, p_doc, host_n, path_n, site_rate, posterior, kept) per document, with the
     ``carried`` columns."""
     model = fit(docs, labels, max_rows)
+    give_back()                                              # the training's arrays, which the driver would keep
     out = posteriors(hold(document_evidence(docs, model, host, path, carried)), labels, carried)
     return out.withColumn("kept", F.col("posterior") >= keep_at)
