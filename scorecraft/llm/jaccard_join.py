@@ -38,6 +38,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lean, lower_ascii, mix, per_row, runs, salts, windows
 from scorecraft.llm.components import components
@@ -424,12 +425,17 @@ def _region_links(members: DataFrame, words: int, near: int, most_docs: int, mos
 KEYS = ["key1", "key2", "n"]   # of a set
 
 
-def linked_sets(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int = REGION_DOCS,
+def _stored(docs: DataFrame, **carried) -> DataFrame:
+    """The texts of ``docs`` by row key, with ``id`` (``NO_ID`` for null) and the columns ``carried``."""
+    ids = docs.select("text", "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+                      *[c.alias(name) for name, c in carried.items()])
+    return stored_texts(ids, "id", *carried, key=row_key())
+
+
+def linked_sets(stored: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int = REGION_DOCS,
                 most_shingles: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(sets: a row per row of ``docs`` with k, id and the keys of its set; classes: a row per
+    """(sets: a row per row of ``stored`` with k, id and the keys of its set; classes: a row per
     set that is not empty with its smallest id ``low`` and its component ``c`` by links alone)."""
-    ids = docs.select("text", "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
-    stored = stored_texts(ids, "id", key=row_key())
     seed = 0
     while True:
         sets = hold(_sets(stored, words, near, seed))
@@ -456,7 +462,7 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
          most_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     keys = KEYS
-    sets, linked = linked_sets(docs, words, near, most_docs, most_shingles)
+    sets, linked = linked_sets(_stored(docs), words, near, most_docs, most_shingles)
     linked = _united(sets, linked, keys)
     lead = linked.groupBy("c").agg(F.min("low").alias("lead"))
     out = sets.select("id", *keys).join(linked.join(lead, "c").select(*keys, "lead"), keys, "left")
@@ -481,11 +487,37 @@ def _united(sets: DataFrame, linked: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _kept_rows(docs: DataFrame, words: int, near: int) -> DataFrame:
-    """Keys of the rows that ``one_of_each`` keeps, and how many rows have each."""
-    sets, linked = linked_sets(docs, words, near)
+    """The rows that ``one_of_each`` keeps: k, the number ``rows_`` of rows with that key (null
+    for rows without an id), the compressed text, whether it is null, and the columns of ``docs``
+    by number.  They come from the copy that the join works on, so no text moves again."""
+    other = {f"c{i}_": F.col(f"`{c}`") for i, c in enumerate(docs.columns) if c != "text"}
+    stored = _stored(docs, null_=F.col("text").isNull(), named_=F.col("doc_id").isNotNull(), **other)
+    sets, linked = linked_sets(stored, words, near)
     rows = hold(sets.filter(F.col("id") != NO_ID).join(linked.select(*KEYS, "c"), KEYS, "left").select("k", "id", "c"))
     lead = rows.groupBy(F.coalesce("c", "k").alias("c")).agg(F.min(F.struct("id", "k")).alias("one")).select("one.k")
-    return rows.join(lead, "k", "left_semi").groupBy(F.col("k").alias("keep_k_")).agg(F.count("*").alias("rows_"))
+    times = rows.join(lead, "k", "left_semi").groupBy("k").agg(F.count("*").alias("rows_"))
+    return (stored.join(times, "k", "left").filter("NOT named_ OR rows_ IS NOT NULL")
+            .select("k", F.when(F.col("named_"), F.col("rows_")).alias("rows_"), "z", "null_", *other))
+
+
+def _unpacked_rows(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``_kept_rows`` as ``row_k_`` and the columns of ``docs``."""
+    names = docs.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rows, data, off in unpacked(batch):
+                raw, null = memoryview(data), rows.column("null_").to_pylist()
+                texts = pa.array([None if gone else raw[a:b].tobytes() for gone, a, b in
+                                  zip(null, off[:-1].tolist(), off[1:].tolist())], pa.binary()).view(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("k"), *[texts if c == "text" else rows.column(f"c{i}_") for i, c in enumerate(names)]],
+                    ["row_k_", *names])
+
+    fields = [T.StructField(f.name, f.dataType) for f in docs.schema]
+    return kept.drop("rows_").mapInArrow(lean(run), T.StructType([T.StructField("row_k_", T.LongType()), *fields]))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFrame:
@@ -493,14 +525,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, near: int = NEAR) -> DataFr
     rows of one id that of the smallest hash of the text, among rows equal in both the first
     by a hash of all columns.  Texts that link with nothing all stay, also if they share
     an id.  Rows without an id cannot be told apart by it and stay."""
-    times = settled(lambda: _kept_rows(docs, words, near))   # the last join has a short plan and needs nothing that was held
-    named = docs.filter("doc_id IS NOT NULL").withColumn("row_k_", row_key())
-    match = F.col("row_k_") == F.col("keep_k_")
-    once = named.join(times.filter("rows_ = 1"), match, "left_semi").drop("row_k_")
-    again = named.join(times.filter("rows_ > 1"), match, "left_semi")
+    kept = settled(lambda: _kept_rows(docs, words, near))    # what follows has a short plan and needs nothing that was held
+    once = _unpacked_rows(kept.filter("rows_ IS NULL OR rows_ = 1"), docs).drop("row_k_")
+    again = _unpacked_rows(kept.filter("rows_ > 1"), docs)   # one row per key is left of these before any moves
     whole = F.struct(*docs.columns)
     first = again.groupBy("row_k_").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row_")).select("row_.*")
-    return docs.filter("doc_id IS NULL").unionByName(once).unionByName(first)
+    return once.unionByName(first)
 
 
 def brute_force(texts: dict[int, str | None], words: int = WORDS, near: int = NEAR) -> dict[int, tuple]:

@@ -269,3 +269,27 @@ def test_workers_give_memory_back(monkeypatch):
     monkeypatch.setattr(batches, "give_back", lambda: given.append(1))
     run = batches.lean(lambda rows: (2 * r for r in rows))
     assert list(run(iter([1, 2]))) == [2, 4] and given == [1]
+
+
+def test_one_of_each_moves_whole_texts_once(spark):
+    """The rows that stay come from the copy the join works on, with all their columns."""
+    def text(name, n=80):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    t = text("t")
+    rows = [(1, t, 1, "k"), (2, t + " end", 2, None), (3, text("é"), 3, "l"), (None, t, 4, "m"), (None, None, None, None), (4, None, 5, "n"),
+            (4, "", 6, "o"), (6, text("u"), 7, "p"), (6, text("u"), 8, "q"), (6, text("u"), 8, "q"), (6, text("v"), 9, "r")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, k int, `a b` string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")             # as where the keys are too many to be broadcast
+    try:
+        kept = J.one_of_each(df, words=3, near=80)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, kept.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept.columns == df.columns and [f.dataType for f in kept.schema] == [f.dataType for f in df.schema]
+    one = [r for r in got if r[1] == text("u")]
+    assert len(one) == 1 and one[0] in rows
+    assert [r for r in got if r not in one] == sorted([r for r in rows if r[:2] != (2, t + " end") and r[1] != text("u")], key=str)
+    assert "Join" not in plan and plan.count("Exchange") <= 1
