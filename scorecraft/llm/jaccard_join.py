@@ -40,10 +40,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lean, lower_ascii, mix, per_row, runs, salts, windows
+from scorecraft.llm.batches import BASE, SPACED, U64, Powers, lean, lower_ascii, mix, per_row, runs, salts, slices, windows
 from scorecraft.llm.components import components
 from scorecraft.llm.storage import cut, hold, let_go, settled
-from scorecraft.llm.stored import NO_ID, row_key, stored_texts, unpacked
+from scorecraft.llm.stored import NO_ID, packed_texts, row_key, unpacked
 
 WORDS = 3
 SMALL = 40                    # shingles up to which a set is indexed by single shingles
@@ -139,38 +139,65 @@ def signatures(h, off, near: int, seed: int):
     return sig[order], np.r_[0, np.cumsum(per_row(doc, n))], short
 
 
-def _sets(stored: DataFrame, words: int, near: int, seed: int) -> DataFrame:
-    """Per row of the stored texts (k, id, n, key1, key2, sigs, near, short): ``key1`` names
-    the set in the graph of shared parts, ``near`` are sets of the same slice that
-    hold a part of this one, ``sigs`` its other parts."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(k, id, text): the rows of ``docs`` with their row keys and ids (``NO_ID`` for null)."""
+    return docs.select(row_key().alias("k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+
+
+def _hashed(batches, words: int):
+    """Per slice of the rows of ``_keyed``: (rows, shingles, offsets per row, two order-free
+    64-bit hashes of each row's set)."""
+    powers = Powers()
+    for batch in batches:
+        for rows, data, off, _ in slices(batch):
+            h, bounds = shingle_sets(data, off, powers, words)
+            keys = []
+            for s in (43, 47):
+                total = np.r_[U64(0), np.cumsum(mix(h ^ salts(1, s)[0]))]
+                keys.append(mix(total[bounds[1:]] - total[bounds[:-1]]))
+            yield rows, h, bounds, keys
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """Per row of ``docs`` (k, id, n, key1, key2); ``key1`` names the set in the graph of shared parts."""
     def run(batches):
         import pyarrow as pa
 
-        powers = Powers()
-        for batch in batches:
-            for rows, data, off in unpacked(batch):
-                h, bounds = shingle_sets(data, off, powers, words)
-                keys = []
-                for s in (43, 47):                           # order-free 64-bit sums
-                    total = np.r_[U64(0), np.cumsum(mix(h ^ salts(1, s)[0]))]
-                    keys.append(mix(total[bounds[1:]] - total[bounds[:-1]]))
-                sig, ends, short = signatures(h, bounds, near, seed)
-                n = np.diff(bounds)
-                doc = np.repeat(np.arange(len(n)), np.diff(ends))
-                _, first, which = np.unique(sig, return_index=True, return_inverse=True)
-                again = first[which] != np.arange(len(sig))
-                node = keys[0].view(np.int64)
-                lists = []
-                for keep, values in ((~again, sig.view(np.int64)), (again, node[doc[first[which]]])):
-                    offsets = np.r_[0, np.cumsum(per_row(doc[keep], len(n)))].astype(np.int32)
-                    lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[keep])))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("k"), rows.column("id"), pa.array(n), *[pa.array(x.view(np.int64)) for x in keys],
-                     *lists, pa.array(np.full(len(n), short))],
-                    ["k", "id", "n", "key1", "key2", "sigs", "near", "short"])
+        for rows, _, bounds, keys in _hashed(batches, words):
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("k"), rows.column("id"), pa.array(np.diff(bounds)), *[pa.array(x.view(np.int64)) for x in keys]],
+                ["k", "id", "n", "key1", "key2"])
+
+    return _keyed(docs).mapInArrow(lean(run), "k long, id long, n long, key1 long, key2 long")
 
-    return stored.select("k", "id", "z").mapInArrow(
-        lean(run), "k long, id long, n long, key1 long, key2 long, sigs array<long>, near array<long>, short boolean")
+
+def slice_parts(sig, ends, node):
+    """(set, part) of a slice with each part once.  Sets that hold a part of an earlier set of the
+    slice get one part in common with that set, however many they share."""
+    doc = np.repeat(np.arange(len(node)), np.diff(ends))
+    _, first, which = np.unique(sig, return_index=True, return_inverse=True)
+    again = first[which] != np.arange(len(sig))
+    a, b = node[doc[again]], node[doc[first[which[again]]]]
+    a, b = np.unique(np.c_[a, b][a != b], axis=0).T
+    link = mix(mix(a ^ salts(1, 59)[0]) ^ b)
+    return np.r_[node[doc[~again]], a, b], np.r_[sig[~again], link, link]
+
+
+def _parts(docs: DataFrame, words: int, near: int, seed: int) -> DataFrame:
+    """(a, sig): the parts of all sets, ``a`` being the set's ``key1``; (0, null) for a slice where
+    those of this seed are too few.  They are many times what ``_sets`` gives and needed once, so
+    they are made from the texts again and not kept."""
+    def run(batches):
+        import pyarrow as pa
+
+        for _, h, bounds, keys in _hashed(batches, words):
+            sig, ends, short = signatures(h, bounds, near, seed)
+            if short:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([None], pa.int64())], ["a", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.view(np.int64)) for x in slice_parts(sig, ends, keys[0])], ["a", "sig"])
+
+    return _keyed(docs).mapInArrow(lean(run), "a long, sig long")
 
 
 def intersections(a: list, b: list):
@@ -411,7 +438,7 @@ def _region_links(members: DataFrame, words: int, near: int, most_docs: int, mos
         links = _local_links(small, words, near)
         found = links if found is None else found.unionByName(links)
         members = members.join(large, "region")
-        cells = hold(_voronoi(members, seed, words, near))
+        cells = cut(_voronoi(members, seed, words, near))
         held = cells.groupBy("parent", "region").agg(F.count("*").alias("c")).groupBy("parent").agg(
             F.max("c").alias("most"), F.sum("c").alias("all"))
         split = cut(held.join(large.withColumnRenamed("region", "parent"), "parent")
@@ -425,34 +452,38 @@ def _region_links(members: DataFrame, words: int, near: int, most_docs: int, mos
 KEYS = ["key1", "key2", "n"]   # of a set
 
 
-def _stored(docs: DataFrame, **carried) -> DataFrame:
-    """The texts of ``docs`` by row key, with ``id`` (``NO_ID`` for null) and the columns ``carried``."""
-    ids = docs.select("text", "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
-                      *[c.alias(name) for name, c in carried.items()])
-    return stored_texts(ids, "id", *carried, key=row_key())
+def _packed(docs: DataFrame, **carried) -> DataFrame:
+    """The texts of ``docs`` by row key, with the columns ``carried``."""
+    own = docs.select("text", "doc_id", *[c.alias(name) for name, c in carried.items()])
+    return packed_texts(own, *carried, key=row_key())
 
 
-def linked_sets(stored: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int = REGION_DOCS,
+def linked_sets(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int = REGION_DOCS,
                 most_shingles: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame]:
-    """(sets: a row per row of ``stored`` with k, id and the keys of its set; classes: a row per
-    set that is not empty with its smallest id ``low`` and its component ``c`` by links alone)."""
+    """(sets: a row per row of ``docs`` with k, id and the keys of its set; classes: a row per
+    set that is not empty with its smallest id ``low`` and its component ``c`` by links alone).
+
+    What is large -- all parts, then the texts of regions by row key, then by region -- is on disk
+    one after the other: each is written down as something smaller before the next is made."""
+    sets = hold(_sets(docs, words))
+    classes = cut(sets.filter("n > 0").groupBy(*KEYS).agg(F.min("k").alias("rep"), F.min("id").alias("low")))
     seed = 0
     while True:
-        sets = hold(_sets(stored, words, near, seed))
-        if sets.filter("short").isEmpty():                   # else the parts of another seed
+        # Nearly all parts are alone, so nothing is counted before the shuffle; the parts move once.
+        met = _parts(docs, words, near, seed).select(
+            "a", F.min("a").over(Window.partitionBy("sig")).alias("b"), F.col("sig").isNull().alias("short"))
+        edges = cut(met.filter("short OR a <> b").distinct())
+        if edges.filter("short").isEmpty():                  # else the parts of another seed
             break
-        let_go(sets)
+        let_go(edges)
         seed += 1
-    classes = cut(sets.filter("n > 0").groupBy(*KEYS).agg(F.min("k").alias("rep"), F.min("id").alias("low")))
-    parts = sets.select(F.col("key1").alias("a"), F.explode("sigs").alias("sig"))
-    # Nearly all parts are alone, so nothing is counted before the shuffle; the parts move once.
-    met = parts.select("a", F.min("a").over(Window.partitionBy("sig")).alias("b"))
-    edges = met.unionByName(sets.select(F.col("key1").alias("a"), F.explode(F.array_distinct("near")).alias("b")))
-    regions = components(edges.filter("a <> b"))
+    regions = components(edges)
+    let_go(edges)
     inside = (classes.join(regions.withColumnRenamed("node", "key1"), "key1")
               .select(F.col("rep").alias("k"), F.col("component").cast("string").alias("region"), "n"))
-    members = hold(stored.join(inside, "k").select("region", "k", "n", "z").dropDuplicates(["k"]))  # one text per class
+    members = cut(_packed(docs).join(inside, "k").select("region", "k", "n", "z").dropDuplicates(["k"]))  # one text per class
     links = cut(components(_region_links(members, words, near, most_docs, most_shingles)))
+    let_go(members)
     linked = (classes.join(links.withColumnRenamed("node", "rep"), "rep", "left")
               .select(*KEYS, "low", F.coalesce("component", "rep").alias("c")))
     return sets, linked
@@ -462,7 +493,7 @@ def link(docs: DataFrame, words: int = WORDS, near: int = NEAR, most_docs: int =
          most_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     keys = KEYS
-    sets, linked = linked_sets(_stored(docs), words, near, most_docs, most_shingles)
+    sets, linked = linked_sets(docs, words, near, most_docs, most_shingles)
     linked = _united(sets, linked, keys)
     lead = linked.groupBy("c").agg(F.min("low").alias("lead"))
     out = sets.select("id", *keys).join(linked.join(lead, "c").select(*keys, "lead"), keys, "left")
@@ -489,14 +520,14 @@ def _united(sets: DataFrame, linked: DataFrame, keys: list[str]) -> DataFrame:
 def _kept_rows(docs: DataFrame, words: int, near: int) -> DataFrame:
     """The rows that ``one_of_each`` keeps: k, the number ``rows_`` of rows with that key (null
     for rows without an id), the compressed text, whether it is null, and the columns of ``docs``
-    by number.  They come from the copy that the join works on, so no text moves again."""
+    by number."""
     other = {f"c{i}_": F.col(f"`{c}`") for i, c in enumerate(docs.columns) if c != "text"}
-    stored = _stored(docs, null_=F.col("text").isNull(), named_=F.col("doc_id").isNotNull(), **other)
-    sets, linked = linked_sets(stored, words, near)
+    sets, linked = linked_sets(docs, words, near)
     rows = hold(sets.filter(F.col("id") != NO_ID).join(linked.select(*KEYS, "c"), KEYS, "left").select("k", "id", "c"))
     lead = rows.groupBy(F.coalesce("c", "k").alias("c")).agg(F.min(F.struct("id", "k")).alias("one")).select("one.k")
     times = rows.join(lead, "k", "left_semi").groupBy("k").agg(F.count("*").alias("rows_"))
-    return (stored.join(times, "k", "left").filter("NOT named_ OR rows_ IS NOT NULL")
+    packed = _packed(docs, null_=F.col("text").isNull(), named_=F.col("doc_id").isNotNull(), **other)
+    return (packed.join(times, "k", "left").filter("NOT named_ OR rows_ IS NOT NULL")
             .select("k", F.when(F.col("named_"), F.col("rows_")).alias("rows_"), "z", "null_", *other))
 
 
